@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, simhash
+from . import chat, license_scan, pii, simhash, url_filter
 from .common import table
 
 
@@ -42,5 +42,171 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op2_simhash_dedup": op2_simhash_dedup}
-ORACLE_SQL = {"op1_chat_format": OP1_SQL}
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def _literal_rows(rows) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return ", ".join("(" + ", ".join(map(quoted, row)) + ")" for row in rows)
+
+
+OP3_SQL = rf"""
+WITH low AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), worded AS (
+  SELECT *, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low
+), placed AS (
+  SELECT r, i - 1 AS pos, 'cc-by' AS label FROM (SELECT r, w, unnest(generate_series(1, len(w) - 1)) AS i FROM worded WHERE t LIKE '%cc%')
+    WHERE w[i] = 'cc' AND w[i + 1] = 'by'
+  UNION ALL SELECT r, i - 1, 'gpl' FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM worded WHERE t LIKE '%general%')
+    WHERE w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license'
+  UNION ALL SELECT r, i - 1, 'reserved' FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM worded WHERE t LIKE '%reserved%')
+    WHERE w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved'
+), notices AS (
+  SELECT n, label, list_distinct(regexp_extract_all(lower(notice), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS tw
+  FROM (VALUES {_literal_rows((k, *t) for k, t in enumerate(license_scan.TEMPLATES))}) AS v(n, label, notice)
+), blocks AS (
+  SELECT r, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS bw FROM low
+), met AS (
+  SELECT r, label, len(list_intersect(bw, tw)) / len(tw) AS c FROM blocks, notices
+  WHERE len(list_intersect(bw, tw)) >= ceil(0.8 * len(tw) - 1e-9)
+), places AS (SELECT r, count(*) AS n, min(pos) AS f, max(pos) AS l FROM placed GROUP BY r
+), labelled AS (
+  SELECT r, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS a, max(c) AS c
+  FROM (SELECT r, label, true AS base, 1.0 AS c FROM placed UNION ALL SELECT r, label, false, c FROM met) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(places.n, 0) AS BIGINT) AS n_base,
+  CAST(f AS BIGINT) AS first_word, CAST(l AS BIGINT) AS last_word, coalesce(b, '') AS base_labels, coalesce(a, '') AS labels,
+  CAST(coalesce(c, 0) AS DOUBLE) AS score
+FROM worded LEFT JOIN places USING (r) LEFT JOIN labelled USING (r)
+"""
+
+URL_RULES = (
+    url_filter.Rule("com/", "allow"),
+    url_filter.Rule("example.com/en/", "block"),
+    url_filter.Rule("www.example.com/en/", "allow"),
+    url_filter.Rule("net/es/", "block"),
+    url_filter.Rule("net/fr/", "block"),
+)
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's labelled outcome is the quality of the labels row whose doc_id is its page_id."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 1).alias("good"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
+_TWO = ", ".join(f"'{s}'" for s in url_filter.TWO_LABEL_SUFFIXES)
+_FITS = "(host = split_part(place, '/', 1) OR ends_with(host, '.' || split_part(place, '/', 1))) AND starts_with(path, substr(place, strpos(place, '/')))"
+OP8_SQL = rf"""
+WITH cut AS (
+  SELECT row_number() OVER () AS r, page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+), rules AS (
+  SELECT * FROM (VALUES {_literal_rows((r.place, r.verdict) for r in URL_RULES)}) AS v(place, verdict)
+), ruled AS (
+  SELECT r, arg_max(place, length(place)) AS rule, arg_max(verdict, length(place)) AS verdict FROM cut JOIN rules ON {_FITS} GROUP BY r
+), hosts AS (
+  SELECT host, count(quality) AS n, coalesce(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END), 0) AS k
+  FROM cut LEFT JOIN labels ON page_id = doc_id GROUP BY host
+), cut_hosts AS (
+  SELECT *, string_split(host, '.') AS p, array_to_string(string_split(host, '.')[-2:], '.') AS two FROM hosts
+), named AS (
+  SELECT host, n, k, CASE WHEN two IN ({_TWO}) THEN array_to_string(p[-3:], '.') ELSE two END AS domain,
+    CASE WHEN two IN ({_TWO}) THEN two ELSE p[-1] END AS suffix FROM cut_hosts
+), domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM named GROUP BY ALL
+), suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL
+), moments AS (
+  SELECT level, sum(k) / sum(n) AS mu, sum(k * k / n) / sum(n) AS s, count(*) / sum(n) AS g
+  FROM (SELECT 'h' AS level, n, k FROM named UNION ALL SELECT 'd', n, k FROM domains UNION ALL SELECT 's', n, k FROM suffixes)
+  WHERE n > 0 GROUP BY level
+), strengths AS (
+  SELECT level, 1 / CASE WHEN mu * (1 - mu) > 0 AND g < 1
+    THEN greatest(0.001, least(0.5, (s - mu * mu - mu * (1 - mu) * g) / (mu * (1 - mu) * (1 - g)))) ELSE 0.5 END - 1 AS m FROM moments
+), fixed AS (
+  SELECT (SELECT (sum(k) + 1) / (sum(n) + 2) FROM suffixes) AS p0, coalesce((SELECT m FROM strengths WHERE level = 's'), 1) AS ms,
+    coalesce((SELECT m FROM strengths WHERE level = 'd'), 1) AS md, coalesce((SELECT m FROM strengths WHERE level = 'h'), 1) AS mh
+), chained AS (
+  SELECT named.host, named.n + mh AS size,
+    (named.k + mh * ((domains.k + md * ((suffixes.k + ms * p0) / (suffixes.n + ms))) / (domains.n + md))) / (named.n + mh) AS mean
+  FROM named JOIN domains USING (domain, suffix) JOIN suffixes USING (suffix), fixed
+)
+SELECT page_id, host, path, rule,
+  coalesce(verdict, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (size + 1)) >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict
+FROM cut LEFT JOIN ruled USING (r) LEFT JOIN chained USING (host)
+"""
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["rank"] < len(pii.BASE_KINDS))
+    count = lambda name: F.size(F.filter("found", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
+    return found.select(
+        "doc_id", *(count(k.name) for k in pii.BASE_KINDS), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("found")).alias("spans")
+    )
+
+
+#: The contract's patterns and the method's own, as SQL's matcher takes them.
+_PII_SQL = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}",
+    "secret": r"[0-9a-f]{32,64}",
+}
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = (
+    f"length({_DIGITS}) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: "
+    f"CASE WHEN i % 2 = 1 THEN CAST(substr({_DIGITS}, -i, 1) AS INT) ELSE CAST(substr('0246813579', CAST(substr({_DIGITS}, -i, 1) AS INT) + 1, 1) AS INT) END)) % 10 = 0"
+)
+_CODE = "replace(m, ' ', '')"
+_MOD97 = (
+    f"length({_CODE}) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split(substr({_CODE}, 5) || substr({_CODE}, 1, 4), ''), "
+    "lambda c: CASE WHEN ascii(c) < 58 THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, v: (a * CASE WHEN v < 10 THEN 10 ELSE 100 END + v) % 97) = 1"
+)
+OP9_SQL = (
+    "WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), cut AS ("
+    + " UNION ALL ".join(
+        f"SELECT r, {rank} AS rank, '{kind}' AS kind, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS ps FROM docs"
+        for rank, (kind, pattern) in enumerate(_PII_SQL.items())
+    )
+    + rf"""), matches AS (
+  SELECT r, rank, kind, ms[i] AS m, ps[i] AS before,
+    list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM cut WHERE len(ms) > 0)
+), kept AS (
+  SELECT *, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(m) AS BIGINT) AS span FROM matches WHERE CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN list_max(list_transform(string_split(m, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) > 3 THEN 999 WHEN ltrim(x, '0') = '' THEN 0 ELSE CAST(ltrim(x, '0') AS INT) END)) <= 255
+    WHEN 'card' THEN {_LUHN}
+    WHEN 'phone' THEN length({_DIGITS}) BETWEEN 9 AND 15
+    WHEN 'iban' THEN {_MOD97}
+    ELSE regexp_matches(right(before, 40), '(?i)token|secret|password|passwd|api.?key|access.?key') END
+), joined AS (
+  SELECT r, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("email", "ip", "card", "phone"))},
+    coalesce(string_agg(span, ',' ORDER BY s, rank) FILTER (rank < 4), '') AS base, string_agg(span, ',' ORDER BY s, rank) AS spans
+  FROM kept GROUP BY r
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ("email", "ip", "card", "phone"))},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN joined USING (r)
+"""
+)
+
+
+QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_license_scan": op3_license_scan,
+    "op8_url_filter": op8_url_filter,
+    "op9_pii": op9_pii,
+}
+ORACLE_SQL = {
+    "op1_chat_format": OP1_SQL,
+    "op3_license_scan": OP3_SQL,
+    "op8_url_filter": OP8_SQL,
+    "op9_pii": OP9_SQL,
+}
