@@ -1,8 +1,9 @@
 """Texts to token ids with a public tokenizer, memoised by chunks that its pre-tokenizer never joins.
 
 A vocabulary's pre-tokenizer cuts a text at white space before any merge, so ids of a text are the
-concatenated ids of such chunks.  Chunks repeat; each task encodes a distinct one once.  The
-memo is bounded, and long chunks bypass it.
+concatenated ids of such chunks.  Chunks repeat, and each task looks most of them up.  A new chunk
+that is one pre-token by itself (Latin letters) goes straight to the tokenizer's model; any other
+goes through the whole tokenizer.  The memo is bounded, and long chunks bypass it.
 """
 
 from __future__ import annotations
@@ -11,11 +12,34 @@ import os
 import re
 from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
+from tokenizers import Tokenizer, pre_tokenizers
 
-#: Chunks remembered by a task, and the length beyond which one is not remembered.
+#: Chunks remembered by a worker, and the length beyond which one is not remembered.
 MEMO_ENTRIES, MEMO_CHARS = 1 << 18, 64
+#: The last character of which all Latin-1 letters are their own composed form.
+LATIN = "ÿ"
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The visible character that stands for each byte in a byte-level vocabulary: as it is if printable, else from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class _Memo(dict):
+    """Chunk to ids; what is missing is encoded, and kept while there is room."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, chunk):
+        ids = self.encode(chunk)
+        if len(self) < MEMO_ENTRIES and len(chunk) <= MEMO_CHARS:
+            self[chunk] = ids
+        return ids
 
 
 class Encoder:
@@ -23,47 +47,46 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict = {}
+        self.model = self.tokenizer.model
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.alphabet = _byte_alphabet()
+        assert set(self.alphabet.values()) == set(pre_tokenizers.ByteLevel.alphabet())
 
     def direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def chunks(self, keys: list, prefix: str = "") -> bytes:
-        """The joined ids of the keys, each with the prefix before it."""
-        memo = self.memo.setdefault(prefix, {})
-        new = [k for k in set(keys) if k not in memo]
-        if new:
-            if len(memo) + len(new) > MEMO_ENTRIES:
-                memo.clear()
-                new = list(set(keys))
-            found = self.tokenizer.encode_batch([prefix + self.text(k) for k in new], add_special_tokens=False)
-            fresh = {k: np.array(e.ids, dtype="<u4").tobytes() for k, e in zip(new, found, strict=True)}
-            memo.update((k, v) for k, v in fresh.items() if len(k) <= MEMO_CHARS)
-            if any(len(k) > MEMO_CHARS for k in new):
-                return b"".join([memo[k] if k in memo else fresh[k] for k in keys])
-        return b"".join(map(memo.__getitem__, keys))
-
-    @staticmethod
-    def text(key) -> str:
-        return key
+        return b"".join([self.id_bytes[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+
+    def pre_token(self, text: str) -> bytes:
+        """The ids of a text that is one pre-token."""
+        shown = text.encode().decode("latin-1").translate(self.alphabet)
+        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(shown)])
 
     def encode(self, text: str) -> bytes:
         raise NotImplementedError
 
 
+def _letters(text: str) -> bool:
+    return text.isalpha() and max(text) <= LATIN
+
+
 class WordEncoder(Encoder):
-    """For vocabularies that drop white space: chunks are what ASCII white space parts."""
+    """For vocabularies that drop white space and case: chunks are what ASCII white space parts."""
 
-    @staticmethod
-    def text(key: bytes) -> str:
-        return key.decode()
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.memo = _Memo(self.chunk)
 
     def encode(self, text: str) -> bytes:
-        return self.chunks(text.encode().split())
+        return b"".join(map(self.memo.__getitem__, text.encode().split()))
+
+    def chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if _letters(text):
+            return self.pre_token(text.lower())
+        if text[-1] in ".," and _letters(text[:-1]):
+            return self.memo[chunk[:-1]] + self.memo[chunk[-1:]]
+        return self.direct(text)
 
 
 class SpacedEncoder(Encoder):
@@ -72,20 +95,30 @@ class SpacedEncoder(Encoder):
     _pair = re.compile(r"\s\s")
     _safe = re.compile(r"(?<=\S) (?=\S)")
 
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.first, self.spaced = _Memo(lambda c: self.chunk("", c)), _Memo(lambda c: self.chunk(" ", c))
+        self.newline = self.direct("\n")
+
     def encode(self, text: str) -> bytes:
         if self._pair.search(text):
             # A space between two other characters always begins a pre-token; other runs of white space stay whole.
             head, *rest = self._safe.split(text)
-            return self.direct(head) + self.chunks(rest, " ")
+            return self.first[head] + b"".join(map(self.spaced.__getitem__, rest))
         lines = []
         for line in text.split("\n"):
             head, *rest = line.split(" ")
-            lines.append(self.chunks([head]) + self.chunks(rest, " "))
-        return self.direct("\n").join(lines) if len(lines) > 1 else lines[0]
-
-    @lru_cache(maxsize=64)  # noqa: B019  one encoder a task
-    def direct(self, text: str) -> bytes:
-        return super().direct(text)
+            lines.append(self.first[head])
+            lines += map(self.spaced.__getitem__, rest)
+            lines.append(self.newline)
+        return b"".join(lines[:-1])
+
+    def chunk(self, before: str, text: str) -> bytes:
+        if _letters(text):
+            return self.pre_token(before + text)
+        if text[-1:] in (".", ",") and _letters(text[:-1]):
+            return (self.spaced if before else self.first)[text[:-1]] + self.first[text[-1]]
+        return self.direct(before + text)
 
 
 VOCABULARIES = {"word_bpe_49k.json": WordEncoder, "byte_bpe_50k.json": SpacedEncoder}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, license_scan, pii, simhash, url_filter
-from .common import table
+from . import chat, license_scan, packing, pii, simhash, token_store, url_filter
+from .common import fresh_path, table
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(places.n, 0) AS
 FROM worded LEFT JOIN places USING (r) LEFT JOIN labelled USING (r)
 """
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), "word_bpe_49k.json", 2048)
+    columns = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.pack(pieces.drop("ids"), 2048).select(*columns)
+
+
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-shards")
+    token_store.write_shards(table(spark, sf_dir, "documents"), path, "byte_bpe_50k.json")
+    return token_store.read_documents(spark, path)
+
+
 URL_RULES = (
     url_filter.Rule("com/", "allow"),
     url_filter.Rule("example.com/en/", "block"),
@@ -201,6 +213,8 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_license_scan": op3_license_scan,
+    "op4_packing": op4_packing,
+    "op5_token_shards": op5_token_shards,
     "op8_url_filter": op8_url_filter,
     "op9_pii": op9_pii,
 }
