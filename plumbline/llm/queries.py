@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, license_scan, packing, pii, simhash, token_store, url_filter
+from . import ann, chat, license_scan, packing, pii, simhash, token_store, url_filter
 from .common import fresh_path, table
 
 
@@ -209,6 +209,10 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ("email", "ip"
 )
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -217,6 +221,7 @@ QUERIES = {
     "op5_token_shards": op5_token_shards,
     "op8_url_filter": op8_url_filter,
     "op9_pii": op9_pii,
+    "op10_ann": op10_ann,
 }
 ORACLE_SQL = {
     "op1_chat_format": OP1_SQL,
