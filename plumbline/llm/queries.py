@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, license_scan, packing, pii, simhash, token_store, url_filter
+from . import ann, chat, decontaminate, langid, license_scan, packing, pii, simhash, token_store, url_filter
 from .common import fresh_path, table
 
 
@@ -95,6 +95,11 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(spark, path)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_equal", "item_words")
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.learn(docs))
@@ -224,6 +229,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_packing": op4_packing,
     "op5_token_shards": op5_token_shards,
+    "op6_decontaminate": op6_decontaminate,
     "op7_langid": op7_langid,
     "op8_url_filter": op8_url_filter,
     "op9_pii": op9_pii,
