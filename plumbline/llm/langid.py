@@ -201,3 +201,14 @@ def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
 
     doc_id = F.col("doc_id").cast("long")
     return docs.select(doc_id, held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, spark_schema(PREDICTED))
+
+
+def spoken(docs: DataFrame, net: ByteConvNet | None, least: float = 0.35) -> DataFrame:
+    """The documents, with all their columns, whose language is known with a score of at least `least`."""
+
+    def run(batches):
+        for batch in batches:
+            found = predictions(net, batch.column("text").to_pylist())
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -19,6 +19,8 @@ rows and null doc_ids keep their own result rows; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -51,49 +53,53 @@ TEMPLATES = (
 
 
 def _words_of(notice: str) -> list[str]:
-    import re
-
     return [w for w in re.split(GAP, notice.lower()) if w]
 
 
 def _need(n: int, threshold: float) -> int:
     """The fewest words that reach the threshold, safe from rounding."""
-    return -int(-n * threshold + 1e-9)
+    return math.ceil(n * threshold - 1e-9)
+
 
+def _starts(doubled: Column, phrase: str) -> Column:
+    """Where the phrase's words stand consecutively, counted from 0.
 
-def _split_words(lowered: Column) -> Column:
-    return F.filter(F.split(lowered, GAP), lambda w: w != "")
+    doubled has every word between two spaces of its own.  It is cut before each place, so that
+    a walk over the cuts counts the words in front; only texts that hold the phrase are walked.
+    """
+    sought = "".join(f" {w} " for w in phrase.split())
 
+    def step(acc, piece):
+        found = F.when(piece.startswith(sought), F.array_append(acc["found"], acc["at"])).otherwise(acc["found"])
+        return F.struct((acc["at"] + _count(piece)).alias("at"), found.alias("found"))
 
-def _starts(words: Column, phrase: str) -> Column:
-    """Where the phrase's words stand consecutively, counted from 0."""
-    parts = phrase.split()
-    last = F.size(words) - len(parts)
-    here = lambda i: _all(words[i + k] == p for k, p in enumerate(parts))
-    return F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), here)).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<int>")
+    begin = F.struct(F.lit(0).alias("at"), none.alias("found"))
+    walked = F.aggregate(F.split(doubled, f"(?={sought})"), begin, step, lambda acc: acc["found"])
+    return F.when(F.contains(doubled, F.lit(sought)), walked).otherwise(none)
 
 
-def _all(conditions) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out
+def _count(doubled: Column) -> Column:
+    """Words, by the spaces around them."""
+    return F.floor((F.length(doubled) - F.length(F.replace(doubled, F.lit(" "), F.lit("")))) / 2).cast("int")
 
 
 def _reduced(docs: DataFrame, phrases: Mapping[str, str], vocabulary: Sequence[str]) -> DataFrame:
     """One pass over the texts: word counts, phrase places, and each block's template words."""
     known = F.array(*map(F.lit, vocabulary))
     rows = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("low"))
-    rows = rows.select("*", F.concat(F.lit(" "), F.regexp_replace("low", GAP, " "), F.lit(" ")).alias("spaced"))
-    rows = rows.select(
-        "*",
-        F.array(*(F.when(F.contains("spaced", F.lit(f" {p} ")), F.lit(label)) for p, label in phrases.items())).alias("hits"),
-        F.filter(F.transform(F.split("low", "\n"), lambda line: F.array_intersect(known, F.split(line, GAP))), lambda b: F.size(b) > 0).alias("blocks"),
-    )
-    rows = rows.select("*", F.sort_array(F.array_distinct(F.array_compact("hits"))).alias("base"))
-    words = _split_words(F.col("low"))
-    places = F.when(F.size("base") > 0, F.concat(*(_starts(words, p) for p in phrases)))
-    return rows.select("doc_id", F.size(words).cast("long").alias("n_words"), "base", places.alias("places"), "blocks")
+    blocks = F.transform(F.split("low", "\n"), lambda line: F.array_intersect(known, F.split(line, GAP)))
+    doubled = F.concat(F.lit(" "), F.regexp_replace("low", GAP, "  "), F.lit(" "))
+    # Gaps at either end leave spaces that surround nothing.
+    trimmed = F.trim(doubled)
+    rows = rows.select("doc_id", F.when(trimmed == "", "").otherwise(F.concat(F.lit(" "), trimmed, F.lit(" "))).alias("doubled"), F.filter(blocks, lambda b: F.size(b) > 0).alias("blocks"))
+    places = F.array(*(F.struct(F.lit(label).alias("label"), _starts(F.col("doubled"), p).alias("starts")) for p, label in phrases.items()))
+    return rows.select("doc_id", _count(F.col("doubled")).cast("long").alias("n_words"), places.alias("places"), "blocks")
+
+
+def _with_base(rows: DataFrame) -> DataFrame:
+    held = F.filter("places", lambda p: F.size(p["starts"]) > 0)
+    return rows.withColumns({"base": F.sort_array(F.array_distinct(F.transform(held, lambda p: p["label"]))), "places": F.flatten(F.transform(held, lambda p: p["starts"]))})
 
 
 def scan(
@@ -110,13 +116,12 @@ def scan(
     found = _joined(rows, notices, vocabulary, threshold)
     best = found.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("contained").alias("contained"))
     none = F.array().cast("array<string>")
-    out = rows.select("row", "doc_id", "n_words", "base", "places").join(best, "row", "left")
+    out = _with_base(rows.drop("blocks")).join(best, "row", "left")
     labels = F.sort_array(F.array_union("base", F.coalesce("found", none)))
-    n_base = F.coalesce(F.size("places"), F.lit(0))
     return out.select(
         "doc_id",
         "n_words",
-        F.when(F.col("places").isNull(), 0).otherwise(n_base).cast("long").alias("n_base"),
+        F.size("places").cast("long").alias("n_base"),
         F.array_min("places").cast("long").alias("first_word"),
         F.array_max("places").cast("long").alias("last_word"),
         F.array_join("base", ",").alias("base_labels"),

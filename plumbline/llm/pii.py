@@ -137,13 +137,13 @@ def redact(text: Column, kinds: Sequence[Kind] = KINDS, threshold: float = 0.5)
     """The text with each span replaced by its kind in brackets, kind after kind; null stays null."""
     for kind in kinds:
         pieces, matches = _pieces(text, kind)
-        replaced = F.zip_with(
-            pieces,
-            matches,
-            lambda before, match, kind=kind: F.concat(
-                before,
-                F.when(match.isNull(), F.lit("")).when(_score(kind, before, match) >= threshold, F.lit(f"[{kind.name.upper()}]")).otherwise(match),
-            ),
-        )
-        text = F.when(text.rlike(kind.pattern), F.array_join(replaced, "")).otherwise(text)
+        text = F.when(text.rlike(kind.pattern), F.array_join(F.zip_with(pieces, matches, _replacer(kind, threshold)), "")).otherwise(text)
     return text
+
+
+def _replacer(kind: Kind, threshold: float) -> Callable[[Column, Column], Column]:
+    def replaced(before, match):
+        instead = F.when(_score(kind, before, match) >= threshold, F.lit(f"[{kind.name.upper()}]")).otherwise(match)
+        return F.concat(before, F.coalesce(instead, F.lit("")))  # the last piece has no match after it
+
+    return replaced

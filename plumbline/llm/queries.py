@@ -223,6 +223,12 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # imports this subpackage itself
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -234,6 +240,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_pii": op9_pii,
     "op10_ann": op10_ann,
+    "pipeline": pipeline,
 }
 ORACLE_SQL = {
     "op1_chat_format": OP1_SQL,

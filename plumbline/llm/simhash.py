@@ -26,7 +26,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, spark_schema, stored
@@ -74,14 +74,11 @@ def fingerprints(docs: DataFrame, size: int = 5) -> DataFrame:
             columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(fps)]
             yield pa.RecordBatch.from_arrays(columns, schema=FINGERPRINTS)
 
-    # The hash of null differs from that of every text.
-    text_hash = F.xxhash64(F.col("text"), F.col("text").isNull()).alias("text_hash")
-    return docs.select(F.col("doc_id").cast("long"), text_hash, "text").mapInArrow(compute, spark_schema(FINGERPRINTS))
+    return docs.select(F.col("doc_id").cast("long"), _text_hash().alias("text_hash"), "text").mapInArrow(compute, spark_schema(FINGERPRINTS))
 
 
-def deletion_masks(max_bits: int, bits: int = 64) -> list[int]:
-    """A mask for each bit: it keeps that bit's segment without the bit.  Segments as few as the bound allows."""
-    segments = max_bits // 2 + 1
+def deletion_masks(segments: int, bits: int = 64) -> list[int]:
+    """A mask for each bit: it keeps that bit's segment without the bit."""
     edges = [round(i * bits / segments) for i in range(segments + 1)]
     out = []
     for low, high in zip(edges, edges[1:], strict=False):
@@ -94,45 +91,57 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def forest(fps: np.ndarray, max_bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """A spanning forest of the links among fps: whoever is reached is compared no more."""
+def forest(nodes: np.ndarray, words: np.ndarray, limits: tuple[int, ...]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """A spanning forest of the links among nodes: whoever is reached is compared no more.
+
+    words has a row for each fingerprint word; a link has at most limits[k] differing bits in word k.
+    """
     left, right = [], []
-    todo = fps
+    todo = np.arange(nodes.size)
     while todo.size > 1:
         frontier, todo = [todo[0]], todo[1:]
         while frontier and todo.size:
             pivot = frontier.pop()
-            near = np.bitwise_count(todo ^ pivot) <= max_bits
+            near = _near(words[:, todo], words[:, pivot : pivot + 1], limits)
             if near.any():
                 reached, todo = todo[near], todo[~near]
-                left.append(np.full(reached.size, pivot))
-                right.append(reached)
+                left.append(np.full(reached.size, nodes[pivot]))
+                right.append(nodes[reached])
                 frontier.extend(reached)
     return left, right
 
 
+def _near(a: np.ndarray, b: np.ndarray, limits: tuple[int, ...]) -> np.ndarray:
+    return np.all(np.bitwise_count(a ^ b) <= np.array(limits)[:, None], axis=0)
+
+
 EDGES = arrow_schema(u=pa.int64(), v=pa.int64())
 
 
-def links(fps: DataFrame, max_bits: int) -> DataFrame:
-    """Distinct fingerprints (fp long) to links (u, v) that connect all within max_bits of each other."""
-    masks = deletion_masks(max_bits)
-    variants = F.array([F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])
-    index = fps.select("fp", F.posexplode(variants).alias("mask", "key"))
-    index = index.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
+def variants(word: str, masks: list[int], first: int = 0) -> Column:
+    """(mask, key) of every one-wildcard variant of a fingerprint word; masks are numbered from first."""
+    return F.inline(F.array(*(F.struct(F.lit(first + k).alias("mask"), F.col(word).bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks))))
+
+
+def links(index: DataFrame, words: tuple[str, ...], limits: tuple[int, ...]) -> DataFrame:
+    """(mask, key, node, words) variants to links (u, v) that connect all nodes near in every word."""
+    columns = list(dict.fromkeys(["mask", "key", "node", *words]))
+    of_words = [columns.index(w) for w in words]
+    dealt = index.select(*columns).repartition("mask", "key").sortWithinPartitions("mask", "key", "node")
 
     def verify(batches):
-        rest = None
+        rest = np.zeros((len(columns), 0), np.int64)
         for batch in batches:
-            part = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("mask", "key", "fp")])
-            part = part if rest is None else np.concatenate([rest, part], axis=1)
+            part = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in columns])
+            part = np.concatenate([rest, part], axis=1)
             starts = _run_starts(part)
-            rest = part[:, starts[-1] :] if starts.size else None
-            yield from _verified(part[2, : starts[-1]] if starts.size else part[2, :0], starts, max_bits)
-        if rest is not None and rest.shape[1]:
-            yield from _verified(rest[2], np.array([0, rest.shape[1]]), max_bits)
+            # The last run may go on in the next batch.
+            whole = starts[-1] if starts.size else 0
+            rest = part[:, whole:]
+            yield from _verified(part[2, :whole], part[of_words, :whole], starts, limits)
+        yield from _verified(rest[2], rest[of_words], np.array([0, rest.shape[1]]), limits)
 
-    return index.mapInArrow(verify, spark_schema(EDGES)).distinct()
+    return dealt.mapInArrow(verify, spark_schema(EDGES)).distinct()
 
 
 def _run_starts(part: np.ndarray) -> np.ndarray:
@@ -143,19 +152,18 @@ def _run_starts(part: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(new) + 1])
 
 
-def _verified(fps: np.ndarray, starts: np.ndarray, max_bits: int):
+def _verified(nodes: np.ndarray, words: np.ndarray, starts: np.ndarray, limits: tuple[int, ...]):
     """Links of all runs that are whole; starts ends with the first place after them."""
-    values = fps.view(np.uint64)
-    sizes = np.diff(starts)
+    words, sizes = words.view(np.uint64), np.diff(starts)
     two = starts[:-1][sizes == 2]
-    a, b = values[two], values[two + 1]
-    near = np.bitwise_count(a ^ b) <= max_bits
-    left, right = [a[near]], [b[near]]
+    near = _near(words[:, two], words[:, two + 1], limits)
+    left, right = [nodes[two[near]]], [nodes[two[near] + 1]]
     for k in np.flatnonzero(sizes > 2):
-        more = forest(values[starts[k] : starts[k + 1]], max_bits)
+        run = slice(starts[k], starts[k + 1])
+        more = forest(nodes[run], words[:, run], limits)
         left += more[0]
         right += more[1]
-    u, v = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
+    u, v = np.concatenate(left), np.concatenate(right)
     if u.size:
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=EDGES)
 
@@ -164,9 +172,74 @@ def near_duplicates(docs: DataFrame, size: int = 5, max_bits: int = 4) -> DataFr
     """(doc_id, text_hash, fp, component_id) for every row of docs (doc_id, text)."""
     rows = stored(fingerprints(docs, size), "simhash-fingerprints")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    nodes = stored(connected_components(links(fps.select("fp"), max_bits), "simhash-components"), "simhash-nodes")
+    # As few segments as leave one with at most one differing bit.
+    masks = deletion_masks(max_bits // 2 + 1)
+    index = fps.select(F.col("fp").alias("node"), variants("fp", masks))
+    nodes = stored(connected_components(links(index, ("node",), (max_bits,)), "simhash-components"), "simhash-nodes")
     linked = nodes.join(fps, F.col("node") == F.col("fp"))
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("component"))
     of_linked = linked.join(smallest, "root").select("fp", "component")
     of_fp = fps.join(of_linked, "fp", "left").select("fp", F.coalesce("component", "first_id").alias("component_id"))
     return rows.join(of_fp, "fp").select("doc_id", "text_hash", "fp", "component_id")
+
+
+# Near copies at a similarity of 0.8 over five-word shingles.  Texts at 0.8 differ in some ten bits of a
+# five-word SimHash, which no index of deletion variants reaches.  The same edits change few of the
+# distinct word pairs, so two 60-bit words of a SimHash over those are indexed, in three segments
+# each; a link must be near in the indexed word and in the 64-bit SimHash over five words.
+
+INDEX_BITS, INDEX_SEGMENTS, INDEX_LIMIT = 60, 3, 12
+#: Differing bits of the five-word fingerprint: some ten are expected at a similarity of 0.8.
+SHINGLE_LIMIT = 14
+COPY_PRINTS = arrow_schema(doc_id=pa.int64(), text_hash=pa.int64(), a0=pa.int64(), a1=pa.int64(), b=pa.int64())
+
+
+def pair_prints(text: bytes | None) -> tuple[int, int]:
+    """Two 60-bit SimHash words over the distinct word pairs."""
+    pairs = set(shingles(text.lower().split() if text else [], 2))
+    ones, n, grams = np.zeros(128, np.int64), len(pairs), iter(pairs)
+    while block := list(islice(grams, BLOCK)):
+        hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, block)), np.uint8).reshape(-1, 16)
+        ones += np.unpackbits(hashes, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    words = np.packbits(ones * 2 > n, bitorder="little").view("<u8") & np.uint64((1 << INDEX_BITS) - 1)
+    return int(words[0]), int(words[1])
+
+
+def copy_prints(docs: DataFrame) -> DataFrame:
+    def compute(batches):
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            pairs = np.array([pair_prints(t) for t in texts], np.int64).reshape(-1, 2)
+            shingled = np.array([fingerprint(t, 5) for t in texts], np.uint64).view(np.int64)
+            arrays = [batch.column("doc_id"), batch.column("text_hash"), *map(pa.array, (pairs[:, 0], pairs[:, 1], shingled))]
+            yield pa.RecordBatch.from_arrays(arrays, schema=COPY_PRINTS)
+
+    keyed = docs.select(F.col("doc_id").cast("long"), _text_hash().alias("text_hash"), "text")
+    return keyed.mapInArrow(compute, spark_schema(COPY_PRINTS))
+
+
+def _text_hash() -> Column:
+    """The hash of null differs from that of every text."""
+    return F.xxhash64(F.col("text"), F.col("text").isNull())
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """One document of each group of near copies, with all its columns: the one of smallest doc_id.
+
+    A null doc_id comes last; of rows equal in doc_id and text one stays; a text without words is
+    a near copy of every other such text of the same kind (null or empty).
+    """
+    rows = stored(copy_prints(docs), "copies-prints")
+    texts = rows.groupBy(F.col("text_hash").alias("node")).agg(*(F.first(c).alias(c) for c in ("a0", "a1", "b")))
+    masks = deletion_masks(INDEX_SEGMENTS, INDEX_BITS)
+    index = texts.select("node", F.col("a0").alias("a"), "b", variants("a0", masks)).union(texts.select("node", F.col("a1").alias("a"), "b", variants("a1", masks, len(masks))))
+    found = links(index.select("mask", "key", "node", "a", "b"), ("a", "b"), (INDEX_LIMIT, SHINGLE_LIMIT))
+    nodes = stored(connected_components(found, "copies-components"), "copies-nodes")
+    grouped = rows.join(nodes, F.col("text_hash") == F.col("node"), "left")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    best = grouped.groupBy(F.coalesce("root", "text_hash")).agg(F.min(order).alias("best"))
+    kept = stored(best.select(F.col("best.doc_id").alias("_id"), F.col("best.text_hash").alias("_hash")), "copies-kept")
+    keyed = docs.withColumn("_text_hash", _text_hash())
+    same = keyed["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (keyed["_text_hash"] == kept["_hash"])
+    nth = F.row_number().over(Window.partitionBy("_text_hash", "doc_id").orderBy("_text_hash"))
+    return keyed.join(kept, same, "left_semi").withColumn("_nth", nth).where("_nth = 1").drop("_nth", "_text_hash")
