@@ -86,9 +86,8 @@ def _count(doubled: Column) -> Column:
 
 def _reduced(docs: DataFrame, phrases: Mapping[str, str], vocabulary: Sequence[str]) -> DataFrame:
     """One pass over the texts: word counts, phrase places, and each block's template words."""
-    known = F.array(*map(F.lit, vocabulary))
     rows = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("low"))
-    blocks = F.transform(F.split("low", "\n"), lambda line: F.array_intersect(known, F.split(line, GAP)))
+    blocks = F.transform(F.split("low", "\n"), lambda line: F.array_distinct(F.filter(F.split(line, GAP), lambda w: w.isin(*vocabulary))))
     doubled = F.concat(F.lit(" "), F.regexp_replace("low", GAP, "  "), F.lit(" "))
     # Gaps at either end leave spaces that surround nothing.
     trimmed = F.trim(doubled)

@@ -20,7 +20,7 @@ repeated rows stay repeated; further columns are ignored; an empty table gives a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import islice
 
 import numpy as np
@@ -33,6 +33,8 @@ from .common import arrow_schema, spark_schema, stored
 from .components import connected_components
 
 SEED = 42
+#: Runs of near copies up to this size give all their links; larger ones, in blocks, each node's nearest.
+SMALL_RUN, RUN_BLOCK, NEAREST = 8, 512, 2
 #: Shingle hashes counted at once: bounds memory for texts of any length.
 BLOCK = 1 << 15
 
@@ -123,7 +125,24 @@ def variants(word: str, masks: list[int], first: int = 0) -> Column:
     return F.inline(F.array(*(F.struct(F.lit(first + k).alias("mask"), F.col(word).bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks))))
 
 
-def links(index: DataFrame, words: tuple[str, ...], limits: tuple[int, ...]) -> DataFrame:
+def closest(nodes: np.ndarray, words: np.ndarray, limits: tuple[int, ...]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Every link of a small run; of a large one a spanning forest, and each node's few nearest in its block."""
+    left, right = forest(nodes, words, limits) if nodes.size > SMALL_RUN else ([], [])
+    few = nodes.size if nodes.size <= SMALL_RUN else NEAREST
+    for at in range(0, nodes.size, RUN_BLOCK):
+        block, names = words[:, at : at + RUN_BLOCK], nodes[at : at + RUN_BLOCK]
+        bits = np.bitwise_count(block[:, :, None] ^ block[:, None, :]).astype(np.int64)
+        near = np.all(bits <= np.array(limits)[:, None, None], axis=0) & ~np.eye(names.size, dtype=bool)
+        order = np.argsort(np.where(near, bits.sum(0), 1 << 20), axis=1, kind="stable")[:, :few]
+        u = np.repeat(np.arange(names.size), order.shape[1])
+        v = order.ravel()
+        linked = near[u, v]
+        left.append(names[np.minimum(u, v)[linked]])
+        right.append(names[np.maximum(u, v)[linked]])
+    return left, right
+
+
+def links(index: DataFrame, words: tuple[str, ...], limits: tuple[int, ...], of_run=forest) -> DataFrame:
     """(mask, key, node, words) variants to links (u, v) that connect all nodes near in every word."""
     columns = list(dict.fromkeys(["mask", "key", "node", *words]))
     of_words = [columns.index(w) for w in words]
@@ -138,8 +157,8 @@ def links(index: DataFrame, words: tuple[str, ...], limits: tuple[int, ...]) ->
             # The last run may go on in the next batch.
             whole = starts[-1] if starts.size else 0
             rest = part[:, whole:]
-            yield from _verified(part[2, :whole], part[of_words, :whole], starts, limits)
-        yield from _verified(rest[2], rest[of_words], np.array([0, rest.shape[1]]), limits)
+            yield from _verified(part[2, :whole], part[of_words, :whole], starts, limits, of_run)
+        yield from _verified(rest[2], rest[of_words], np.array([0, rest.shape[1]]), limits, of_run)
 
     return dealt.mapInArrow(verify, spark_schema(EDGES)).distinct()
 
@@ -152,7 +171,7 @@ def _run_starts(part: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(new) + 1])
 
 
-def _verified(nodes: np.ndarray, words: np.ndarray, starts: np.ndarray, limits: tuple[int, ...]):
+def _verified(nodes: np.ndarray, words: np.ndarray, starts: np.ndarray, limits: tuple[int, ...], of_run):
     """Links of all runs that are whole; starts ends with the first place after them."""
     words, sizes = words.view(np.uint64), np.diff(starts)
     two = starts[:-1][sizes == 2]
@@ -160,7 +179,7 @@ def _verified(nodes: np.ndarray, words: np.ndarray, starts: np.ndarray, limits:
     left, right = [nodes[two[near]]], [nodes[two[near] + 1]]
     for k in np.flatnonzero(sizes > 2):
         run = slice(starts[k], starts[k + 1])
-        more = forest(nodes[run], words[:, run], limits)
+        more = of_run(nodes[run], words[:, run], limits)
         left += more[0]
         right += more[1]
     u, v = np.concatenate(left), np.concatenate(right)
@@ -185,33 +204,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, max_bits: int = 4) -> DataFr
 
 # Near copies at a similarity of 0.8 over five-word shingles.  Texts at 0.8 differ in some ten bits of a
 # five-word SimHash, which no index of deletion variants reaches.  The same edits change few of the
-# distinct word pairs, so two 60-bit words of a SimHash over those are indexed, in three segments
-# each; a link must be near in the indexed word and in the 64-bit SimHash over five words.
+# distinct word pairs, so three 60-bit words of a SimHash over those are indexed, in three segments
+# each (at 0.8 a segment of 20 bits has at most one differing bit in four cases of ten).  What is near there and in the 64-bit SimHash over five words is a candidate, and a link if
+# the exact Jaccard similarity of the two texts' shingle sets reaches the threshold.
 
 INDEX_BITS, INDEX_SEGMENTS, INDEX_LIMIT = 60, 3, 12
 #: Differing bits of the five-word fingerprint: some ten are expected at a similarity of 0.8.
 SHINGLE_LIMIT = 14
-COPY_PRINTS = arrow_schema(doc_id=pa.int64(), text_hash=pa.int64(), a0=pa.int64(), a1=pa.int64(), b=pa.int64())
+COPY_PRINTS = arrow_schema(doc_id=pa.int64(), text_hash=pa.int64(), a0=pa.int64(), a1=pa.int64(), a2=pa.int64(), b=pa.int64())
 
 
-def pair_prints(text: bytes | None) -> tuple[int, int]:
-    """Two 60-bit SimHash words over the distinct word pairs."""
-    pairs = set(shingles(text.lower().split() if text else [], 2))
-    ones, n, grams = np.zeros(128, np.int64), len(pairs), iter(pairs)
-    while block := list(islice(grams, BLOCK)):
-        hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, block)), np.uint8).reshape(-1, 16)
-        ones += np.unpackbits(hashes, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    words = np.packbits(ones * 2 > n, bitorder="little").view("<u8") & np.uint64((1 << INDEX_BITS) - 1)
-    return int(words[0]), int(words[1])
+def pair_prints(text: bytes | None) -> list[int]:
+    """Three 60-bit SimHash words over the distinct word pairs, from two 128-bit hashes."""
+    pairs = list(set(shingles(text.lower().split() if text else [], 2)))
+    out = []
+    for seed in (0, 1):
+        digest, ones = partial(xxhash.xxh3_128_digest, seed=seed), np.zeros(128, np.int64)
+        for at in range(0, len(pairs), BLOCK):
+            hashes = np.frombuffer(b"".join(map(digest, pairs[at : at + BLOCK])), np.uint8).reshape(-1, 16)
+            ones += np.unpackbits(hashes, axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out += (np.packbits(ones * 2 > len(pairs), bitorder="little").view("<u8") & np.uint64((1 << INDEX_BITS) - 1)).tolist()
+    return out[:3]
 
 
 def copy_prints(docs: DataFrame) -> DataFrame:
     def compute(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            pairs = np.array([pair_prints(t) for t in texts], np.int64).reshape(-1, 2)
+            pairs = np.array([pair_prints(t) for t in texts], np.int64).reshape(-1, 3)
             shingled = np.array([fingerprint(t, 5) for t in texts], np.uint64).view(np.int64)
-            arrays = [batch.column("doc_id"), batch.column("text_hash"), *map(pa.array, (pairs[:, 0], pairs[:, 1], shingled))]
+            arrays = [batch.column("doc_id"), batch.column("text_hash"), *map(pa.array, (*pairs.T, shingled))]
             yield pa.RecordBatch.from_arrays(arrays, schema=COPY_PRINTS)
 
     keyed = docs.select(F.col("doc_id").cast("long"), _text_hash().alias("text_hash"), "text")
@@ -223,17 +245,51 @@ def _text_hash() -> Column:
     return F.xxhash64(F.col("text"), F.col("text").isNull())
 
 
-def without_near_copies(docs: DataFrame) -> DataFrame:
+SHINGLE_SETS = arrow_schema(node=pa.int64(), grams=pa.binary())
+
+
+def similar(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
+    """Pairs (u, v) of text hashes whose texts' shingle sets have a Jaccard similarity of at least `least`."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    texts = docs.select(_text_hash().alias("node"), "text").join(ends, "node", "left_semi").dropDuplicates(["node"])
+
+    def shingled(batches):
+        digest = partial(xxhash.xxh64_intdigest, seed=SEED)
+        for batch in batches:
+            sets = []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                grams = shingles(text.lower().split() if text else [], size)
+                sets.append(np.unique(np.fromiter(map(digest, grams), np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], schema=SHINGLE_SETS)
+
+    sets = stored(texts.mapInArrow(shingled, spark_schema(SHINGLE_SETS)), "copies-shingles")
+    left, right = sets.select(F.col("node").alias("u"), F.col("grams").alias("gu")), sets.select(F.col("node").alias("v"), F.col("grams").alias("gv"))
+
+    def compare(batches):
+        for batch in batches:
+            kept = []
+            for a, b in zip(batch.column("gu"), batch.column("gv"), strict=True):
+                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                shared = np.intersect1d(a, b, assume_unique=True).size
+                kept.append(shared >= least * (a.size + b.size - shared))
+            yield batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
+
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "gu", "gv").mapInArrow(compare, spark_schema(EDGES))
+
+
+def without_near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near copies, with all its columns: the one of smallest doc_id.
 
     A null doc_id comes last; of rows equal in doc_id and text one stays; a text without words is
     a near copy of every other such text of the same kind (null or empty).
     """
     rows = stored(copy_prints(docs), "copies-prints")
-    texts = rows.groupBy(F.col("text_hash").alias("node")).agg(*(F.first(c).alias(c) for c in ("a0", "a1", "b")))
+    texts = rows.groupBy(F.col("text_hash").alias("node")).agg(*(F.first(c).alias(c) for c in ("a0", "a1", "a2", "b")))
     masks = deletion_masks(INDEX_SEGMENTS, INDEX_BITS)
-    index = texts.select("node", F.col("a0").alias("a"), "b", variants("a0", masks)).union(texts.select("node", F.col("a1").alias("a"), "b", variants("a1", masks, len(masks))))
-    found = links(index.select("mask", "key", "node", "a", "b"), ("a", "b"), (INDEX_LIMIT, SHINGLE_LIMIT))
+    of_word = [texts.select("node", F.col(a).alias("a"), "b", variants(a, masks, k * len(masks))) for k, a in enumerate(("a0", "a1", "a2"))]
+    index = reduce(DataFrame.union, of_word)
+    near = links(index.select("mask", "key", "node", "a", "b"), ("a", "b"), (INDEX_LIMIT, SHINGLE_LIMIT), closest)
+    found = similar(stored(near, "copies-candidates"), docs, 5, similarity)
     nodes = stored(connected_components(found, "copies-components"), "copies-nodes")
     grouped = rows.join(nodes, F.col("text_hash") == F.col("node"), "left")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
