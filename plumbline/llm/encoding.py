@@ -16,7 +16,7 @@ import public_tokenizers
 from tokenizers import Tokenizer, pre_tokenizers
 
 #: Chunks remembered by a worker, and the length beyond which one is not remembered.
-MEMO_ENTRIES, MEMO_CHARS = 1 << 18, 64
+MEMO_ENTRIES, MEMO_CHARS = 1 << 19, 64
 #: The last character of which all Latin-1 letters are their own composed form.
 LATIN = "ÿ"
 
@@ -105,17 +105,15 @@ class SpacedEncoder(Encoder):
             # A space between two other characters always begins a pre-token; other runs of white space stay whole.
             head, *rest = self._safe.split(text)
             return self.first[head] + b"".join(map(self.spaced.__getitem__, rest))
-        lines = []
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            lines.append(self.first[head])
-            lines += map(self.spaced.__getitem__, rest)
-            lines.append(self.newline)
-        return b"".join(lines[:-1])
+        # A line's first word goes by the newline before it, any other by its space.
+        head, *rest = text.replace("\n", " \n").split(" ")
+        return self.first[head] + b"".join(map(self.spaced.__getitem__, rest))
 
     def chunk(self, before: str, text: str) -> bytes:
         if _letters(text):
             return self.pre_token(before + text)
+        if before and text[:1] == "\n" and "\n" not in text[1:]:
+            return self.newline + self.first[text[1:]]
         if text[-1:] in (".", ",") and _letters(text[:-1]):
             return (self.spaced if before else self.first)[text[:-1]] + self.first[text[-1]]
         return self.direct(before + text)
