@@ -295,7 +295,8 @@ def without_near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     best = grouped.groupBy(F.coalesce("root", "text_hash")).agg(F.min(order).alias("best"))
     kept = stored(best.select(F.col("best.doc_id").alias("_id"), F.col("best.text_hash").alias("_hash")), "copies-kept")
-    keyed = docs.withColumn("_text_hash", _text_hash())
-    same = keyed["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (keyed["_text_hash"] == kept["_hash"])
-    nth = F.row_number().over(Window.partitionBy("_text_hash", "doc_id").orderBy("_text_hash"))
-    return keyed.join(kept, same, "left_semi").withColumn("_nth", nth).where("_nth = 1").drop("_nth", "_text_hash")
+    # The document goes as one struct, so that no column of its own can clash.
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), _text_hash().alias("hash"))
+    same = whole["id"].eqNullSafe(kept["_id"]) & (whole["hash"] == kept["_hash"])
+    nth = F.row_number().over(Window.partitionBy("hash", "id").orderBy("hash"))
+    return whole.join(kept, same, "left_semi").withColumn("nth", nth).where("nth = 1").select("doc.*")
