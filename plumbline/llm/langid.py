@@ -71,14 +71,16 @@ class ByteConvNet:
             out.append(_softmax(np.maximum(peak + self.bias, 0) @ self.dense + self.out_bias))
         return np.concatenate(out)
 
-    def train(self, windows: np.ndarray, targets: np.ndarray, epochs: int = 6, rate: float = 0.01, seed: int = 5) -> None:
-        """Adam on the cross-entropy; half the windows of each step are cut short, as texts are."""
+    def train(self, windows: np.ndarray, targets: np.ndarray, epochs: int = 6, least_steps: int = 600, rate: float = 0.01, seed: int = 5) -> None:
+        """Adam on the cross-entropy with a falling rate; half the windows of each step are cut short, as texts are."""
         rng = np.random.default_rng(seed)
+        steps = max(1, len(windows) // BLOCK)
+        epochs = max(epochs, -(-least_steps // steps))
         names = ("embedding", "filters", "bias", "dense", "out_bias")
         first = {k: np.zeros_like(getattr(self, k)) for k in names}
         second, step = {k: np.zeros_like(getattr(self, k)) for k in names}, 0
-        for epoch in range(epochs):
-            for rows in np.array_split(rng.permutation(len(windows)), max(1, len(windows) // BLOCK)):
+        for _ in range(epochs):
+            for rows in np.array_split(rng.permutation(len(windows)), steps):
                 batch = windows[rows].copy()
                 cut = rng.integers(8, WINDOW, len(batch))
                 batch[(np.arange(WINDOW) >= cut[:, None]) & (rng.random(len(batch)) < 0.5)[:, None]] = 0
@@ -87,7 +89,7 @@ class ByteConvNet:
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.999 * second[k] + 0.001 * g * g
                     move = first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-                    setattr(self, k, (getattr(self, k) - rate * 0.7**epoch * move).astype(np.float32))
+                    setattr(self, k, (getattr(self, k) - rate * 0.1 ** (step / (steps * epochs)) * move).astype(np.float32))
                 self.embedding[0] = 0
 
     def _slopes(self, windows: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
@@ -203,8 +205,9 @@ def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
     return docs.select(doc_id, held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, spark_schema(PREDICTED))
 
 
-def spoken(docs: DataFrame, net: ByteConvNet | None, least: float = 0.35) -> DataFrame:
-    """The documents, with all their columns, whose language is known with a score of at least `least`."""
+def spoken(docs: DataFrame, net: ByteConvNet | None, over_chance: float = 1.2) -> DataFrame:
+    """The documents, with all their columns, whose language is known with a score of at least `over_chance` over the number of languages."""
+    least = over_chance / len(net.languages) if net and len(net.languages) > 1 else 0.0
 
     def run(batches):
         for batch in batches:

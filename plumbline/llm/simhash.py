@@ -209,8 +209,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, max_bits: int = 4) -> DataFr
 # the exact Jaccard similarity of the two texts' shingle sets reaches the threshold.
 
 INDEX_BITS, INDEX_SEGMENTS, INDEX_LIMIT = 60, 3, 12
-#: Differing bits of the five-word fingerprint: some ten are expected at a similarity of 0.8.
-SHINGLE_LIMIT = 14
+#: Differing bits of the five-word fingerprint: some ten are expected at 0.8, nearly twenty are seen; 32 between strangers.
+SHINGLE_LIMIT = 24
 COPY_PRINTS = arrow_schema(doc_id=pa.int64(), text_hash=pa.int64(), a0=pa.int64(), a1=pa.int64(), a2=pa.int64(), b=pa.int64())
 
 

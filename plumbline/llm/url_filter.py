@@ -113,7 +113,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule], least: flo
     reputation = host_reputation(places.select("page_id", "host").join(of_page, "page_id", "left").select("host", "good"))
     first = F.coalesce(
         *(F.when(r.fits, F.struct(F.lit(r.place).alias("rule"), F.lit(r.verdict).alias("verdict"))) for r in sorted(rules, key=lambda r: (-len(r.place), r.place))),
-        F.lit(None),
+        F.lit(None).cast("struct<rule:string,verdict:string>"),
     )
     by_reputation = F.when(F.col("lower") >= least, "allow").otherwise("block")
     ruled = places.withColumn("_rule", first).join(reputation.select("host", "lower"), "host", "left")
