@@ -327,10 +327,10 @@ def shoelace(spark, sf_dir):
     return _points(spark, sf_dir).select("vec_id", F.round(geometry.shoelace_area(p), 6).alias("area"), F.round(geometry.polyline_length(p), 6).alias("length"))
 
 
-@_query("SELECT p_partkey, round_even(p_retailprice * (p_size / 72.0::DOUBLE), 1) AS length_ft, round_even(p_retailprice * pow(p_size / 72.0::DOUBLE, 2), 1) AS area_sf FROM part")
+@_query("SELECT p_partkey, round_even((p_retailprice + 0.0137::DOUBLE) * (p_size / 72.0::DOUBLE), 1) AS length_ft, round_even((p_retailprice + 0.0137::DOUBLE) * pow(p_size / 72.0::DOUBLE, 2), 1) AS area_sf FROM part")
 def scale_recompute(spark, sf_dir):
     """D21"""
-    raw, fpi = F.col("p_retailprice"), F.col("p_size").cast("double")
+    raw, fpi = F.col("p_retailprice") + 0.0137, F.col("p_size").cast("double")
     return _t(spark, sf_dir, "part").select("p_partkey", geometry.rescaled(raw, fpi, 1).alias("length_ft"), geometry.rescaled(raw, fpi, 2).alias("area_sf"))
 
 
@@ -388,7 +388,7 @@ def door_schedule_counts(spark, sf_dir):
 
 
 @_query("""
-WITH f AS (SELECT p_type AS tab, unnest([0, 1, 2]) AS col, unnest([p_name, 'D' || CAST(p_size AS VARCHAR), CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS VARCHAR) ELSE 'n/a' END]) AS cell FROM part)
+WITH f AS (SELECT p_type AS tab, unnest([0, 1, 2]) AS col, unnest([p_name, 'D' || CAST(p_size AS VARCHAR), CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS VARCHAR) ELSE 'n/a' END]) AS cell FROM part),
 g AS (SELECT tab, col, count(*) FILTER (regexp_matches(cell, '^[A-Z]{0,2}[-]?\\d{1,4}[A-Z]?$|^T\\d+[A-Z]?$')) AS hits, count(*) AS rows FROM f GROUP BY tab, col)
 SELECT * FROM g WHERE hits >= 3 AND hits >= 0.4 * rows QUALIFY row_number() OVER (PARTITION BY tab ORDER BY hits DESC, col) = 1
 """)
