@@ -134,13 +134,24 @@ def find(docs: DataFrame, kinds: Sequence[Kind] = KINDS, threshold: float = 0.5)
 
 
 def redact(text: Column, kinds: Sequence[Kind] = KINDS, threshold: float = 0.5) -> Column:
-    """The text with each span replaced by its kind in brackets, kind after kind; null stays null."""
+    """The text with each span replaced by its kind in brackets, kind after kind; null stays null.
+
+    A kind names its text several times, so each result is bound to a lambda's variable: as a plain
+    expression, it would be worked out anew for every name, and more so with every further kind.
+    """
     for kind in kinds:
-        pieces, matches = _pieces(text, kind)
-        text = F.when(text.rlike(kind.pattern), F.array_join(F.zip_with(pieces, matches, _replacer(kind, threshold)), "")).otherwise(text)
+        text = F.transform(F.array(text), _redactor(kind, threshold))[0]
     return text
 
 
+def _redactor(kind: Kind, threshold: float) -> Callable[[Column], Column]:
+    def redacted(text):
+        pieces, matches = _pieces(text, kind)
+        return F.when(text.rlike(kind.pattern), F.array_join(F.zip_with(pieces, matches, _replacer(kind, threshold)), "")).otherwise(text)
+
+    return redacted
+
+
 def _replacer(kind: Kind, threshold: float) -> Callable[[Column, Column], Column]:
     def replaced(before, match):
         instead = F.when(_score(kind, before, match) >= threshold, F.lit(f"[{kind.name.upper()}]")).otherwise(match)
