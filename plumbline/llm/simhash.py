@@ -19,8 +19,9 @@ repeated rows stay repeated; further columns are ignored; an empty table gives a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 from itertools import islice
 
 import numpy as np
@@ -33,8 +34,6 @@ from .common import arrow_schema, spark_schema, stored
 from .components import connected_components
 
 SEED = 42
-#: Runs of near copies up to this size give all their links; larger ones, in blocks, each node's nearest.
-SMALL_RUN, RUN_BLOCK, NEAREST = 8, 512, 2
 #: Shingle hashes counted at once: bounds memory for texts of any length.
 BLOCK = 1 << 15
 
@@ -125,23 +124,6 @@ def variants(word: str, masks: list[int], first: int = 0) -> Column:
     return F.inline(F.array(*(F.struct(F.lit(first + k).alias("mask"), F.col(word).bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks))))
 
 
-def closest(nodes: np.ndarray, words: np.ndarray, limits: tuple[int, ...]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Every link of a small run; of a large one a spanning forest, and each node's few nearest in its block."""
-    left, right = forest(nodes, words, limits) if nodes.size > SMALL_RUN else ([], [])
-    few = nodes.size if nodes.size <= SMALL_RUN else NEAREST
-    for at in range(0, nodes.size, RUN_BLOCK):
-        block, names = words[:, at : at + RUN_BLOCK], nodes[at : at + RUN_BLOCK]
-        bits = np.bitwise_count(block[:, :, None] ^ block[:, None, :]).astype(np.int64)
-        near = np.all(bits <= np.array(limits)[:, None, None], axis=0) & ~np.eye(names.size, dtype=bool)
-        order = np.argsort(np.where(near, bits.sum(0), 1 << 20), axis=1, kind="stable")[:, :few]
-        u = np.repeat(np.arange(names.size), order.shape[1])
-        v = order.ravel()
-        linked = near[u, v]
-        left.append(names[np.minimum(u, v)[linked]])
-        right.append(names[np.maximum(u, v)[linked]])
-    return left, right
-
-
 def links(index: DataFrame, words: tuple[str, ...], limits: tuple[int, ...], of_run=forest) -> DataFrame:
     """(mask, key, node, words) variants to links (u, v) that connect all nodes near in every word."""
     columns = list(dict.fromkeys(["mask", "key", "node", *words]))
@@ -202,67 +184,148 @@ def near_duplicates(docs: DataFrame, size: int = 5, max_bits: int = 4) -> DataFr
     return rows.join(of_fp, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-# Near copies at a similarity of 0.8 over five-word shingles.  Texts at 0.8 differ in some ten bits of a
-# five-word SimHash, which no index of deletion variants reaches.  The same edits change few of the
-# distinct word pairs, so three 60-bit words of a SimHash over those are indexed, in three segments
-# each (at 0.8 a segment of 20 bits has at most one differing bit in four cases of ten).  What is near there and in the 64-bit SimHash over five words is a candidate, and a link if
-# the exact Jaccard similarity of the two texts' shingle sets reaches the threshold.
+# Near copies at a Jaccard similarity over five-word shingle sets: an exact join.  Shingles have one
+# order over the whole corpus, common ones (by a sample) last; two sets of the similarity share a
+# shingle among their first n - ceil(similarity * n) + 1, their prefix.  Prefixes are equality-joined:
+# the pairs of a short run of equal shingles are verified one by one; the texts of longer runs form
+# families, whose pairs are compared block by block.  The sample has no say in what is found.
 
-INDEX_BITS, INDEX_SEGMENTS, INDEX_LIMIT = 60, 3, 12
-#: Differing bits of the five-word fingerprint: some ten are expected at 0.8, nearly twenty are seen; 32 between strangers.
-SHINGLE_LIMIT = 24
-COPY_PRINTS = arrow_schema(doc_id=pa.int64(), text_hash=pa.int64(), a0=pa.int64(), a1=pa.int64(), a2=pa.int64(), b=pa.int64())
+#: Longest run of equal shingles whose pairs are emitted one by one.
+SHORT_RUN = 32
+#: Texts sampled for the common shingles, the least count of one there, and the most that are broadcast.
+SAMPLE_TEXTS, COMMON_COUNT, COMMON_SHINGLES = 4096, 3, 1 << 16
+#: A block holds this many shingles, a text counting for BLOCK_TEXT at least, or one longer text.
+BLOCK_SHINGLES, BLOCK_TEXT = 1 << 17, 256
+#: Shingles in one product of a block pair's membership matrices.
+PRODUCT = 1 << 12
 
 
-def pair_prints(text: bytes | None) -> list[int]:
-    """Three 60-bit SimHash words over the distinct word pairs, from two 128-bit hashes."""
-    pairs = list(set(shingles(text.lower().split() if text else [], 2)))
-    out = []
-    for seed in (0, 1):
-        digest, ones = partial(xxhash.xxh3_128_digest, seed=seed), np.zeros(128, np.int64)
-        for at in range(0, len(pairs), BLOCK):
-            hashes = np.frombuffer(b"".join(map(digest, pairs[at : at + BLOCK])), np.uint8).reshape(-1, 16)
-            ones += np.unpackbits(hashes, axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out += (np.packbits(ones * 2 > len(pairs), bitorder="little").view("<u8") & np.uint64((1 << INDEX_BITS) - 1)).tolist()
-    return out[:3]
+def _text_hash() -> Column:
+    """The hash of null differs from that of every text."""
+    return F.xxhash64(F.col("text"), F.col("text").isNull())
 
 
-def copy_prints(docs: DataFrame) -> DataFrame:
-    def compute(batches):
+SHINGLE_SETS = arrow_schema(node=pa.int64(), grams=pa.binary())
+PREFIXES = arrow_schema(gram=pa.int64(), node=pa.int64(), n=pa.int32(), at=pa.int32())
+MEETINGS = arrow_schema(u=pa.int64(), v=pa.int64(), wide=pa.bool_())
+
+
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    """The sorted distinct hashes of the shingles."""
+    grams = shingles(text.lower().split() if text else [], size)
+    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), grams), np.uint64))
+
+
+def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(node, text) to (node, grams)."""
+
+    def run(batches):
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            pairs = np.array([pair_prints(t) for t in texts], np.int64).reshape(-1, 3)
-            shingled = np.array([fingerprint(t, 5) for t in texts], np.uint64).view(np.int64)
-            arrays = [batch.column("doc_id"), batch.column("text_hash"), *map(pa.array, (*pairs.T, shingled))]
-            yield pa.RecordBatch.from_arrays(arrays, schema=COPY_PRINTS)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [shingle_set(t, size).tobytes() for t in part.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], schema=SHINGLE_SETS)
 
-    keyed = docs.select(F.col("doc_id").cast("long"), _text_hash().alias("text_hash"), "text")
-    return keyed.mapInArrow(compute, spark_schema(COPY_PRINTS))
+    return texts.select("node", "text").mapInArrow(run, spark_schema(SHINGLE_SETS))
 
 
-def _text_hash() -> Column:
-    """The hash of null differs from that of every text."""
-    return F.xxhash64(F.col("text"), F.col("text").isNull())
+def common_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample hold, sorted, and how many do: at most COMMON_SHINGLES."""
+    every = max(1, texts.count() // SAMPLE_TEXTS)
+    sample = texts.where(F.pmod("node", F.lit(every)) == 0).dropDuplicates(["node"])
 
+    def run(batches):
+        for batch in batches:
+            for grams in batch.column("grams"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(grams.as_buffer(), np.int64))], names=["gram"])
 
-SHINGLE_SETS = arrow_schema(node=pa.int64(), grams=pa.binary())
+    counted = shingle_sets(sample, size).mapInArrow(run, "gram long").groupBy("gram").count()
+    top = counted.where(F.col("count") >= COMMON_COUNT).orderBy(F.desc("count"), "gram").limit(COMMON_SHINGLES).toArrow()
+    grams, counts = (top.column(c).to_numpy().astype(np.int64) for c in ("gram", "count"))
+    order = np.argsort(grams.view(np.uint64))
+    return grams.view(np.uint64)[order], counts[order]
 
 
-def similar(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
-    """Pairs (u, v) of text hashes whose texts' shingle sets have a Jaccard similarity of at least `least`."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    texts = docs.select(_text_hash().alias("node"), "text").join(ends, "node", "left_semi").dropDuplicates(["node"])
+def prefix_length(n: int, least: float) -> int:
+    """How many of a set's first shingles hold one of every set that is similar."""
+    return n - math.ceil(n * least - 1e-9) + 1
+
 
-    def shingled(batches):
-        digest = partial(xxhash.xxh64_intdigest, seed=SEED)
+def prefixes(texts: DataFrame, size: int, least: float) -> DataFrame:
+    """(node, text) to (gram, node, n, at): the first of each text's n shingles; a text without any has the shingle 0."""
+    broadcast = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, size))
+
+    def run(batches):
+        common, counts = broadcast.value
+        seen: set[int] = set()
+        for batch in batches:
+            columns = []
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                if node in seen:
+                    continue
+                if len(seen) < BLOCK:
+                    seen.add(node)
+                grams = shingle_set(text, size)
+                n = grams.size
+                if n and common.size:
+                    at = np.minimum(np.searchsorted(common, grams), common.size - 1)
+                    grams = grams[np.lexsort((grams, np.where(common[at] == grams, counts[at], 0)))]
+                grams = grams[: prefix_length(n, least)] if n else np.zeros(1, np.uint64)
+                k = grams.size
+                columns.append((grams.view(np.int64), np.full(k, node), np.full(k, n, np.int32), np.arange(k, dtype=np.int32)))
+            if columns:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], schema=PREFIXES)
+
+    return texts.select("node", "text").mapInArrow(run, spark_schema(PREFIXES))
+
+
+def meetings(index: DataFrame, least: float) -> DataFrame:
+    """(u, v, wide): pairs of short runs that may be similar; wide ones tie each text of a longer run to the run's first."""
+    dealt = index.select("gram", "node", "n", "at").repartition("gram").sortWithinPartitions("gram", "node")
+
+    def run(batches):
+        rest = np.zeros((4, 0), np.int64)
         for batch in batches:
-            sets = []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                grams = shingles(text.lower().split() if text else [], size)
-                sets.append(np.unique(np.fromiter(map(digest, grams), np.uint64)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], schema=SHINGLE_SETS)
+            part = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            part = np.concatenate([rest, part], axis=1)
+            # The last run may go on in the next batch.
+            whole = int(np.searchsorted(part[0], part[0, -1])) if part.shape[1] else 0
+            rest = part[:, whole:]
+            yield from _met(part[:, :whole], least)
+        yield from _met(rest, least)
+
+    return dealt.mapInArrow(run, spark_schema(MEETINGS)).distinct()
+
 
-    sets = stored(texts.mapInArrow(shingled, spark_schema(SHINGLE_SETS)), "copies-shingles")
+def _met(part: np.ndarray, least: float):
+    """Meetings of whole runs; rows are in order of shingle and node."""
+    if not part.shape[1]:
+        return
+    repeated = np.concatenate([[False], np.all(part[:2, 1:] == part[:2, :-1], axis=0)])
+    gram, node, n, at = part[:, ~repeated]
+    starts = np.concatenate([[0], np.flatnonzero(gram[1:] != gram[:-1]) + 1])
+    sizes = np.diff(np.concatenate([starts, [gram.size]]))
+    size, first = np.repeat(sizes, sizes), np.repeat(node[starts], sizes)
+    long = (size > SHORT_RUN) & (node != first)
+    pairs = [np.stack([first[long], node[long], np.ones(long.sum(), np.int64)])]
+    left = n - at
+    for d in range(1, SHORT_RUN):
+        k = np.flatnonzero((gram[d:] == gram[:-d]) & (size[d:] <= SHORT_RUN))
+        if not k.size:
+            break
+        # The first shingle that two sets share leaves room for all others that they must share.
+        room = np.minimum(left[k], left[k + d]) * (1 + least) >= least * (n[k] + n[k + d]) - 1e-6
+        k = k[room | (n[k] == 0)]
+        pairs.append(np.stack([node[k], node[k + d], np.zeros(k.size, np.int64)]))
+    pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    if pairs.shape[1]:
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2] == 1)], schema=MEETINGS)
+
+
+def similar(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """Pairs (u, v) of nodes whose texts' shingle sets have a Jaccard similarity of at least `least`."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = stored(shingle_sets(texts.join(ends, "node", "left_semi").dropDuplicates(["node"]), size), "copies-shingles")
     left, right = sets.select(F.col("node").alias("u"), F.col("grams").alias("gu")), sets.select(F.col("node").alias("v"), F.col("grams").alias("gv"))
 
     def compare(batches):
@@ -277,19 +340,103 @@ def similar(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> DataF
     return pairs.join(left, "u").join(right, "v").select("u", "v", "gu", "gv").mapInArrow(compare, spark_schema(EDGES))
 
 
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many members each set of a shares with each of b."""
+    in_a, in_b = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(in_a, in_b)
+    out = np.zeros((len(a), len(b)), np.float32)
+
+    def places(members, sets):
+        at = np.searchsorted(both, members)
+        held = at < both.size
+        held[held] = both[at[held]] == members[held]
+        return np.repeat(np.arange(len(sets)), [x.size for x in sets])[held], at[held]
+
+    (row_a, at_a), (row_b, at_b) = places(in_a, a), places(in_b, b)
+    for low in range(0, both.size, PRODUCT):
+        sides = []
+        for rows, at, sets in ((row_a, at_a, a), (row_b, at_b, b)):
+            side, here = np.zeros((len(sets), min(PRODUCT, both.size - low)), np.float32), (at >= low) & (at < low + PRODUCT)
+            side[rows[here], at[here] - low] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def similar_in_families(members: DataFrame, least: float, pairs_of) -> DataFrame:
+    """Links (u, v) of the blocks that meet; members: family, part, node, n, grams.
+
+    pairs_of is the condition on two blocks i and j of a family, in order; each has its number, its
+    least and greatest n (low, high) and its part if it has only one.
+    """
+    light = members.select("family", "part", "node", "n")
+    before = F.sum(F.greatest("n", F.lit(BLOCK_TEXT))).over(Window.partitionBy("family").orderBy(F.col("part").asc_nulls_last(), "n", "node"))
+    placed = stored(light.withColumn("block", F.floor(before / BLOCK_SHINGLES)), "copies-blocks")
+    only = F.when((F.min("part") == F.max("part")) & (F.count("part") == F.count("*")), F.min("part"))
+    blocks = placed.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), only.alias("only"))
+    i, j = blocks.alias("i"), blocks.alias("j")
+    may = (F.col("i.high") >= F.col("j.low") * least - 1e-6) & (F.col("j.high") >= F.col("i.low") * least - 1e-6)
+    meet = i.join(j, (F.col("i.family") == F.col("j.family")) & (F.col("i.block") <= F.col("j.block"))).where(may & pairs_of)
+    meet = meet.select(F.col("i.family").alias("family"), F.col("i.block").alias("i"), F.col("j.block").alias("j"))
+    dealt = meet.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    sets = placed.select("family", "block", "node").join(members.select("node", "grams"), "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        block, nodes = table.column("block").to_numpy(), table.column("node").to_numpy()
+        grams = [np.frombuffer(g.as_buffer(), np.uint64) for g in table.column("grams")]
+        a = np.flatnonzero(block == table.column("i")[0].as_py())
+        b = np.flatnonzero(block == table.column("j")[0].as_py())
+        shared = _shared([grams[k] for k in a], [grams[k] for k in b])
+        sizes = np.array([g.size for g in grams])
+        u, v = np.nonzero(shared >= least * (sizes[a][:, None] + sizes[b][None, :] - shared.astype(np.float64)))
+        # Links that leave the same nodes connected: a tree of each component of the two blocks.
+        tree = _tree(a[u], b[v], len(grams))
+        return pa.Table.from_arrays([pa.array(nodes[tree[0]]), pa.array(nodes[tree[1]])], schema=EDGES)
+
+    return sets.join(dealt, ["family", "block"]).groupBy("family", "i", "j").applyInArrow(compare, spark_schema(EDGES))
+
+
+def _tree(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of each node's component: labels fall to the least of the neighbours' until nothing moves."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, u, label[v])
+        np.minimum.at(new, v, label[u])
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(n))
+    return label[moved], moved
+
+
+def copy_links(texts: DataFrame, size: int, least: float) -> DataFrame:
+    """(node, text) to links (u, v) that connect exactly what the links of all similar pairs connect."""
+    met = stored(meetings(prefixes(texts, size, least), least), "copies-candidates")
+    found = stored(similar(met.where("not wide").select("u", "v"), texts, size, least), "copies-found")
+    wide = met.where("wide").select("u", "v")
+    if wide.isEmpty():
+        return found
+    families = stored(connected_components(wide, "copies-wide"), "copies-families").withColumnRenamed("root", "family")
+    sets = shingle_sets(texts.join(families, "node", "left_semi").dropDuplicates(["node"]), size)
+    members = stored(sets.join(families, "node").withColumn("n", F.expr("length(grams) div 8")), "copies-members")
+    # First blocks of like sizes; what they connect needs no more comparing within itself.
+    beside = F.col("j.block") - F.col("i.block") <= 1
+    found = stored(found.union(similar_in_families(members.withColumn("part", F.lit(None).cast("long")), least, beside)), "copies-beside")
+    parts = stored(connected_components(found, "copies-parts"), "copies-parts").withColumnRenamed("root", "part")
+    apart = ~F.coalesce(F.col("i.only") == F.col("j.only"), F.lit(False))
+    return found.union(similar_in_families(members.join(parts, "node", "left"), least, apart))
+
+
 def without_near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near copies, with all its columns: the one of smallest doc_id.
 
     A null doc_id comes last; of rows equal in doc_id and text one stays; a text without words is
     a near copy of every other such text of the same kind (null or empty).
     """
-    rows = stored(copy_prints(docs), "copies-prints")
-    texts = rows.groupBy(F.col("text_hash").alias("node")).agg(*(F.first(c).alias(c) for c in ("a0", "a1", "a2", "b")))
-    masks = deletion_masks(INDEX_SEGMENTS, INDEX_BITS)
-    of_word = [texts.select("node", F.col(a).alias("a"), "b", variants(a, masks, k * len(masks))) for k, a in enumerate(("a0", "a1", "a2"))]
-    index = reduce(DataFrame.union, of_word)
-    near = links(index.select("mask", "key", "node", "a", "b"), ("a", "b"), (INDEX_LIMIT, SHINGLE_LIMIT), closest)
-    found = similar(stored(near, "copies-candidates"), docs, 5, similarity)
+    rows = docs.select(F.col("doc_id").cast("long"), _text_hash().alias("text_hash"))
+    found = copy_links(docs.select(_text_hash().alias("node"), "text"), 5, similarity)
     nodes = stored(connected_components(found, "copies-components"), "copies-nodes")
     grouped = rows.join(nodes, F.col("text_hash") == F.col("node"), "left")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
