@@ -1,7 +1,9 @@
-"""Near copies against brute force: large groups that one source connects."""
+"""Near copies against brute force: large groups that one source connects, and every kind of edit just at the bound."""
 
 import random
 
+import pytest
+
 from plumbline.llm import simhash
 
 SCHEMA = "doc_id long, text string"
@@ -39,3 +41,28 @@ def test_copies_that_only_their_source_connects(spark):
     # The source comes last, and a text that shares only its first half stays.
     half = source[:125] + words(rng, 125)
     assert kept(spark, [" ".join(t) for t in (*copies, half, source)]) == [0, 2000]
+
+
+@pytest.mark.parametrize("kind", ["cut", "extended", "block", "scattered"])
+def test_pairs_just_at_the_bound(spark, kind):
+    """Isolated pairs of 60 words at 0.8 to 0.85, and others just below."""
+    rng = random.Random(kind)
+    texts, want = [], []
+    for k in range(300):
+        a = words(rng, 60, f"{kind}{k}")
+        edits = {"cut": 11, "extended": 13}.get(kind, 2) + k % 3
+        b = list(a)
+        if kind == "cut":
+            b = b[: 60 - edits]
+        elif kind == "extended":
+            b += words(rng, edits)
+        elif kind == "block":
+            at = rng.randrange(10, 40)
+            b[at : at + edits] = words(rng, edits)
+        else:
+            for at in rng.sample(range(60), edits - 1):
+                b[at] = words(rng, 1)[0]
+        want += [2 * k] if jaccard(a, b) >= 0.8 else [2 * k, 2 * k + 1]
+        texts += [" ".join(a), " ".join(b)]
+    assert 300 < len(want) < 600
+    assert kept(spark, texts) == want
