@@ -2,7 +2,8 @@
 
 A seed is a fixed mask over consecutive words: the words at its ones are hashed together, those at
 its zeros are ignored, so a test passage with words replaced still shares seeds with its source.
-Every position of every benchmark item and of every document is hashed under each mask.  A Bloom
+Every position of every benchmark item and of every document is hashed under each mask; an item
+shorter than every mask is hashed whole, and documents at that length too.  A Bloom
 filter of fixed size over the benchmark's hashes thins the documents' hashes where they
 lie; those that pass are equality-joined with the benchmark's, whose every join row names an item and a
 diagonal.  Each diagonal is then read word by word, and counts as an overlap if its best stretch
@@ -29,6 +30,8 @@ from .common import arrow_schema, spark_schema, stored
 
 #: Masks of six words each: any stretch of 13 words with a replaced word in it keeps a seed.
 MASKS = ("11101011", "1101100101", "110010100101")
+#: Masks that take items shorter than any of these whole, one for each length, follow them.
+PATTERNS = (*MASKS, *("1" * n for n in range(1, min(map(len, MASKS)))))
 #: Equal words that an overlap needs.
 LEAST = 10
 #: Words kept on either side of a hit to read the diagonal: an overlap may go on beyond, its count is then cut.
@@ -37,7 +40,7 @@ REACH = 64
 BLOOM_BITS, BLOOM_SHIFTS = 22, (42, 17)
 
 _WORD = re.compile(r"\w+")
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], dtype=np.uint64)
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F], dtype=np.uint64)
 _MEMO_ENTRIES = 1 << 18
 
 
@@ -65,7 +68,7 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
-    for place, factor in zip(places, _ODD, strict=True):
+    for place, factor in zip(places, _ODD[: len(places)], strict=True):
         out = (out ^ words[place : place + n]) * factor
         out ^= out >> np.uint64(29)
     return out
@@ -88,7 +91,9 @@ def benchmark_seeds(items: DataFrame) -> DataFrame:
         for batch in batches:
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = word_hashes(text)
-                for k, mask in enumerate(MASKS):
+                for k, mask in enumerate(PATTERNS):
+                    if k >= len(MASKS) and len(mask) != len(words):
+                        continue
                     found = seed_hashes(words, mask).view(np.int64)
                     n = len(found)
                     if n:
@@ -106,8 +111,8 @@ def bloom(seeds: DataFrame) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def hit_clusters(docs: DataFrame, packed: bytes) -> DataFrame:
-    """Stretches of documents around seeds that pass the filter; no shuffle."""
+def hit_clusters(docs: DataFrame, packed: bytes, used: list[int]) -> DataFrame:
+    """Stretches of documents around seeds of the used patterns that pass the filter; no shuffle."""
     broadcast = docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches):
@@ -118,7 +123,7 @@ def hit_clusters(docs: DataFrame, packed: bytes) -> DataFrame:
             columns = (batch.column(n).to_pylist() for n in ("doc_id", "text_hash", "text"))
             for doc_id, text_hash, text in zip(*columns, strict=True):
                 words = word_hashes(text)
-                for begin, end, hits in _clusters(words, bits, mask):
+                for begin, end, hits in _clusters(words, bits, mask, used):
                     rows.append((doc_id, text_hash, begin, words[begin:end].view(np.int64), hits))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), CLUSTERS, strict=True)], schema=CLUSTERS)
@@ -127,11 +132,11 @@ def hit_clusters(docs: DataFrame, packed: bytes) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_hash, "text").mapInArrow(run, spark_schema(CLUSTERS))
 
 
-def _clusters(words: np.ndarray, bits: np.ndarray, mask: np.uint64):
+def _clusters(words: np.ndarray, bits: np.ndarray, mask: np.uint64, used: list[int]):
     """(begin, end, hits) where hits lie within REACH of each other; places count from begin."""
     found = []
-    for k, pattern in enumerate(MASKS):
-        seeds = seed_hashes(words, pattern)
+    for k in used:
+        seeds = seed_hashes(words, PATTERNS[k])
         passed = bits[seeds >> np.uint64(BLOOM_SHIFTS[0]) & mask]
         at = np.flatnonzero(passed)
         at = at[bits[seeds[at] >> np.uint64(BLOOM_SHIFTS[1]) & mask]]
@@ -168,7 +173,8 @@ def overlaps(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame
     """doc_id, text_hash, item_id, n_equal, item_words: each document's best overlap with each item."""
     items = items.select(F.col("item_id").cast("long"), "text")
     seeds = stored(benchmark_seeds(items), "decontam-seeds")
-    clusters = hit_clusters(docs, bloom(seeds)).withColumn("cluster", F.monotonically_increasing_id())
+    used = sorted(r["mask"] for r in seeds.select("mask").distinct().collect())
+    clusters = hit_clusters(docs, bloom(seeds), used).withColumn("cluster", F.monotonically_increasing_id())
     clusters = stored(clusters, "decontam-clusters")
     hits = clusters.select("cluster", F.explode("hits").alias("hit")).select("cluster", "hit.*")
     diagonals = hits.join(seeds.withColumnRenamed("at", "item_at"), ["mask", "hash"])
