@@ -49,12 +49,12 @@ def unresolved_references(refs: DataFrame, keys: Sequence[str] = ()) -> DataFram
 
 
 def reference_pages(refs: DataFrame, catalog: DataFrame, on: Sequence[str], limit: int | None = None) -> DataFrame:
-    """Each reference's catalogue page: equal beginnings score 3, containment 2; then the shorter and earlier name.
+    """Each reference's catalogue page: a name that equals it before `` - `` scores 3, containment 2; then the shorter and earlier name.
 
     on: columns that refs and catalog share and that bound what is compared.
     """
-    ref, name = sheet_key(F.col("ref")), sheet_key(F.col("sheet_name"))
-    score = F.when(ref == "", 0).when(F.startswith(name, ref), 3).when(F.contains(name, ref), 2).otherwise(0)
+    ref, name = (F.translate(F.regexp_replace(F.upper(c), r"^\s+|\s+$", ""), "/.", "--") for c in ("ref", "sheet_name"))
+    score = F.when(ref == "", 0).when(F.substring_index(name, " - ", 1) == ref, 3).when(F.contains(name, ref), 2).otherwise(0)
     scored = refs.join(catalog, list(on)).withColumn("score", score).where("score > 0")
     best = first_rows(scored, [*on, "ref"], [F.desc("score"), F.length("sheet_name"), "page_id"])
     return best if limit is None else first_rows(best, list(on), ["ref"], limit)
