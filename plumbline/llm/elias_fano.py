@@ -32,28 +32,30 @@ class EliasFano:
 
     def select(self, i: int) -> int:
         """The i-th value, from its sampled neighbourhood alone."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        start, rank = int(self.samples[i // SAMPLE]), i % SAMPLE
-        byte, width = start // 8, 64
+        return int(self.select_run(i, i + 1)[0])
+
+    def select_run(self, i: int, j: int) -> np.ndarray:
+        """The values i to j - 1: one select and the bits from there on, so memory follows the run."""
+        if not 0 <= i < j <= self.n:
+            raise IndexError((i, j))
+        start, rank, last = int(self.samples[i // SAMPLE]), i % SAMPLE, i % SAMPLE + j - i
+        byte, width = start // 8, 8 + (last * 3) // 8
         while True:
             found = np.flatnonzero(np.unpackbits(self.high[byte : byte + width], bitorder="little")[start - 8 * byte :])
-            if len(found) > rank:
+            if len(found) >= last:
                 break
             width *= 4
-        return ((start + int(found[rank]) - i) << self.low_bits) | self._low(i)
+        ones = start + found[rank:last]
+        return ((ones - np.arange(i, j)).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i, j)
 
-    def _low(self, i: int) -> int:
-        first, last = i * self.low_bits, (i + 1) * self.low_bits
-        part = int.from_bytes(self.low[first // 8 : (last + 7) // 8].tobytes(), "little")
-        return part >> first % 8 & ((1 << self.low_bits) - 1)
+    def _low(self, i: int, j: int) -> np.ndarray:
+        first, width = i * self.low_bits, self.low_bits
+        bits = np.unpackbits(self.low[first // 8 : (j * width + 7) // 8], bitorder="little")[first % 8 :][: (j - i) * width]
+        return (bits.reshape(j - i, width).astype(np.uint64) << np.arange(width, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
     def values(self) -> np.ndarray:
-        """Every value in turn: select for all places at once."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        low = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits).astype(np.uint64)
-        low = (low << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
-        return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | low
+        """Every value: for small codes only, it is a full table."""
+        return self.select_run(0, self.n) if self.n else np.empty(0, np.uint64)
 
     def to_bytes(self) -> bytes:
         head = _HEAD.pack(self.n, self.universe, self.low_bits, len(self.low), len(self.high))

@@ -4,6 +4,10 @@ A vocabulary's pre-tokenizer cuts a text at white space before any merge, so ids
 concatenated ids of such chunks.  Chunks repeat, and each task looks most of them up.  A new chunk
 that is one pre-token by itself (Latin letters) goes straight to the tokenizer's model; any other
 goes through the whole tokenizer.  The memo is bounded, and long chunks bypass it.
+
+Control strings of a vocabulary (its added tokens) inside a text become their own ids, as the
+tokenizers library does it: they part a text before anything else, and what stands between two of
+them is encoded as a text of its own.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import public_tokenizers
 from tokenizers import Tokenizer, pre_tokenizers
 
 #: Chunks remembered by a worker, and the length beyond which one is not remembered.
-MEMO_ENTRIES, MEMO_CHARS = 1 << 19, 64
+MEMO_ENTRIES, MEMO_CHARS = 1 << 18, 64
 #: The last character of which all Latin-1 letters are their own composed form.
 LATIN = "ÿ"
 
@@ -43,16 +47,17 @@ class _Memo(dict):
 
 
 class Encoder:
-    """ids as little-endian unsigned 32-bit bytes.  Control strings inside a text are ordinary text."""
+    """ids as little-endian unsigned 32-bit bytes: the same as the vocabulary's tokenizer gives without special tokens."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.alphabet = _byte_alphabet()
         assert set(self.alphabet.values()) == set(pre_tokenizers.ByteLevel.alphabet())
+        self.added = {t.content: self.id_bytes[i] for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.control = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
 
     def direct(self, text: str) -> bytes:
         return b"".join([self.id_bytes[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
@@ -63,6 +68,13 @@ class Encoder:
         return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(shown)])
 
     def encode(self, text: str) -> bytes:
+        parts = self.control.split(text)
+        if len(parts) == 1:
+            return self.plain(text)
+        return b"".join([self.added[part] if k % 2 else self.plain(part) for k, part in enumerate(parts)])
+
+    def plain(self, text: str) -> bytes:
+        """The ids of a text without control strings."""
         raise NotImplementedError
 
 
@@ -77,7 +89,7 @@ class WordEncoder(Encoder):
         super().__init__(path)
         self.memo = _Memo(self.chunk)
 
-    def encode(self, text: str) -> bytes:
+    def plain(self, text: str) -> bytes:
         return b"".join(map(self.memo.__getitem__, text.encode().split()))
 
     def chunk(self, chunk: bytes) -> bytes:
@@ -100,7 +112,7 @@ class SpacedEncoder(Encoder):
         self.first, self.spaced = _Memo(lambda c: self.chunk("", c)), _Memo(lambda c: self.chunk(" ", c))
         self.newline = self.direct("\n")
 
-    def encode(self, text: str) -> bytes:
+    def plain(self, text: str) -> bytes:
         if self._pair.search(text):
             # A space between two other characters always begins a pre-token; other runs of white space stay whole.
             head, *rest = self._safe.split(text)

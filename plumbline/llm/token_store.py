@@ -26,12 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, record_batches, spark_schema
+from .common import arrow_schema, portions, record_batches, spark_schema
 from .elias_fano import EliasFano
 from .encoding import encoder
 
 END_ID = (0).to_bytes(4, "little")
 MAGIC = b"EFTK"
+#: Documents whose offsets are selected at once when a shard is read from end to end.
+RUN = 256
 #: magic, bytes an id, documents, documents without doc_id, first doc_id, ids before in the range, lengths of both codes
 _HEAD = struct.Struct("<4sBQQqQQQ")
 
@@ -62,29 +64,34 @@ class Shard:
         self.names = EliasFano.from_bytes(image[at + n_bounds : at + n_bounds + n_names])
         self.ids = np.frombuffer(image, f"<u{id_bytes}", -1, at + n_bounds + n_names)
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.n_null + [self.first + int(d) for d in self.names.values()]
-
     def document(self, k: int) -> np.ndarray:
         """The ids of the k-th document, by two selects."""
         return self.ids[self.bounds.select(k) : self.bounds.select(k + 1)]
 
+    def doc_ids(self, k: int, end: int) -> list[int | None]:
+        """The doc_ids of the documents k to end - 1."""
+        nulls, first, last = max(0, min(end, self.n_null) - k), max(0, k - self.n_null), end - self.n_null
+        return [None] * nulls + ([self.first + d for d in self.names.select_run(first, last).tolist()] if last > first else [])
+
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """doc_id, ids before it in the range, ids."""
-        bounds = self.bounds.values().astype(np.int64)
-        for doc_id, a, b in zip(self.doc_ids(), bounds, bounds[1:], strict=False):
-            yield doc_id, self.before + int(a), self.ids[a:b]
+        """doc_id, ids before it in the range, ids: offsets are selected for RUN documents at a time, never as one table."""
+        for k in range(0, self.n_docs, RUN):
+            end = min(k + RUN, self.n_docs)
+            bounds = self.bounds.select_run(k, end + 1).tolist()
+            for doc_id, a, b in zip(self.doc_ids(k, end), bounds, bounds[1:], strict=False):
+                yield doc_id, self.before + a, self.ids[a:b]
 
 
-def write_shards(docs: DataFrame, path: str, vocabulary: str, shard_ids: int = 1 << 18, id_bytes: int = 2) -> None:
+def write_shards(docs: DataFrame, path: str, vocabulary: str, shard_ids: int = 1 << 18) -> None:
     """Every document of (doc_id, text) encoded into shards at path, in ascending doc_id order."""
 
     def encode_range(batches):
         encode, task = encoder(vocabulary).encode, TaskContext.get().partitionId()
+        id_bytes = 2 if len(encoder(vocabulary).id_bytes) <= 1 << 16 else 4
 
         def rows():
             names, held, size, before, k = [], [], 0, 0, 0
-            for batch in batches:
+            for batch in portions(batches):
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     ids = encode(text or "") + END_ID
                     names.append(doc_id)
