@@ -3,13 +3,16 @@
 A seed is a fixed mask over consecutive words: the words at its ones are hashed together, those at
 its zeros are ignored, so a test passage with words replaced still shares seeds with its source.
 Every position of every benchmark item and of every document is hashed under each mask; an item
-shorter than every mask is hashed whole, and documents at that length too.  A Bloom
-filter of fixed size over the benchmark's hashes thins the documents' hashes where they
-lie; those that pass are equality-joined with the benchmark's, whose every join row names an item and a
-diagonal.  Each diagonal is then read word by word, and counts as an overlap if its best stretch
-(a point for an equal word, two less for another) has enough equal words.
+shorter than every mask is hashed whole, and documents at that length too.  A Bloom filter over
+the benchmark's hashes thins the documents' hashes where they lie; a text's distinct hashes that pass
+are equality-joined with the distinct hashes of each item.  A text and an item that meet are read
+once, whole text against whole item: every diagonal that a shared seed names is followed word by
+word, and counts as an overlap if its best stretch (a point for an equal word, two less for
+another) has enough equal words.
 
-The filter's size bounds what is broadcast whatever the benchmark's size; the join is Spark's.
+Texts are told apart by their hash and read once however often they are repeated.  What meets
+is (text, item), not places, so a word repeated in both adds no row.  The filter grows with the
+benchmark up to a fixed size; beyond that more hashes pass it, and the join sorts them out.
 
 Defined results: null or empty texts and items have no words and match nothing; items with fewer
 than `least` words must be found whole; a null item_id is an item of its own name; repeated rows
@@ -23,10 +26,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, spark_schema, stored
+from .common import arrow_schema, bloom, passes, portions, record_batches, spark_schema, stored
 
 #: Masks of six words each: any stretch of 13 words with a replaced word in it keeps a seed.
 MASKS = ("11101011", "1101100101", "110010100101")
@@ -34,14 +37,14 @@ MASKS = ("11101011", "1101100101", "110010100101")
 PATTERNS = (*MASKS, *("1" * n for n in range(1, min(map(len, MASKS)))))
 #: Equal words that an overlap needs.
 LEAST = 10
-#: Words kept on either side of a hit to read the diagonal: an overlap may go on beyond, its count is then cut.
-REACH = 64
-#: Positions of the Bloom filter, a power of two, and its hash functions.
-BLOOM_BITS, BLOOM_SHIFTS = 22, (42, 17)
+#: Characters whose words are hashed at once.
+BLOCK = 1 << 18
+#: Pairs of places beyond which a pair's diagonals are found by shifted bit sets.
+MANY = 1 << 20
 
-_WORD = re.compile(r"\w+")
+_WORD, _GAP = re.compile(r"\w+"), re.compile(r"\W")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F], dtype=np.uint64)
-_MEMO_ENTRIES = 1 << 18
+_MEMO_ENTRIES = 1 << 17
 
 
 class _WordHashes(dict):
@@ -57,8 +60,14 @@ _HASHES = _WordHashes()
 
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash of each word: runs of letters, digits and underscores, case apart."""
-    words = _WORD.findall(text.lower()) if text else []
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    low, at, parts = (text or "").lower(), 0, []
+    while at < len(low):
+        gap = _GAP.search(low, at + BLOCK)
+        end = gap.start() if gap else len(low)
+        words = _WORD.findall(low, at, end)
+        parts.append(np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
 def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
@@ -74,87 +83,56 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
-SEEDS = arrow_schema(mask=pa.int32(), hash=pa.int64(), item_id=pa.int64(), at=pa.int32())
-CLUSTERS = arrow_schema(
-    doc_id=pa.int64(),
-    text_hash=pa.int64(),
-    begin=pa.int64(),
-    words=pa.list_(pa.int64()),
-    hits=pa.list_(pa.struct({"mask": pa.int32(), "hash": pa.int64(), "at": pa.int32()})),
-)
+def patterns_of(n: int) -> list[int]:
+    """The patterns under which an item of n words is hashed."""
+    return [k for k, mask in enumerate(PATTERNS) if (len(mask) <= n if k < len(MASKS) else len(mask) == n)]
+
+
+SEEDS = arrow_schema(item=pa.int64(), pattern=pa.int32(), hash=pa.int64())
+
+
+def text_hash(text: Column) -> Column:
+    """The hash of null differs from that of every text."""
+    return F.xxhash64(text, text.isNull())
 
 
 def benchmark_seeds(items: DataFrame) -> DataFrame:
-    """(item_id, text) to (mask, hash, item_id, at)."""
+    """(item, item_text) to the distinct (item, pattern, hash)."""
 
     def run(batches):
-        for batch in batches:
-            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for batch in portions(batches, "item_text"):
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("item_text").to_pylist(), strict=True):
                 words = word_hashes(text)
-                for k, mask in enumerate(PATTERNS):
-                    if k >= len(MASKS) and len(mask) != len(words):
-                        continue
-                    found = seed_hashes(words, mask).view(np.int64)
-                    n = len(found)
-                    if n:
-                        columns = [np.full(n, k, np.int32), found, pa.array([item] * n, pa.int64()), np.arange(n, dtype=np.int32)]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=SEEDS)
+                for k in patterns_of(len(words)):
+                    found = np.unique(seed_hashes(words, PATTERNS[k])).view(np.int64)
+                    columns = [np.full(len(found), item), np.full(len(found), k, np.int32), found]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=SEEDS)
 
-    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, spark_schema(SEEDS))
+    return items.select("item", "item_text").mapInArrow(run, spark_schema(SEEDS))
 
 
-def bloom(seeds: DataFrame) -> bytes:
-    """The packed filter: at most 2**BLOOM_BITS places come to the driver, however many seeds there are."""
-    mask, bits = (1 << BLOOM_BITS) - 1, np.zeros(1 << BLOOM_BITS, bool)
-    places = F.explode(F.array(*(F.shiftrightunsigned("hash", s).bitwiseAND(F.lit(mask)) for s in BLOOM_SHIFTS)))
-    bits[[r["p"] for r in seeds.select(places.alias("p")).distinct().collect()]] = True
-    return np.packbits(bits).tobytes()
+HITS = arrow_schema(text_hash=pa.int64(), pattern=pa.int32(), hash=pa.int64())
 
 
-def hit_clusters(docs: DataFrame, packed: bytes, used: list[int]) -> DataFrame:
-    """Stretches of documents around seeds of the used patterns that pass the filter; no shuffle."""
-    broadcast = docs.sparkSession.sparkContext.broadcast(packed)
+def hits(texts: DataFrame, packed: np.ndarray, used: list[int]) -> DataFrame:
+    """(text_hash, text) to each text's distinct hashes under the used patterns that pass the filter; no shuffle."""
+    broadcast = texts.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches):
-        bits = np.unpackbits(np.frombuffer(broadcast.value, np.uint8)).astype(bool)
-        mask = np.uint64(len(bits) - 1)
-        for batch in batches:
-            rows = []
-            columns = (batch.column(n).to_pylist() for n in ("doc_id", "text_hash", "text"))
-            for doc_id, text_hash, text in zip(*columns, strict=True):
-                words = word_hashes(text)
-                for begin, end, hits in _clusters(words, bits, mask, used):
-                    rows.append((doc_id, text_hash, begin, words[begin:end].view(np.int64), hits))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), CLUSTERS, strict=True)], schema=CLUSTERS)
+        bits = broadcast.value
 
-    text_hash = F.xxhash64(F.col("text"), F.col("text").isNull()).alias("text_hash")
-    return docs.select(F.col("doc_id").cast("long"), text_hash, "text").mapInArrow(run, spark_schema(CLUSTERS))
+        def rows():
+            for batch in portions(batches):
+                for name, text in zip(batch.column("text_hash").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    words = word_hashes(text)
+                    for k in used:
+                        seeds = seed_hashes(words, PATTERNS[k])
+                        for h in np.unique(seeds[passes(bits, seeds)]).view(np.int64).tolist():
+                            yield name, k, h
 
+        yield from record_batches(rows(), HITS)
 
-def _clusters(words: np.ndarray, bits: np.ndarray, mask: np.uint64, used: list[int]):
-    """(begin, end, hits) where hits lie within REACH of each other; places count from begin."""
-    found = []
-    for k in used:
-        seeds = seed_hashes(words, PATTERNS[k])
-        passed = bits[seeds >> np.uint64(BLOOM_SHIFTS[0]) & mask]
-        at = np.flatnonzero(passed)
-        at = at[bits[seeds[at] >> np.uint64(BLOOM_SHIFTS[1]) & mask]]
-        found += zip(at.tolist(), [k] * len(at), seeds[at].view(np.int64).tolist(), strict=True)
-    found.sort()
-    group: list[tuple] = []
-    for hit in found:
-        if group and hit[0] - group[-1][0] > REACH:
-            yield _cluster(group, len(words))
-            group = []
-        group.append(hit)
-    if group:
-        yield _cluster(group, len(words))
-
-
-def _cluster(group: list[tuple], n: int):
-    begin, end = max(0, group[0][0] - REACH), min(n, group[-1][0] + len(max(MASKS, key=len)) + REACH)
-    return begin, end, [{"mask": k, "hash": h, "at": at - begin} for at, k, h in group]
+    return texts.select("text_hash", "text").mapInArrow(run, spark_schema(HITS))
 
 
 def best_stretch(equal: np.ndarray) -> int:
@@ -166,43 +144,92 @@ def best_stretch(equal: np.ndarray) -> int:
     return int(equal[start : end + 1].sum())
 
 
-VERIFIED = arrow_schema(doc_id=pa.int64(), text_hash=pa.int64(), item_id=pa.int64(), n_equal=pa.int32(), item_words=pa.int32())
+def diagonals(words: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """The distinct shifts (place in the text less place in the item) of all seeds that both hold."""
+    found = []
+    for k in patterns_of(len(item)):
+        a, b = seed_hashes(words, PATTERNS[k]), seed_hashes(item, PATTERNS[k])
+        order = np.argsort(b, kind="stable")
+        low, high = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+        counts = high - low
+        if counts.sum() <= MANY:
+            at = np.flatnonzero(counts)
+            starts = np.repeat(low[at] - np.concatenate([[0], np.cumsum(counts[at])[:-1]]), counts[at])
+            found.append(np.repeat(at, counts[at]) - order[starts + np.arange(starts.size)])
+        else:
+            found.append(_shifted(a, b))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def _shifted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same for words repeated so often that pairs of places are too many: a's places as a bit set, shifted for each of b's."""
+    out = 0
+    for h in np.intersect1d(a, b):
+        places = int.from_bytes(np.packbits(a == h, bitorder="little").tobytes(), "little")
+        for place in np.flatnonzero(b == h).tolist():
+            out |= places << (len(b) - place)
+    held = np.unpackbits(np.frombuffer(out.to_bytes((out.bit_length() + 7) // 8, "little"), np.uint8), bitorder="little")
+    return np.flatnonzero(held) - len(b)
+
+
+def overlap(words: np.ndarray, item: np.ndarray) -> int:
+    """Equal words of the best stretch on any diagonal with a seed; the whole item ends the search."""
+    best = 0
+    for shift in diagonals(words, item).tolist():
+        a, b = max(0, -shift), min(len(item), len(words) - shift)
+        best = max(best, best_stretch(item[a:b] == words[a + shift : b + shift]))
+        if best == len(item):
+            break
+    return best
+
+
+VERIFIED = arrow_schema(text_hash=pa.int64(), item=pa.int64(), n_equal=pa.int32(), item_words=pa.int32())
+
+
+def _verified(pairs: DataFrame, least: int) -> DataFrame:
+    """(text_hash, text, item, item_text) in order of texts to their overlaps."""
+
+    def run(batches):
+        def rows():
+            last, words = None, None
+            for batch in portions(batches):
+                columns = (batch.column(n).to_pylist() for n in ("text_hash", "text", "item", "item_text"))
+                for name, text, item, item_text in zip(*columns, strict=True):
+                    if name != last:
+                        last, words = name, word_hashes(text)
+                    wanted = word_hashes(item_text)
+                    n = overlap(words, wanted)
+                    if n >= min(least, len(wanted)):
+                        yield name, item, n, len(wanted)
+
+        yield from record_batches(rows(), VERIFIED)
+
+    return pairs.select("text_hash", "text", "item", "item_text").sortWithinPartitions("text_hash").mapInArrow(run, spark_schema(VERIFIED))
+
+
+def text_overlaps(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame:
+    """text_hash, item_id, n_equal, item_words: each distinct text's best overlap with each item."""
+    named = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).where("item_text IS NOT NULL").distinct()
+    named = stored(named.withColumn("item", F.xxhash64("item_id", F.col("item_id").isNull(), "item_text")), "decontam-items")
+    seeds = stored(benchmark_seeds(named), "decontam-seeds")
+    used = sorted(r["pattern"] for r in seeds.select("pattern").distinct().collect())
+    texts = docs.select(text_hash(F.col("text")).alias("text_hash"), "text")
+    found = stored(hits(texts, bloom(seeds, "hash"), used), "decontam-hits")
+    pairs = found.distinct().join(seeds, ["pattern", "hash"]).select("text_hash", "item").distinct()
+    concerned = texts.join(found.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    read = pairs.join(concerned, "text_hash").join(named.select("item", "item_text"), "item")
+    return _verified(read, least).join(named.select("item", "item_id"), "item").select("text_hash", "item_id", "n_equal", "item_words")
 
 
 def overlaps(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, text_hash, item_id, n_equal, item_words: each document's best overlap with each item."""
-    items = items.select(F.col("item_id").cast("long"), "text")
-    seeds = stored(benchmark_seeds(items), "decontam-seeds")
-    used = sorted(r["mask"] for r in seeds.select("mask").distinct().collect())
-    clusters = hit_clusters(docs, bloom(seeds), used).withColumn("cluster", F.monotonically_increasing_id())
-    clusters = stored(clusters, "decontam-clusters")
-    hits = clusters.select("cluster", F.explode("hits").alias("hit")).select("cluster", "hit.*")
-    diagonals = hits.join(seeds.withColumnRenamed("at", "item_at"), ["mask", "hash"])
-    diagonals = diagonals.select("cluster", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    texts = items.withColumnRenamed("text", "item_text")
-    to_read = diagonals.join(clusters.drop("hits"), "cluster").join(texts, diagonals["item_id"].eqNullSafe(texts["item_id"])).drop(texts["item_id"])
-
-    def verify(batches):
-        for batch in batches:
-            rows = []
-            columns = (batch.column(n).to_pylist() for n in ("doc_id", "text_hash", "item_id", "shift", "words", "item_text"))
-            for doc_id, text_hash, item_id, shift, words, text in zip(*columns, strict=True):
-                words, item = np.array(words, np.int64), word_hashes(text).view(np.int64)
-                a, b = max(0, -shift), min(len(item), len(words) - shift)
-                n = best_stretch(item[a:b] == words[a + shift : b + shift])
-                if n >= min(least, len(item)):
-                    rows.append((doc_id, text_hash, item_id, n, len(item)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), VERIFIED, strict=True)], schema=VERIFIED)
-
-    read = to_read.select("doc_id", "text_hash", "item_id", "shift", "words", "item_text").mapInArrow(verify, spark_schema(VERIFIED))
-    best = F.max(F.struct("n_equal", "item_words")).alias("best")
-    return read.groupBy("doc_id", "text_hash", "item_id").agg(best).select("doc_id", "text_hash", "item_id", "best.n_equal", "best.item_words")
+    found = stored(text_overlaps(docs, items, least), "decontam-found")
+    best = found.groupBy("text_hash", "item_id").agg(F.max(F.struct("n_equal", "item_words")).alias("best"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash")).distinct()
+    return ids.join(best, "text_hash").select("doc_id", "text_hash", "item_id", "best.n_equal", "best.item_words")
 
 
 def clean(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame:
-    """The documents without an overlap, with all their columns; a null doc_id is matched by its text."""
-    found = overlaps(docs, items, least).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    found = stored(found, "decontam-found")
-    text_hash = F.xxhash64(docs["text"], docs["text"].isNull())
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_id"]) & (text_hash == found["_hash"]), "left_anti")
+    """The documents whose text has no overlap, with all their columns."""
+    found = stored(text_overlaps(docs, items, least).select(F.col("text_hash").alias("_hash")).distinct(), "decontam-found")
+    return docs.join(found, text_hash(docs["text"]) == found["_hash"], "left_anti")
