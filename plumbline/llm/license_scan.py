@@ -1,9 +1,11 @@
 """License scans: an exact set-similarity join of text blocks with notice templates.
 
-A block is a line of a document; a template is a notice as its set of words.  A block meets a
-template if it holds at least `threshold` of the template's words.  Only words that stand in some
-template can count, so a block is reduced to those at once.  Words are ordered by their frequency
-over all blocks of the corpus, rarest first, and three filters go before the exact count:
+A block is a number of consecutive lines of a document: as many as a notice of that many words may be
+wrapped over (`reach_of`).  A template is a notice as its set of words.  A block meets a template of its
+reach if it holds at least `threshold` of the template's words.  Only words that stand in some
+template can count, so lines are reduced to those at once, and blocks are put together from reduced
+lines.  Words are ordered by their frequency over all blocks of the corpus, rarest first, and three
+filters go before the exact count:
 
 * prefix: of n words with `need` required, a block must hold one of the first n - need + 1;
 * length: the block must have `need` template words at all;
@@ -49,6 +51,16 @@ TEMPLATES = (
     ("public-domain", "This is free and unencumbered software released into the public domain"),
     ("reserved", "All rights reserved"),
     ("proprietary", "No part of this publication may be reproduced without prior written permission"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software "
+        "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+        "and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+    ),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appear in all copies"),
 )
 
 
@@ -56,6 +68,11 @@ def _words_of(notice: str) -> list[str]:
     return [w for w in re.split(GAP, notice.lower()) if w]
 
 
+def reach_of(words: Sequence[str]) -> int:
+    """Lines over which a notice of these words may be wrapped, with eight words a line at least."""
+    return 1 + len(words) // 8
+
+
 def _need(n: int, threshold: float) -> int:
     """The fewest words that reach the threshold, safe from rounding."""
     return math.ceil(n * threshold - 1e-9)
@@ -84,14 +101,23 @@ def _count(doubled: Column) -> Column:
     return F.floor((F.length(doubled) - F.length(F.replace(doubled, F.lit(" "), F.lit("")))) / 2).cast("int")
 
 
-def _reduced(docs: DataFrame, phrases: Mapping[str, str], vocabulary: Sequence[str]) -> DataFrame:
-    """One pass over the texts: word counts, phrase places, and each block's template words."""
+def _blocks(lines: Column, reach: int, least: int) -> Column:
+    """Windows of `reach` reduced lines, each begun at a line with a template word, that hold `least` words."""
+    windows = F.transform(lines, lambda line, i: F.when(F.size(line) > 0, F.array_distinct(F.flatten(F.slice(lines, i + 1, F.lit(reach))))))
+    held = F.filter(windows, lambda words: F.size(words) >= least)
+    return F.transform(held, lambda words: F.struct(F.lit(reach).alias("reach"), words.alias("words")))
+
+
+def _reduced(docs: DataFrame, phrases: Mapping[str, str], vocabulary: Sequence[str], needs: Mapping[int, int]) -> DataFrame:
+    """One pass over the texts: word counts, phrase places, and the template words of each block."""
     rows = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("low"))
-    blocks = F.transform(F.split("low", "\n"), lambda line: F.array_distinct(F.filter(F.split(line, GAP), lambda w: w.isin(*vocabulary))))
+    lines = F.transform(F.split("low", "\n"), lambda line: F.array_distinct(F.filter(F.split(line, GAP), lambda w: w.isin(*vocabulary))))
+    # Bound to a variable, so that lines are reduced once for all reaches.
+    blocks = F.transform(F.array(lines), lambda own: F.concat(*(_blocks(own, reach, least) for reach, least in sorted(needs.items()))))[0]
     doubled = F.concat(F.lit(" "), F.regexp_replace("low", GAP, "  "), F.lit(" "))
     # Gaps at either end leave spaces that surround nothing.
     trimmed = F.trim(doubled)
-    rows = rows.select("doc_id", F.when(trimmed == "", "").otherwise(F.concat(F.lit(" "), trimmed, F.lit(" "))).alias("doubled"), F.filter(blocks, lambda b: F.size(b) > 0).alias("blocks"))
+    rows = rows.select("doc_id", F.when(trimmed == "", "").otherwise(F.concat(F.lit(" "), trimmed, F.lit(" "))).alias("doubled"), blocks.alias("blocks"))
     places = F.array(*(F.struct(F.lit(label).alias("label"), _starts(F.col("doubled"), p).alias("starts")) for p, label in phrases.items()))
     return rows.select("doc_id", _count(F.col("doubled")).cast("long").alias("n_words"), places.alias("places"), "blocks")
 
@@ -110,7 +136,10 @@ def scan(
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row."""
     notices = [(k, label, sorted(set(_words_of(notice)))) for k, (label, notice) in enumerate(templates)]
     vocabulary = sorted({w for _, _, words in notices for w in words})
-    reduced = _reduced(docs, phrases, vocabulary).withColumn("row", F.monotonically_increasing_id())
+    needs: dict[int, int] = {}
+    for _, _, words in notices:
+        needs[reach_of(words)] = min(needs.get(reach_of(words), len(words)), _need(len(words), threshold))
+    reduced = _reduced(docs, phrases, vocabulary, needs).withColumn("row", F.monotonically_increasing_id())
     rows = stored(reduced, "license-blocks")
     found = _joined(rows, notices, vocabulary, threshold)
     best = found.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("contained").alias("contained"))
@@ -131,20 +160,20 @@ def scan(
 
 def _joined(rows: DataFrame, notices: list, vocabulary: list[str], threshold: float) -> DataFrame:
     """(row, label, contained) of every block that meets a template."""
-    blocks = rows.select("row", F.explode("blocks").alias("block"))
+    blocks = rows.select("row", F.inline("blocks")).withColumnRenamed("words", "block")
     counted = blocks.select(F.explode("block").alias("word")).groupBy("word").count()
     frequency = {r["word"]: r["count"] for r in counted.collect()}  # at most the templates' own words
     order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
     prefixes = []
-    for key, label, words in notices:
+    for _, label, words in notices:
         ordered, need = sorted(words, key=rank.get), _need(len(words), threshold)
-        prefixes += [(w, key, label, k, len(words), need, ordered) for k, w in enumerate(ordered[: len(words) - need + 1])]
-    schema = "word string, template int, label string, t_at int, t_size int, need int, template_words array<string>"
+        prefixes += [(w, reach_of(words), label, k, len(words), need, ordered) for k, w in enumerate(ordered[: len(words) - need + 1])]
+    schema = "word string, reach int, label string, t_at int, t_size int, need int, template_words array<string>"
     prefix = F.broadcast(rows.sparkSession.createDataFrame(prefixes, schema))
-    ordered_blocks = blocks.select("row", F.array_intersect(F.array(*map(F.lit, order)), "block").alias("block"))
-    probes = ordered_blocks.select("row", "block", F.posexplode("block").alias("b_at", "word"))
+    ordered_blocks = blocks.select("row", "reach", F.array_intersect(F.array(*map(F.lit, order)), "block").alias("block"))
+    probes = ordered_blocks.select("row", "reach", "block", F.posexplode("block").alias("b_at", "word"))
     remaining = F.least(F.col("t_size") - F.col("t_at"), F.size("block") - F.col("b_at"))
-    candidates = probes.join(prefix, "word").where((F.size("block") >= F.col("need")) & (remaining >= F.col("need")))
+    candidates = probes.join(prefix, ["word", "reach"]).where((F.size("block") >= F.col("need")) & (remaining >= F.col("need")))
     shared = F.size(F.array_intersect("block", "template_words"))
     return candidates.where(shared >= F.col("need")).select("row", "label", (shared / F.col("t_size")).alias("contained"))

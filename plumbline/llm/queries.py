@@ -65,12 +65,16 @@ WITH low AS (
   UNION ALL SELECT r, i - 1, 'reserved' FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM worded WHERE t LIKE '%reserved%')
     WHERE w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved'
 ), notices AS (
-  SELECT n, label, list_distinct(regexp_extract_all(lower(notice), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS tw
-  FROM (VALUES {_literal_rows((k, *t) for k, t in enumerate(license_scan.TEMPLATES))}) AS v(n, label, notice)
+  SELECT label, tw, 1 + len(tw) // 8 AS reach
+  FROM (SELECT n, label, list_distinct(regexp_extract_all(lower(notice), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS tw
+    FROM (VALUES {_literal_rows((k, *t) for k, t in enumerate(license_scan.TEMPLATES))}) AS v(n, label, notice))
+), lined AS (
+  SELECT r, list_transform(string_split(t, chr(10)), lambda x: regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS lw FROM low
 ), blocks AS (
-  SELECT r, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS bw FROM low
+  SELECT r, reach, list_distinct(flatten(lw[i:i + reach - 1])) AS bw
+  FROM (SELECT r, lw, reach, unnest(range(1, len(lw) + 1)) AS i FROM lined, (SELECT DISTINCT reach FROM notices))
 ), met AS (
-  SELECT r, label, len(list_intersect(bw, tw)) / len(tw) AS c FROM blocks, notices
+  SELECT r, label, len(list_intersect(bw, tw)) / len(tw) AS c FROM blocks JOIN notices USING (reach)
   WHERE len(list_intersect(bw, tw)) >= ceil(0.8 * len(tw) - 1e-9)
 ), places AS (SELECT r, count(*) AS n, min(pos) AS f, max(pos) AS l FROM placed GROUP BY r
 ), labelled AS (
@@ -120,7 +124,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), labels, URL_RULES)
 
 
-_TWO = ", ".join(f"'{s}'" for s in url_filter.TWO_LABEL_SUFFIXES)
+_SECOND = "|".join(url_filter.SECOND_LEVEL)
 _FITS = "(host = split_part(place, '/', 1) OR ends_with(host, '.' || split_part(place, '/', 1))) AND starts_with(path, substr(place, strpos(place, '/')))"
 OP8_SQL = rf"""
 WITH cut AS (
@@ -135,10 +139,11 @@ WITH cut AS (
   SELECT host, count(quality) AS n, coalesce(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END), 0) AS k
   FROM cut LEFT JOIN labels ON page_id = doc_id GROUP BY host
 ), cut_hosts AS (
-  SELECT *, string_split(host, '.') AS p, array_to_string(string_split(host, '.')[-2:], '.') AS two FROM hosts
+  SELECT *, string_split(bare, '.') AS p, regexp_matches(bare, '^[0-9]+(\.[0-9]+){{3}}$|^\[') AS address, regexp_matches(bare, '(^|\.)({_SECOND})\.[a-z][a-z]$') AS two
+  FROM (SELECT *, regexp_replace(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '\.+$', '') AS bare FROM hosts)
 ), named AS (
-  SELECT host, n, k, CASE WHEN two IN ({_TWO}) THEN array_to_string(p[-3:], '.') ELSE two END AS domain,
-    CASE WHEN two IN ({_TWO}) THEN two ELSE p[-1] END AS suffix FROM cut_hosts
+  SELECT host, n, k, CASE WHEN address THEN bare WHEN two THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain,
+    CASE WHEN address THEN bare WHEN two THEN array_to_string(p[-2:], '.') ELSE p[-1] END AS suffix FROM cut_hosts
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM named GROUP BY ALL
 ), suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL
 ), moments AS (
@@ -167,7 +172,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("found", lambda s: s["rank"] < len(pii.BASE_KINDS))
     count = lambda name: F.size(F.filter("found", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
     return found.select(
-        "doc_id", *(count(k.name) for k in pii.BASE_KINDS), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("found")).alias("spans")
+        "doc_id", *(count(k.name) for k in pii.BASE_KINDS), F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(F.col("found")).alias("spans"), pii.scores(F.col("found")).alias("scores"),
     )
 
 
@@ -178,7 +184,9 @@ _PII_SQL = {
     "card": r"[0-9](?:[\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}",
-    "secret": r"[0-9a-f]{32,64}",
+    "secret": r"[0-9A-Fa-f]{32,64}",
+    "key": r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,64}",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _LUHN = (
@@ -190,6 +198,7 @@ _MOD97 = (
     f"length({_CODE}) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split(substr({_CODE}, 5) || substr({_CODE}, 1, 4), ''), "
     "lambda c: CASE WHEN ascii(c) < 58 THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, v: (a * CASE WHEN v < 10 THEN 10 ELSE 100 END + v) % 97) = 1"
 )
+_NEAR = "(regexp_matches(before, '(?i){0}') OR regexp_matches(after, '(?i){0}'))"
 OP9_SQL = (
     "WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), cut AS ("
     + " UNION ALL ".join(
@@ -197,24 +206,37 @@ OP9_SQL = (
         for rank, (kind, pattern) in enumerate(_PII_SQL.items())
     )
     + rf"""), matches AS (
-  SELECT r, rank, kind, ms[i] AS m, ps[i] AS before,
+  SELECT r, rank, kind, ms[i] AS m,
     list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
   FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM cut WHERE len(ms) > 0)
-), kept AS (
-  SELECT *, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(m) AS BIGINT) AS span FROM matches WHERE CASE kind
-    WHEN 'email' THEN true
+), placed AS (
+  SELECT matches.*, substr(t, CAST(greatest(s - 40, 0) AS BIGINT) + 1, CAST(least(s, 40) AS BIGINT)) AS before, substr(t, CAST(s + length(m) AS BIGINT) + 1, 40) AS after
+  FROM matches JOIN docs USING (r)
+), scored AS (
+  SELECT *, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(m) AS BIGINT) AS span, CASE kind
+    WHEN 'email' THEN 100
+    WHEN 'ip' THEN 60 + CASE WHEN {_NEAR.format(r"\bip\b|host|server|address")} THEN 30 ELSE 0 END
+    WHEN 'card' THEN 70 + CASE WHEN {_NEAR.format("card|credit|visa|payment")} THEN 30 ELSE 0 END
+    WHEN 'phone' THEN 60 + CASE WHEN {_NEAR.format(r"phone|mobile|call|\bfax\b|\btel\b")} THEN 30 ELSE 0 END
+    WHEN 'iban' THEN 80 + CASE WHEN {_NEAR.format("iban|account|konto|cuenta|compte")} THEN 20 ELSE 0 END
+    WHEN 'secret' THEN 30 + CASE WHEN {_NEAR.format("token|secret|password|passwd|api.?key|access.?key")} THEN 50 ELSE 0 END
+    WHEN 'key' THEN 90
+    ELSE 30 + CASE WHEN {_NEAR.format(r"\bssn\b|social.security")} THEN 50 ELSE 0 END END AS score
+  FROM placed WHERE CASE kind
     WHEN 'ip' THEN list_max(list_transform(string_split(m, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) > 3 THEN 999 WHEN ltrim(x, '0') = '' THEN 0 ELSE CAST(ltrim(x, '0') AS INT) END)) <= 255
     WHEN 'card' THEN {_LUHN}
     WHEN 'phone' THEN length({_DIGITS}) BETWEEN 9 AND 15
     WHEN 'iban' THEN {_MOD97}
-    ELSE regexp_matches(right(before, 40), '(?i)token|secret|password|passwd|api.?key|access.?key') END
+    WHEN 'ssn' THEN NOT regexp_matches(before, '[0-9-]$') AND NOT regexp_matches(after, '^[0-9-]')
+    ELSE true END
 ), joined AS (
   SELECT r, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("email", "ip", "card", "phone"))},
-    coalesce(string_agg(span, ',' ORDER BY s, rank) FILTER (rank < 4), '') AS base, string_agg(span, ',' ORDER BY s, rank) AS spans
-  FROM kept GROUP BY r
+    coalesce(string_agg(span, ',' ORDER BY s, rank) FILTER (rank < 4), '') AS base, string_agg(span, ',' ORDER BY s, rank) AS spans,
+    string_agg(CAST(score AS VARCHAR), ',' ORDER BY s, rank) AS scores
+  FROM scored WHERE score >= 50 GROUP BY r
 )
 SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ("email", "ip", "card", "phone"))},
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN joined USING (r)
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM docs LEFT JOIN joined USING (r)
 """
 )
 
