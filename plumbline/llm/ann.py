@@ -1,16 +1,23 @@
 """Approximate nearest neighbours by learned partitions.
 
 On a bounded sample of vectors a nearest-neighbour graph is built and cut into balanced partitions
-(balanced k-means, then graph moves that keep the sizes).  A softmax classifier learns each
-vector's partition and those of its graph neighbours.  Every distinct vector of the table is
-indexed in its `copies` most probable partitions; a query is routed to the `probes` most
-probable ones, where an exact search in double precision ranks what it finds.
+(balanced k-means, then graph moves that keep the sizes), about as many as the root of the number of
+vectors.  A softmax classifier learns each vector's partition and those of its graph neighbours.  Every
+distinct vector of the table is indexed in its most probable partition; a query is routed to its most
+probable ones, where an exact search in double precision ranks what it finds.  How many those
+are is measured: a second part of the sample, unseen in learning, is routed and searched, and the
+fewest partitions are taken with which it finds `RECALL` of its true neighbours.  Vectors in clusters
+need few; vectors without any structure need about half of all.
+
+Partitions are put together into blocks of about `BLOCK` vectors by their counted sizes, and a larger one is
+cut into several.  A block's vectors are held by one task, and all queries sent to it stream past them, each
+once a block, so memory is bounded whatever the number of queries.
 
 Equal vectors are one entry that keeps its smallest `top + 1` ids, cut down before the shuffle: more
-copies can never be ranked, so a vector that fills a third of the table costs one entry.  Partitions
-meet queries in blocks of bounded size.  A query that finds too few is searched again in all partitions.
+copies can never be ranked, so a vector that fills a third of the table costs one entry.  A query that
+finds too few is searched again in all partitions.
 
-Sample: the `SAMPLE` distinct vectors of smallest hash.  Everything else uses all rows.
+Sample: the distinct vectors of smallest hash, `SAMPLE` at most.  Everything else uses all rows.
 
 Defined results: a null vec_id, a vector that is null, zero or holds null or non-finite components,
 or whose length isn't the table's commonest, takes no part; a repeated row counts once; equal scores go
@@ -19,6 +26,8 @@ to smaller ids; further columns are ignored; fewer than two vectors give an empt
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -26,10 +35,14 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, spark_schema, stored
 
-#: Vectors that the partitions are learned from, and partitions at most.
-SAMPLE, PARTITIONS = 4096, 32
-#: Vectors a partition needs, neighbours in the graph, rows in a block.
-LEAST, NEIGHBOURS, BLOCK = 256, 10, 8192
+#: Sampled vectors at least and at most, half for learning and half for measuring; sampled vectors for each partition.
+SAMPLE, PER_PARTITION = (16384, 65536), 64
+#: Partitions at most, and the vectors that each needs.
+PARTITIONS, LEAST = 1024, 32
+#: Neighbours in the graph, vectors in a block, queries scored at once.
+NEIGHBOURS, BLOCK, AT_ONCE = 10, 8192, 256
+#: The share of true neighbours that sampled queries must find, and how many are asked.
+RECALL, ASKED = 0.94, 512
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -52,34 +65,33 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
 def neighbour_graph(vectors: np.ndarray, k: int) -> np.ndarray:
     """The k nearest others of each vector by inner product, block by block."""
     out = []
-    for at in range(0, len(vectors), 1024):
-        near = vectors[at : at + 1024] @ vectors.T
+    for at in range(0, len(vectors), 512):
+        near = vectors[at : at + 512] @ vectors.T
         near[np.arange(len(near)), np.arange(at, at + len(near))] = -np.inf
         out.append(np.argpartition(-near, k, axis=1)[:, :k])
     return np.concatenate(out)
 
 
-def balanced_partition(vectors: np.ndarray, graph: np.ndarray, parts: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+def balanced_partition(vectors: np.ndarray, graph: np.ndarray, parts: int, rng: np.random.Generator, rounds: int = 6) -> np.ndarray:
     """A part for each vector, none above 1.05 of the mean size, with few graph edges cut."""
     n, most = len(vectors), int(np.ceil(len(vectors) / parts * 1.05))
     centres = vectors[rng.choice(n, parts, replace=False)]
     for _ in range(rounds):
         near = vectors @ centres.T
         part, size = np.full(n, -1), np.zeros(parts, np.int64)
+        choices = np.argsort(-near, axis=1)
         for i in np.argsort(-near.max(1)):
-            for p in np.argsort(-near[i]):
-                if size[p] < most:
-                    part[i], size[p] = p, size[p] + 1
-                    break
-        centres = np.stack([vectors[part == p].mean(0) for p in range(parts)])
+            p = choices[i][size[choices[i]] < most][0]
+            part[i], size[p] = p, size[p] + 1
+        centres = np.stack([vectors[part == p].mean(0) if size[p] else centres[p] for p in range(parts)])
     for _ in range(rounds):
         votes, moved = _votes(graph, part, parts), 0
-        for i in rng.permutation(n):
-            p = votes[i].argmax()
-            if votes[i, p] > votes[i, part[i]] and size[p] < most:
+        best = votes.argmax(1)
+        for i in rng.permutation(np.flatnonzero(votes[np.arange(n), best] > votes[np.arange(n), part])):
+            if size[best[i]] < most:
                 size[part[i]] -= 1
-                size[p] += 1
-                part[i] = p
+                size[best[i]] += 1
+                part[i] = best[i]
                 moved += 1
         if not moved:
             break
@@ -89,7 +101,7 @@ def balanced_partition(vectors: np.ndarray, graph: np.ndarray, parts: int, rng:
 def _votes(graph: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
     """How many graph neighbours, either way, each vector has in each part."""
     n, k = graph.shape
-    votes = np.zeros((n, parts))
+    votes = np.zeros((n, parts), np.float32)
     np.add.at(votes, (np.repeat(np.arange(n), k), part[graph].ravel()), 1)
     np.add.at(votes, (graph.ravel(), np.repeat(part, k)), 1)
     return votes
@@ -102,7 +114,7 @@ class Router:
         self.weights, self.bias, self.scale = weights, bias, scale
 
     @classmethod
-    def learn(cls, vectors: np.ndarray, parts: int, seed: int = 7, epochs: int = 30) -> Router:
+    def learn(cls, vectors: np.ndarray, parts: int, seed: int = 7, epochs: int = 16) -> Router:
         rng, (n, width) = np.random.default_rng(seed), vectors.shape
         scale = np.sqrt(width) / max(np.sqrt((vectors**2).sum(1).mean()), 1e-12)
         graph = neighbour_graph(vectors, min(NEIGHBOURS, n - 1))
@@ -117,7 +129,7 @@ class Router:
                 wrong = (_softmax(x @ weights + bias) - target[rows]) / len(rows)
                 slope, step = np.vstack([x.T @ wrong, wrong.sum(0)]), step + 1
                 first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
-                move = 0.003 * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+                move = 0.005 * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
                 weights, bias = weights - move[:-1], bias - move[-1]
         return cls(weights, bias, scale)
 
@@ -136,74 +148,154 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def routed(rows: DataFrame, router: Router | None, first: int, name: str) -> DataFrame:
-    """rows with a column of their `first` most probable partitions; no router: the only one."""
+def probes_needed(router: Router, parts: int, unseen: np.ndarray, top: int, total: int) -> int:
+    """The fewest partitions that let vectors unseen in learning find RECALL of their nearest among themselves.
 
-    def route(batches):
-        for batch in batches:
-            n = batch.num_rows
-            parts = router.order(_matrix(batch.column("embedding")), first) if router else np.zeros((n, 1), np.int64)
-            offsets = np.arange(n + 1, dtype=np.int32) * parts.shape[1]
-            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(parts.ravel().astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, listed], names=[*batch.schema.names, name])
+    A sample's neighbours are farther away than those among all `total` vectors; so of the `top`, only
+    those in proportion to the sample are asked for, five at least.
+    """
+    n = len(unseen)
+    k = min(n - 1, max(5, round(top * n / max(total, 1))))
+    if k < 1:
+        return parts
+    own = router.order(unseen, 1)[:, 0]
+    found = np.zeros(parts)
+    for at in range(0, min(ASKED, n), 128):
+        asked = unseen[at : min(at + 128, ASKED)]
+        near = asked @ unseen.T
+        near[np.arange(len(asked)), np.arange(at, at + len(asked))] = -np.inf
+        nearest = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        place = np.argsort(router.order(asked, parts), axis=1)  # of each partition in a query's order
+        np.add.at(found, np.take_along_axis(place, own[nearest], axis=1).ravel(), 1)
+    return int(np.searchsorted(np.cumsum(found) / found.sum(), RECALL)) + 1
 
-    schema = f"h long, embedding array<double>, ids array<long>, {name} array<int>"
-    return rows.select("h", "embedding", "ids").mapInArrow(route, schema)
 
+ROUTED = arrow_schema(h=pa.int64(), first=pa.int64(), ids=pa.list_(pa.int64()), embedding=pa.list_(pa.float64()), part=pa.int32())
 
-FOUND = arrow_schema(q_h=pa.int64(), q_first=pa.int64(), ids=pa.list_(pa.int64()), score=pa.float64())
 
+def routed(entries: DataFrame, router: Router | None) -> DataFrame:
+    """Entries with their most probable partition; no router: the only one."""
+
+    def route(batches):
+        for batch in batches:
+            vectors = _matrix(batch.column("embedding"))
+            parts = router.order(vectors, 1)[:, 0] if router else np.zeros(batch.num_rows, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts.astype(np.int32))], schema=ROUTED)
+
+    return entries.select("h", F.col("ids")[0].alias("first"), "ids", "embedding").mapInArrow(route, spark_schema(ROUTED))
+
+
+def blocks_of(sizes: dict[int, int], parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first block of each partition and how many blocks it is cut into; small ones share a block in order."""
+    first, cuts, block, held = np.zeros(parts, np.int32), np.ones(parts, np.int32), 0, 0
+    for p in range(parts):
+        size = sizes.get(p, 0)
+        if held and held + size > BLOCK:
+            block, held = block + 1, 0
+        first[p], cuts[p] = block, max(1, -(-size // BLOCK))
+        if size > BLOCK:
+            block, held = block + int(cuts[p]), 0
+        else:
+            held += size
+    return first, cuts
+
+
+#: A block's vectors (kind 0, with their partition) and the queries sent to it (kind 1, with the partitions they probe there).
+MEETING = arrow_schema(block=pa.int32(), kind=pa.int32(), h=pa.int64(), first=pa.int64(), ids=pa.list_(pa.int64()), embedding=pa.list_(pa.float64()), parts=pa.list_(pa.int32()))
+FOUND = arrow_schema(q_h=pa.int64(), q_first=pa.int64(), ids=pa.list_(pa.int64()), score=pa.float64())
 
-def _search(top: int):
-    def search(index: pa.Table, queries: pa.Table) -> pa.Table:
-        if not index.num_rows or not queries.num_rows:
-            return FOUND.empty_table()
-        base, ids = _matrix(index["embedding"]), index["ids"].combine_chunks()
-        smallest = np.array([x[0].as_py() for x in ids])
-        asked = _matrix(queries["embedding"])
-        q_h, q_first = queries["q_h"].to_numpy(), queries["q_first"].to_numpy()
-        out = []
-        for at in range(0, len(asked), 256):
-            scores = asked[at : at + 256] @ base.T
-            k = min(top, len(base))
-            least = np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-            rows, cols = np.nonzero(-scores <= least)  # with all ties of the last
-            order = np.lexsort((smallest[cols], -scores[rows, cols], rows))
-            rows, cols = rows[order], cols[order]
-            nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
-            rows, cols = rows[nth < k], cols[nth < k]
-            exact = np.einsum("ij,ij->i", asked[at + rows], base[cols])
-            out.append(pa.table([q_h[at + rows], q_first[at + rows], ids.take(pa.array(cols)), exact], schema=FOUND))
-        return pa.concat_tables(out)
-
-    return search
-
-
-def _blocks(n: int) -> int:
-    return max(1, -(-n // BLOCK))
-
-
-def _block(column: str, n: int) -> Column:
-    """A block of a fixed number, by a hash that doesn't follow the partition's."""
-    return F.pmod(F.xxhash64(F.lit("block"), column), F.lit(n)).cast("int")
-
-
-def _candidates(index: DataFrame, queries: DataFrame, top: int, blocks: tuple[int, int]) -> DataFrame:
-    """Each query's best of every partition it is sent to; partitions in blocks on both sides."""
-    n_index, n_query = blocks
-    left = index.select("embedding", "ids", F.explode("parts").alias("part"), _block("h", n_index).alias("b"))
-    left = left.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("q"))
-    right = queries.select("embedding", F.col("h").alias("q_h"), F.col("ids")[0].alias("q_first"), F.explode("probes").alias("part"), _block("h", n_query).alias("q"))
-    right = right.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_index - 1))).alias("b"))
-    keys = ("part", "b", "q")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(top), spark_schema(FOUND))
-    # A vector indexed in two partitions is found twice.
-    expanded = found.select("q_h", "q_first", F.explode("ids").alias("vec_id"), "score").groupBy("q_h", "q_first", "vec_id").agg(F.max("score").alias("score"))
-    nth = F.row_number().over(Window.partitionBy("q_h", "q_first").orderBy(F.desc("score"), "vec_id"))
-    return expanded.withColumn("nth", nth).where(F.col("nth") <= top).drop("nth")
 
+def _sent(queries: DataFrame, router: Router | None, probes: int, first: np.ndarray, cuts: np.ndarray) -> DataFrame:
+    """A row for each query and block, with the partitions that it probes there."""
 
-def nearest(vectors: DataFrame, is_query: Column, top: int = 20, copies: int = 2, probe_share: float = 14 / 32) -> DataFrame:
+    def send(batches):
+        for batch in batches:
+            vectors = _matrix(batch.column("embedding"))
+            order = router.order(vectors, probes) if router else np.zeros((batch.num_rows, 1), np.int64)
+            rows, blocks, parts = [], [], []
+            for i, probed in enumerate(order):
+                at: dict[int, list[int]] = {}
+                for p in np.sort(probed).tolist():
+                    for block in range(first[p], first[p] + cuts[p]):
+                        at.setdefault(block, []).append(p)
+                rows += [i] * len(at)
+                blocks += at.keys()
+                parts += at.values()
+            taken = batch.take(pa.array(rows, pa.int64()))
+            n, none = len(rows), pa.nulls(len(rows), pa.list_(pa.int64()))
+            columns = [pa.array(blocks, pa.int32()), pa.array(np.ones(n, np.int32)), taken.column("h"), taken.column("first"), none, taken.column("embedding"), pa.array(parts, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, schema=MEETING)
+
+    return queries.select("h", "first", "embedding").mapInArrow(send, spark_schema(MEETING))
+
+
+class _Block:
+    """The vectors of one block, in order of partitions."""
+
+    def __init__(self, tables: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(tables)
+        part = table["parts"].combine_chunks().flatten().to_numpy()
+        order = np.argsort(part, kind="stable")
+        self.base, self.ids, part = _matrix(table["embedding"])[order], table["ids"].combine_chunks().take(pa.array(order)), part[order]
+        self.smallest = table["first"].to_numpy()[order]
+        names, starts = np.unique(part, return_index=True)
+        ends = [*starts[1:].tolist(), len(part)]
+        self.places = {p: slice(a, b) for p, a, b in zip(names.tolist(), starts.tolist(), ends, strict=True)}
+
+    def search(self, queries: pa.RecordBatch, top: int) -> Iterator[pa.RecordBatch]:
+        for at in range(0, queries.num_rows, AT_ONCE):
+            yield from self._search(queries.slice(at, AT_ONCE), top)
+
+    def _search(self, queries: pa.RecordBatch, top: int) -> Iterator[pa.RecordBatch]:
+        asked, probed = _matrix(queries.column("embedding")), queries.column("parts")
+        owner = np.repeat(np.arange(len(probed)), probed.value_lengths().to_numpy())
+        wanted = probed.flatten().to_numpy()
+        scores = np.full((len(asked), len(self.base)), -np.inf)
+        for p, where in self.places.items():
+            rows = owner[wanted == p]
+            if rows.size:
+                scores[rows, where] = asked[rows] @ self.base[where].T
+        k = min(top, len(self.base))
+        least = np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        rows, cols = np.nonzero((-scores <= least) & (scores > -np.inf))  # with all ties of the last
+        order = np.lexsort((self.smallest[cols], -scores[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        rows, cols = rows[nth < k], cols[nth < k]
+        exact = np.einsum("ij,ij->i", asked[rows], self.base[cols])
+        at = pa.array(rows)
+        yield pa.RecordBatch.from_arrays([queries.column("h").take(at), queries.column("first").take(at), self.ids.take(pa.array(cols)), pa.array(exact)], schema=FOUND)
+
+
+def _searched(index: DataFrame, sent: DataFrame, first: np.ndarray, cuts: np.ndarray, top: int) -> DataFrame:
+    """Each query's best of every block that it is sent to."""
+    tables = F.broadcast(index.sparkSession.createDataFrame([(p, int(a), int(n)) for p, (a, n) in enumerate(zip(first, cuts, strict=True))], "part int, begin int, cuts int"))  # a row for each partition
+    block = F.col("begin") + F.pmod(F.xxhash64(F.lit("block"), "h"), F.col("cuts")).cast("int")
+    left = index.join(tables, "part").select(block.alias("block"), F.lit(0).alias("kind"), "h", "first", "ids", "embedding", F.array("part").alias("parts"))
+    met = left.unionByName(sent).repartition("block").sortWithinPartitions("block", "kind")
+
+    def search(batches):
+        at, held, own = None, [], None
+        for batch in batches:
+            blocks, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            edges = np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if blocks[a] != at:
+                    at, held, own = blocks[a], [], None
+                if kinds[a] == 0:
+                    held.append(part)
+                elif held or own:
+                    own = own or _Block(held)
+                    held = []
+                    yield from own.search(part, top)
+
+    return met.mapInArrow(search, spark_schema(FOUND))
+
+
+def nearest(vectors: DataFrame, is_query: Column, top: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: each query row's nearest others by largest inner product.
 
     is_query is a condition on vec_id that states the query set.
@@ -211,30 +303,39 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 20, copies: int = 2
     rows = stored(usable(vectors), "ann-rows")
     entries = stored(distinct_vectors(rows, top + 1), "ann-entries")
     n = entries.count()
-    parts = max(1, min(PARTITIONS, n // LEAST))
-    router = None
+    parts = max(1, min(PARTITIONS, round(n**0.5), n // LEAST))
+    router, probes = None, 1
     if parts > 1:
-        sample = entries.orderBy(F.xxhash64(F.lit("sample"), "h"), "h").limit(SAMPLE).select("embedding").toArrow()
-        router = Router.learn(_matrix(sample["embedding"]), parts)
-    index = routed(entries, router, min(copies, parts), "parts")
+        size = min(n, max(SAMPLE[0], min(SAMPLE[1], PER_PARTITION * parts)))
+        sample = _matrix(entries.orderBy(F.xxhash64(F.lit("sample"), "h"), "h", "embedding").limit(size).select("embedding").toArrow()["embedding"])
+        seen, unseen = sample[::2], sample[1::2]
+        router = Router.learn(seen, parts)
+        probes = probes_needed(router, parts, unseen, top, n)
+    index = stored(routed(entries, router), "ann-index")
+    first, cuts = blocks_of({r["part"]: r["count"] for r in index.groupBy("part").count().collect()}, parts)  # a row for each partition
     asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.xxhash64("embedding").alias("h"), "embedding").distinct()
-    of_query = asked.join(entries.select("h", "embedding", F.col("ids")[0].alias("first")), ["h", "embedding"]).select("query_id", "h", "first")
+    of_query = asked.join(index.select("h", "embedding", "first"), ["h", "embedding"]).select("query_id", "h", "first")
     of_query = stored(of_query, "ann-queries")
-    wanted = entries.join(of_query.select("h", F.col("first")).distinct(), (entries["h"] == of_query["h"]) & (entries["ids"][0] == F.col("first")), "left_semi")
-    queries = routed(wanted, router, max(1, -(-int(parts * probe_share * 1000) // 1000)), "probes")
-    blocks = _blocks(n * copies // parts), _blocks(int(of_query.count() * probe_share))
-    found = stored(_ranked(_candidates(index, queries, top + 1, blocks), of_query, top), "ann-found")
+    queries = index.join(of_query.select("h", "first").distinct(), ["h", "first"], "left_semi")
+    search = lambda wanted, probes: _best(_searched(index, _sent(wanted, router, probes, first, cuts), first, cuts, top + 1), top + 1)
+    found = stored(_ranked(search(queries, probes), of_query, top), "ann-found")
     # Everyone must find `top`, or all others if they are fewer: else it is asked everywhere.
     others = rows.select("vec_id").distinct().count() - 1
     short = of_query.join(found.where(F.col("rank") == min(top, others)).select("query_id"), "query_id", "left_anti")
-    if others < 1 or short.isEmpty():
+    if others < 1 or probes == parts or short.isEmpty():
         return found
     short = stored(short, "ann-short")
-    everywhere = queries.join(short.select("h").distinct(), "h", "left_semi").withColumn("probes", F.sequence(F.lit(0), F.lit(parts - 1)))
-    again = _ranked(_candidates(index, everywhere, top + 1, blocks), short, top)
+    again = _ranked(search(queries.join(short.select("h", "first").distinct(), ["h", "first"], "left_semi"), parts), short, top)
     return found.join(short.select("query_id"), "query_id", "left_anti").unionByName(again)
 
 
+def _best(found: DataFrame, top: int) -> DataFrame:
+    """Each query vector's best ids of all blocks; a vector lies in one block, so none comes twice."""
+    expanded = found.select("q_h", "q_first", F.explode("ids").alias("vec_id"), "score")
+    nth = F.row_number().over(Window.partitionBy("q_h", "q_first").orderBy(F.desc("score"), "vec_id"))
+    return expanded.withColumn("nth", nth).where(F.col("nth") <= top).drop("nth")
+
+
 def _ranked(found: DataFrame, of_query: DataFrame, top: int) -> DataFrame:
     """The ranks of each query row: its vector's finds without itself."""
     joined = of_query.join(found, (F.col("h") == F.col("q_h")) & (F.col("first") == F.col("q_first"))).where("vec_id != query_id")
