@@ -10,8 +10,9 @@ length needs no task that holds it.  Reading back streams over the sorted segmen
 hash states in memory; a SHA-256 over a conversation is sequential by nature, so its turns pass
 through one task, never through a list.
 
-Defined results: null role or text is empty; null parts are no parts; an unknown kind keeps only its
-text; null conv_id is a conversation of its own; equal turns are ordered by role, then segment;
+Defined results: null role or text is empty; null parts are no parts; an unknown or null kind keeps only its
+text; a size, length or page count that is null, negative, infinite or no number stands for no tokens;
+null conv_id is a conversation of its own; equal turns are ordered by role, then segment;
 a repeated row is a repeated turn; further columns are ignored; an empty table gives an empty one.
 """
 
@@ -78,6 +79,11 @@ class TokenCosts:
     tokens_per_page: int = 512
 
 
+def _amount(value: float | None) -> float:
+    """A part's size as it counts: nothing unless it is a positive finite number."""
+    return value if value is not None and math.isfinite(value) and value > 0 else 0
+
+
 @dataclass
 class PartVisitor:
     """Flattens typed parts into text with ordered placeholders; one visitor per message."""
@@ -100,13 +106,13 @@ class PartVisitor:
 
     def visit_image(self, part: dict) -> None:
         side = self.costs.patch_pixels
-        self._attach(part, math.ceil((part["width"] or 0) / side) * math.ceil((part["height"] or 0) / side))
+        self._attach(part, math.ceil(_amount(part["width"]) / side) * math.ceil(_amount(part["height"]) / side))
 
     def visit_audio(self, part: dict) -> None:
-        self._attach(part, math.ceil((part["seconds"] or 0) * self.costs.audio_tokens_per_second))
+        self._attach(part, math.ceil(_amount(part["seconds"]) * self.costs.audio_tokens_per_second))
 
     def visit_document(self, part: dict) -> None:
-        self._attach(part, (part["pages"] or 0) * self.costs.tokens_per_page)
+        self._attach(part, _amount(part["pages"]) * self.costs.tokens_per_page)
 
     def _attach(self, part: dict, tokens: int) -> None:
         self.attachments.append((self.length, part["kind"], part["ref"] or "", tokens))
