@@ -5,10 +5,17 @@ embedded, filters of several widths run over them, each filter's greatest respon
 and a softmax over those gives the window's language.  A text's scores are its windows' mean,
 weighted by their bytes, so the whole text counts whatever its length.
 
-Training takes a bounded sample: at most about `SAMPLE_DOCS` documents of each language, chosen by
-a hash, and `SAMPLE_WINDOWS` places of each.  The languages' counts come from all rows.
+Training takes a bounded sample: `SAMPLE_DOCS` documents of each language (fewer if there are so
+many languages that `SAMPLE_ALL` would be exceeded, one at least), those of smallest hash, and
+`SAMPLE_WINDOWS` places of each.  The languages and their counts come from all rows.
 
-Defined results: null text, or one without a letter, is ``und`` with score 0; a null doc_id is not held out
+For filtering, the network learns one class more: texts of no learned language, made out of the
+sample by shuffling its letters, exchanging them by a random alphabet, moving them to another
+script or drawing them anew.  A text is rejected if that class's share is above a bar that is
+calibrated on labelled documents held out from training: at most one in a thousand of them lies above it.
+
+Defined results: null text, or one without a letter, is ``und`` with score 0 and rejected by `spoken`;
+a text of fewer than `JUDGED` bytes with a letter is never rejected, it shows too little; a null doc_id is not held out
 and teaches nothing; repeated rows are predicted each; further columns are ignored; without any
 labelled row everything is ``und``.
 """
@@ -19,17 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, spark_schema
+from .common import arrow_schema, portions, spark_schema
 
 WINDOW = 256
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 16, 8
-SAMPLE_DOCS, SAMPLE_WINDOWS = 600, 4
+SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_ALL = 600, 4, 1 << 17
+#: Bytes that a text must have to be rejected; the least bar, and the share of labelled documents that may lie above the bar.
+JUDGED, LEAST_BAR, FALSE_REJECTS = 120, 0.97, 0.001
+#: Where other scripts' letters begin, and how far apart those taken are (Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, Hangul, Han).
+SCRIPTS = ((0x3B1, 1), (0x430, 1), (0x5D0, 1), (0x627, 1), (0x905, 1), (0xE01, 1), (0xAC00, 28), (0x4E00, 97))
 #: Windows that go through the network at once.
 BLOCK = 64
-UNKNOWN = "und"
+UNKNOWN, OTHER = "und", "other"
 
 
 class ByteConvNet:
@@ -130,73 +141,109 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame) -> tuple[list[str], list[tuple[bytes, int]]]:
-    """Languages and (window, language) pairs from labelled rows that are not held out."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()}
+def labelled_sample(docs: DataFrame, where: Column) -> tuple[list[str], list[tuple[str, list[str]]]]:
+    """All languages of the labelled rows, and (language, places of the text) of a bounded sample of them."""
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & where)
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
         return [], []
     languages, grain = sorted(counts), 1 << 30
-    share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, int(min(1, SAMPLE_DOCS / counts[lang]) * grain))))
-    chosen = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(grain)) < share[F.col("lang")]
+    most = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // len(languages)))
+    share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, int(min(1, 2 * most / counts[lang]) * grain))))
+    digest = F.xxhash64(F.lit("langid"), "doc_id", "text")
     places = F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1))
     parts = F.transform(places, lambda k: F.substring(F.col("text"), (k * F.length("text") / SAMPLE_WINDOWS).cast("int") + 1, F.lit(WINDOW)))
-    rows = labelled.where(chosen & F.col("text").isNotNull()).select("doc_id", "lang", F.array_distinct(parts).alias("parts"))
-    rows = rows.limit(2 * SAMPLE_DOCS * len(languages)).collect()
-    pairs = [(p.encode()[:WINDOW], languages.index(r["lang"])) for r in sorted(rows, key=lambda r: r["doc_id"]) for p in r["parts"] if p]
-    return languages, pairs
-
-
-def learn(docs: DataFrame) -> ByteConvNet | None:
-    languages, pairs = training_sample(docs)
+    chosen = labelled.where((F.pmod(digest, F.lit(grain)) < share[F.col("lang")]) & F.col("text").isNotNull())
+    chosen = chosen.select("doc_id", "lang", digest.alias("digest"), F.array_distinct(parts).alias("parts"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("digest", "doc_id", "parts"))
+    rows = chosen.withColumn("nth", nth).where(F.col("nth") <= most).collect()
+    ordered = sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["nth"]))
+    return languages, [(r["lang"], [p for p in r["parts"] if p]) for r in ordered]
+
+
+def foreign(text: str, rng: np.random.Generator) -> str:
+    """A text like this one, but of no language: letters shuffled, exchanged, moved to another script or drawn anew."""
+    letters = sorted({c for c in text.lower() if c.isalpha()} | set("abcdefghijklmnopqrstuvwxyz"))
+    kind = rng.integers(4)
+    if kind == 0:
+        own = iter(rng.permutation([c for c in text if c.isalpha()]).tolist())
+        return "".join(next(own) if c.isalpha() else c for c in text)
+    if kind == 1:
+        instead = dict(zip(letters, rng.permutation(letters).tolist(), strict=True))
+    elif kind == 2:
+        first, apart = SCRIPTS[rng.integers(len(SCRIPTS))]
+        instead = {c: chr(first + apart * (k % 24)) for k, c in enumerate(letters)}
+    else:
+        return "".join(letters[rng.integers(len(letters))] if c.isalpha() else c for c in text)
+    return "".join(instead.get(c.lower(), c) for c in text)
+
+
+def learn(docs: DataFrame, others: bool = False) -> ByteConvNet | None:
+    """The network of the labelled rows that are not held out; others: with the class of no language."""
+    languages, sample = labelled_sample(docs, ~held_out(F.col("doc_id")))
+    pairs = [(part, languages.index(lang)) for lang, parts in sample for part in parts]
     if not pairs:
         return None
+    if others:
+        rng = np.random.default_rng(3)
+        texts = [pairs[k][0] for k in rng.choice(len(pairs), max(64, 2 * len(pairs) // len(languages)))]
+        pairs += [(foreign(text, rng), len(languages)) for text in texts]
+        languages = [*languages, OTHER]
     net = ByteConvNet(languages)
-    net.train(np.concatenate([windows_of(p) for p, _ in pairs]), np.array([k for _, k in pairs]))
+    net.train(np.concatenate([windows_of(part.encode()[:WINDOW]) for part, _ in pairs]), np.array([k for _, k in pairs]))
     return net
 
 
+def rejection_bar(docs: DataFrame, net: ByteConvNet | None) -> float:
+    """The share of the class of no language that at most FALSE_REJECTS of the held-out labelled documents exceed."""
+    _, sample = labelled_sample(docs, held_out(F.col("doc_id")))
+    texts = [" ".join(parts) for _, parts in sample]
+    shares = [mean[-1] for text, mean in zip(texts, means(net, texts), strict=True) if mean is not None and len(text.encode()) >= JUDGED]
+    return max(LEAST_BAR, float(np.quantile(shares, 1 - FALSE_REJECTS, method="higher"))) if shares else 1.0
+
+
 PREDICTED = arrow_schema(doc_id=pa.int64(), held_out=pa.bool_(), lang_pred=pa.string(), score=pa.float64())
 
 
-def predictions(net: ByteConvNet | None, texts: list[str | None]) -> Iterator[tuple[str, float]]:
-    """Language and score of each text; windows of many texts share the network's blocks."""
-    group: list[tuple[bytes, bool]] = []
+def means(net: ByteConvNet | None, texts: list[str | None]) -> Iterator[np.ndarray | None]:
+    """Each text's mean scores, None without a letter; windows of many texts share the network's blocks."""
+    group: list[bytes] = []
     size = 0
     for text in texts:
         spoken = net is not None and text is not None and any(map(str.isalpha, text))
-        data = text.encode() if spoken else b""
-        group.append((data, spoken))
-        size += len(data)
+        group.append(text.encode() if spoken else b"")
+        size += len(group[-1])
         if size >= 1 << 20:
-            yield from _predict(net, group)
+            yield from _means(net, group)
             group, size = [], 0
-    yield from _predict(net, group)
+    yield from _means(net, group)
 
 
-def _predict(net: ByteConvNet | None, group: list[tuple[bytes, bool]]) -> Iterator[tuple[str, float]]:
-    spoken = [data for data, known in group if known]
-    means = iter(())
+def _means(net: ByteConvNet | None, group: list[bytes]) -> Iterator[np.ndarray | None]:
+    spoken = [data for data in group if data]
+    found = iter(())
     if spoken:
         parts = [windows_of(data) for data in spoken]
         share = net.probabilities(np.concatenate(parts))
         ends = np.cumsum([len(p) for p in parts])
         weight = np.concatenate([np.minimum(WINDOW, len(d) - WINDOW * np.arange(len(p))) for d, p in zip(spoken, parts, strict=True)])
         sums = np.add.reduceat(share * weight[:, None], np.concatenate([[0], ends[:-1]]), axis=0)
-        means = iter(sums / np.array([len(d) for d in spoken])[:, None])
-    for _, known in group:
-        if known:
-            mean = next(means)
-            yield net.languages[int(mean.argmax())], float(min(1.0, mean.max()))
-        else:
-            yield UNKNOWN, 0.0
+        found = iter(sums / np.array([len(d) for d in spoken])[:, None])
+    for data in group:
+        yield next(found) if data else None
+
+
+def predictions(net: ByteConvNet | None, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+    """Language and score of each text."""
+    for mean in means(net, texts):
+        yield (UNKNOWN, 0.0) if mean is None else (net.languages[int(mean.argmax())], float(min(1.0, mean.max())))
 
 
 def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
     """(doc_id, text) to doc_id, held_out, lang_pred, score for every row; no shuffle."""
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             found = list(predictions(net, batch.column("text").to_pylist()))
             langs, scores = pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), langs, scores], schema=PREDICTED)
@@ -205,13 +252,22 @@ def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
     return docs.select(doc_id, held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, spark_schema(PREDICTED))
 
 
-def spoken(docs: DataFrame, net: ByteConvNet | None, over_chance: float = 1.2) -> DataFrame:
-    """The documents, with all their columns, whose language is known with a score of at least `over_chance` over the number of languages."""
-    least = over_chance / len(net.languages) if net and len(net.languages) > 1 else 0.0
+def spoken(docs: DataFrame, net: ByteConvNet | None, bar: float = LEAST_BAR) -> DataFrame:
+    """The documents, with all their columns, that have a letter and whose share of no learned language is at most `bar`.
+
+    A network without that class rejects only texts without a letter.
+    """
+    judges = net is not None and net.languages[-1] == OTHER
 
     def run(batches):
-        for batch in batches:
-            found = predictions(net, batch.column("text").to_pylist())
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+        for batch in portions(batches):
+            texts = batch.column("text").to_pylist()
+            kept = []
+            for text, mean in zip(texts, means(net, texts), strict=True):
+                if mean is None:
+                    kept.append(net is None and text is not None and any(map(str.isalpha, text)))
+                else:
+                    kept.append(not judges or mean[-1] <= bar or len(text.encode()) < JUDGED)
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
