@@ -13,7 +13,12 @@ LOCAL_FOLDER = "/tmp/checkpoints/plumbline"
 def materialised(df: DataFrame, label: str) -> DataFrame:
     """df written once and read back: what follows plans anew from plain columns, and survives lost executors."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = LOCAL_FOLDER
     path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, numeric, text
 from ..operators import aggregate, estimate, history, lookup, match, pages, scoring
+from . import catalog_queries, scale_queries, sheet_queries  # noqa: F401  they register their queries
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
+from .registry import query as _query
+from .registry import table as _t
 
 #: Item types of the test parts, in the form of the engine's estimation table.
 PART_TABLES = (
@@ -22,24 +25,6 @@ PART_FORMULAS = {"ECONOMY": "flooring", "SMALL": "drywall", "MEDIUM": "paint", "
 DOC_KEYWORDS = {"industrial": (r"\bthe\b", r"\bof\b"), "retail": (r"\bder\b", r"\bund\b"), "civil": (r"\bque\b", r"\bles?\b")}
 
 
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 @_query("""
 SELECT p_partkey, p_name, CASE
   WHEN regexp_matches(lower(p_name), '(^|[^a-z0-9])small plate([^a-z0-9]|$)') OR regexp_matches(lower(p_name), '(^|[^a-z0-9])tiny plate([^a-z0-9]|$)') THEN 'small_plate'

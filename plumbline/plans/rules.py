@@ -190,12 +190,27 @@ SCHEDULE_COLUMNS = {
     "unit": ("UNIT", "Unit", "UOM", "uom", "U/M"),
 }
 NON_QUANTITIES = ("multiple", "varies", "tbd", "n/a", "na", "-", "--", "")
-RAW_COLUMNS = {
+RAW_COLUMNS = ("category", "sheet", "sheet_type", "page_id", "description", "value", "unit", "location_on_sheet", "source_text")
+RAW_ROW_KEYS = {
     "description": ("DESCRIPTION", "Description", "description", "NAME", "Name", "TYPE", "Type", "ITEM", "Item", "ROOM", "Room"),
     "value": ("QTY", "Qty", "quantity", "COUNT", "Count", "KVA", "AMPS", "CFM", "BKR", "SIZE"),
-    "ident": ("CKT", "MARK", "NO", "ID", "TAG", "REF"),
+    "mark": ("CKT", "MARK", "NO", "ID", "TAG", "REF"),
 }
-#: Fixed values.  Table purposes that are never taken off.
+# Sheets that carry a drawing scale (fixed values).
+SCALE_SHEET_TYPES = ("floor_plan", "civil_site", "roof_plan")
+SCALE_NAME_MARKERS = ("FLOOR PLAN", "ROOF PLAN", "SITE PLAN", "CIVIL", "LAYOUT PLAN", "PLOT PLAN", "MASTER PLAN")
+# Schedules that state quantities, and those that are dropped beside one (fixed values).
+TAKEOFF_PURPOSES = ("takeoff_legend", "takeoff_schedule")
+SECONDARY_PURPOSES = ("specification_reference", "general_notes")
+# Legend words that overrule assumed rooms, room words that are overruled, and those that never are (fixed values).
+SLAB_WORDS = ("sealed", "exposed", "tilt", "cmu")
+OVERRULED_ROOMS = r"warehouse|distribution|industrial"
+KEPT_ROOMS = r"flooring|vct|carpet"
+# Fractions of an inch as they read once their slash is lost (fixed values).
+COLLAPSED_FRACTIONS = {"132": 1 / 32, "116": 1 / 16, "332": 3 / 32, "18": 1 / 8, "316": 3 / 16, "14": 1 / 4, "38": 3 / 8, "12": 1 / 2, "34": 3 / 4, "32": 3 / 32, "16": 3 / 16}
+FLOOR_ROOF_WORDS = ("floor", "slab", "sealed", "concrete", "flooring", "roof", "deck", "decking", "exposed", "structure", "ceiling", "joist", "membrane", "tpo", "underlayment", "topping")
+# Words that make a manifest entry a wall, or a floor or roof plane (fixed values).
+WALL_WORDS = ("wall", "walls", "cmu", "masonry", "tilt", "partition", "panel", "panels", "parapet", "veneer", "stud", "framing")
 REFERENCE_PURPOSES = ("specification_reference", "general_notes", "finish_schedule", "room_schedule")
 
 #: Fixed values.  Unit, least and greatest credible quantity.
@@ -249,3 +264,46 @@ DOOR_TAG = r"^[A-Z]{0,2}[-]?\d{1,4}[A-Z]?$|^T\d+[A-Z]?$"
 #: Fixed values.  Feet that an inch of paper can stand for, and the relative tolerance of snapping to them.
 SCALE_LADDER = tuple(1 / p for p in (1 / 32, 1 / 16, 3 / 32, 1 / 8, 3 / 16, 1 / 4, 3 / 8, 1 / 2, 3 / 4, 1, 1.5, 3)) + (10.0, 20.0, 30.0, 40.0, 50.0, 60.0, 80.0, 100.0, 200.0)
 SCALE_TOLERANCE = 0.04
+# Materials that only a door's leaf or only its frame has, and the names of all (fixed values).
+PANEL_ONLY = ("FRP", "GL", "GLASS", "HC", "SCW", "WD", "WG")
+FRAME_ONLY = ("GALV", "KD")
+MATERIAL_LABELS = {
+    "panel": {
+        "AL": "Aluminum", "ALUM": "Aluminum", "FRP": "FRP", "GL": "Glass / Aluminum", "GLASS": "Glass / Aluminum", "HC": "Hollow Core Wood", "HM": "Hollow Metal",
+        "HMG": "Hollow Metal (Glazed)", "SCW": "Solid Core Wood", "WD": "Wood", "WG": "Wood / Glass",
+    },
+    "frame": {"AL": "Aluminum", "ALUM": "Aluminum", "GALV": "Galvanized Steel", "HM": "Hollow Metal", "HMG": "Hollow Metal (Glazed)", "KD": "Knock-Down", "WD": "Wood"},
+}
+# Headers of a take-off table's columns, letters and digits only (fixed values).
+TABLE_HEADERS = {
+    "qty": ("amount", "count", "no", "nos", "qty", "quantity"),
+    "item": ("desc", "description", "item", "name", "scope", "type", "work"),
+    "unit": ("um", "unit", "uom"),
+}
+# Forms of a sheet's number, most specific first, and standards whose names look like one (fixed values).
+SHEET_ID_FORMS = (r"[A-Z]\d+\.\d+", r"[A-Z]-\d+", r"[A-Z]\d{3}")
+SHEET_ID_NOISE = (r"ASTM\s+[A-Z]\d+[\.\d]*", r"NFPA\s+\d+", r"UL\s+\d+", r"IBC\s+\d{4}", r"ADA\s+\d+\.\d+", r"ANSI\s+[A-Z]\d+", r"ASCE\s+\d+", r"AWC\s+NDS", r"\d{1,2}/\d{1,2}")
+# File names that mark a take-off beside the plans, and those of sheet images (fixed values).
+TAKEOFF_FILE = r"(?i)take\s*-?\s*offs?"
+SHEET_IMAGE, PAGE_IMAGE = r"(?i)^\d{3}_(.+)\.(?:png|jpg|jpeg)$", r"(?i)^_debug_(\d+)\.(?:png|jpg|jpeg)$"
+# Prices of a million tokens, in and out, of models not listed (fixed values).
+DEFAULT_PRICES = (3.0, 15.0)
+# Texts with digits that state no quantity (fixed values), by what they are.
+NOT_QUANTITIES = {
+    "elevation": r"(?i)(?:GL|INV|EL|ELEV|INV\s*IN|INV\s*OUT)\s*[=:]\s*\d",
+    "percentage": r"^\d+\.?\d*\s*%$",
+    "catalogue number": r"(?i)^[A-Z]+[-\s]?[A-Z]?[-\s]?\d+$",
+    "compound number": r"^\S*[A-Za-z]+\d+[-/]\d+",
+    "equation": r"=",
+    "scale": r"(?i)scale|^(?:nts|n\.t\.s\.)$",
+    "range": r"(?i) and | to ",
+    "list": r"\d+\s*,\s+\d",
+}
+# Forms of a quantity and what their parts mean (fixed values); the first that fits counts.
+QUANTITY_FORMS = (
+    (r"^(\d+)\s*'\s*[-\s]?\s*(\d+(?:\.\d+)?)\s*\"?$", ("feet", "inches")),
+    (r"^(\d+(?:\.\d+)?)\s*'$", ("feet",)),
+    (r"^(\d+)\s*[-\s]\s*(\d+)/(\d+)\s*\"?$", ("whole", "up", "down")),
+    (r"^(\d+)/(\d+)\s*\"?$", ("up", "down")),
+    (r"^(\d[\d,]*(?:\.[\d,]+)?)", ("whole",)),
+)

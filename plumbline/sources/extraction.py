@@ -6,6 +6,8 @@ row with has_error.  Row maps keep their column names as data.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +16,14 @@ ARRAYS = {
     "measurements": "description string, value string, unit string, approximate boolean, location string, raw_text string",
     "components": "name string, quantity string, unit string, specification string, location string, confidence string",
     "rooms": "name string, area string, dimensions string, notes string, material_notes string, ceiling string",
-    "schedules": "name string, table_purpose string, use_for_takeoff boolean, lookup_key string, rows array<map<string,string>>",
+    "materials": "type string, quantity string, unit string, specification string",
+    "schedules": "name string, table_purpose string, use_for_takeoff boolean, lookup_key string, rows array<map<string,string>>, type string, schedule_type string, header_info string, totals string",
     "pipe_runs": "length_lf double, diameter_in double, material string, raw_text string, slope_pct double",
     "civil_structures": "type string, quantity double, id string, specification string",
     "lintel_runs": "mark string, size string, individual_length_ft double, count double, total_lf double, location string, raw_text string",
     "cross_references": "ref_number string, ref_sheet string, item_described string, context string",
 }
-SCALARS = {"sheet": "string", "sheet_ord": "int", "sheet_type": "string", "project": "string", "scale": "string", "skipped": "boolean"}
+SCALARS = {"sheet": "string", "sheet_ord": "int", "sheet_type": "string", "project": "string", "scale": "string", "skipped": "boolean", "page_id": "string", "image": "string"}
 
 
 def _objects(raw: Column, schema: str) -> Column:
@@ -29,13 +32,30 @@ def _objects(raw: Column, schema: str) -> Column:
     return F.transform(objects, lambda e: F.from_json(e, schema))
 
 
-def parsed(rows: DataFrame, column: str = "value") -> DataFrame:
+def parsed(rows: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """One row a text: scalars, typed arrays and has_error (an ``error`` key, whatever its value, or no JSON)."""
     bare = F.regexp_replace(F.trim(column), r"^```(?:json)?\s*|\s*```$", "")
     loose = ", ".join([f"{k} {v}" for k, v in SCALARS.items()] + [f"{k} array<string>" for k in ARRAYS])
-    out = rows.select(bare.alias("text")).withColumn("j", F.from_json("text", loose)).withColumn("keys", F.json_object_keys("text"))
+    out = rows.select(*keep, bare.alias("text")).withColumn("j", F.from_json("text", loose)).withColumn("keys", F.json_object_keys("text"))
     error = F.col("keys").isNull() | F.array_contains("keys", "error")
-    return out.select(*(F.col(f"j.{k}").alias(k) for k in SCALARS), *(_objects(F.col(f"j.{k}"), t).alias(k) for k, t in ARRAYS.items()), F.coalesce(error, F.lit(True)).alias("has_error"))
+    return out.select(*keep, *(F.col(f"j.{k}").alias(k) for k in SCALARS), *(_objects(F.col(f"j.{k}"), t).alias(k) for k, t in ARRAYS.items()), F.coalesce(error, F.lit(True)).alias("has_error"))
+
+
+def cached(pages: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages (page_id) and what was recorded of them (page_id, value text): usable records, and the pages still to be analysed.
+
+    A record that is no JSON object, or reports an error, is as good as none.
+    """
+    good = parsed_with(records, ["page_id"]).where("NOT has_error")
+    known = pages.select(F.col("page_id").cast("string"))
+    return good, known.join(good.select("page_id").distinct(), "page_id", "left_anti")
+
+
+def parsed_with(rows: DataFrame, keep: list[str], column: str = "value") -> DataFrame:
+    """`parsed`, with columns of the rows beside it, which overrule those of the text."""
+    whole = parsed(rows.select(F.to_json(F.struct(*keep)).alias("_keep"), column), column, ["_keep"])
+    types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keep)
+    return whole.withColumn("_keep", F.from_json("_keep", types)).withColumns({k: F.col(f"_keep.{k}").cast("string") for k in keep}).drop("_keep")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Report outputs: flat CSV tables and nested JSON, written by Spark in parts."""
+"""Report outputs: flat CSV tables (nested columns as JSON text), JSON and text lines, written by Spark in parts."""
 
 from __future__ import annotations
 
@@ -33,3 +33,19 @@ def write_report(tables: Mapping[str, DataFrame], path: str) -> dict[str, str]:
         except Exception as error:  # noqa: BLE001  outputs fail by themselves, and are reported
             failed[name] = str(error)
     return failed
+
+
+def write_json(tables: Mapping[str, DataFrame], path: str) -> dict[str, str]:
+    """Each table as nested JSON, a line a row; failures as `write_report` gives them."""
+    failed = {}
+    for name, df in tables.items():
+        try:
+            df.write.mode("overwrite").json(f"{path}/{name}")
+        except Exception as error:  # noqa: BLE001  outputs fail by themselves, and are reported
+            failed[name] = str(error)
+    return failed
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Numbered lines (part, ord, line) as text, in order over the part files."""
+    lines.repartitionByRange("part", "ord").sortWithinPartitions("part", "ord").select("line").write.mode("overwrite").text(path)
