@@ -24,10 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, record_batches, spark_schema, stored
+from .common import arrow_schema, portions, record_batches, spark_schema, stored
 from .encoding import encoder
 
 END_ID = (0).to_bytes(4, "little")
+#: Rows of a plan that are broadcast at most; a longer one is joined by a shuffle.
+BROADCAST_SLOTS = 1 << 17
 PIECES = arrow_schema(
     doc_id=pa.int64(), piece=pa.int32(), start=pa.int64(), length=pa.int32(), ids_crc32=pa.int64(), ids=pa.binary(), task=pa.int32(), nth=pa.int64()
 )
@@ -41,7 +43,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, keep_ids: bool
         encode, task, seen = encoder(vocabulary).encode, TaskContext.get().partitionId(), Counter()
 
         def rows():
-            for batch in batches:
+            for batch in portions(batches):
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     ids = encode(text or "") + END_ID
                     for k, at in enumerate(range(0, len(ids), width)):
@@ -118,10 +120,16 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
             taken[length] += copies * times
             at += length * copies
         sequence += times
-    schema = "length int, low long, high long, copies int, first long, at long"
-    slots = F.broadcast(pieces.sparkSession.createDataFrame(slots, schema))
-    ranked = pieces.join(begins, ["task", "length"]).withColumn("rank", F.col("begin") + F.col("nth"))
-    placed = ranked.join(slots, "length").where("rank >= low AND rank < high")
+    # Slots and ranks meet by length and stretch of ranks: a length has as many stretches as slots, so each piece meets about two.
+    wide = {length: -(-counts[length] // n) for length, n in Counter(s[0] for s in slots).items()}
+    slots = [(*s, stretch) for s in slots for stretch in range(s[1] // wide[s[0]], (s[2] - 1) // wide[s[0]] + 1)]
+    schema = "length int, low long, high long, copies int, first long, at long, stretch long"
+    bounded = F.broadcast if len(slots) <= BROADCAST_SLOTS else (lambda df: df)
+    slots = bounded(pieces.sparkSession.createDataFrame(slots, schema))
+    widths = F.broadcast(pieces.sparkSession.createDataFrame(list(wide.items()), "length int, wide long"))  # at most capacity rows
+    ranked = pieces.join(begins, ["task", "length"]).withColumn("rank", F.col("begin") + F.col("nth")).join(widths, "length")
+    ranked = ranked.withColumn("stretch", F.expr("rank div wide"))
+    placed = ranked.join(slots, ["length", "stretch"]).where("rank >= low AND rank < high")
     nth = F.col("rank") - F.col("low")
     return placed.select(
         *[c for c in pieces.columns if c not in ("task", "nth")],
