@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, spark_schema, stored
+from .common import arrow_rows, arrow_schema, bloom, joined_by_key, passes, portions, spark_schema, stored
 from .components import connected_components
 
 SEED = 42
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, size: int = 5) -> DataFrame:
     """(doc_id, text) to (doc_id, text_hash, fp): the fingerprint's 64 bits as a signed long; no shuffle."""
 
     def compute(batches):
-        for batch in batches:
+        for batch in portions(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             fps = np.array([fingerprint(t, size) for t in texts], dtype=np.uint64).view(np.int64)
             columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(fps)]
@@ -131,16 +131,23 @@ def links(index: DataFrame, words: tuple[str, ...], limits: tuple[int, ...], of_
     dealt = index.select(*columns).repartition("mask", "key").sortWithinPartitions("mask", "key", "node")
 
     def verify(batches):
-        rest = np.zeros((len(columns), 0), np.int64)
+        # The last run may go on in the next batch: its parts are held apart until it ends.
+        open_run: list[np.ndarray] = []
         for batch in batches:
             part = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in columns])
-            part = np.concatenate([rest, part], axis=1)
             starts = _run_starts(part)
-            # The last run may go on in the next batch.
-            whole = starts[-1] if starts.size else 0
-            rest = part[:, whole:]
-            yield from _verified(part[2, :whole], part[of_words, :whole], starts, limits, of_run)
-        yield from _verified(rest[2], rest[of_words], np.array([0, rest.shape[1]]), limits, of_run)
+            if not starts.size:
+                continue
+            if open_run and np.array_equal(open_run[0][:2, 0], part[:2, 0]):
+                first = starts[1] if starts.size > 1 else part.shape[1]
+                open_run.append(part[:, :first])
+                if starts.size == 1:
+                    continue
+                part, starts = part[:, first:], starts[1:] - first
+            yield from _closed(open_run, of_words, limits, of_run)
+            yield from _verified(part[2, : starts[-1]], part[of_words, : starts[-1]], starts, limits, of_run)
+            open_run = [part[:, starts[-1] :]]
+        yield from _closed(open_run, of_words, limits, of_run)
 
     return dealt.mapInArrow(verify, spark_schema(EDGES)).distinct()
 
@@ -153,6 +160,12 @@ def _run_starts(part: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(new) + 1])
 
 
+def _closed(parts: list[np.ndarray], of_words: list[int], limits: tuple[int, ...], of_run):
+    if parts:
+        run = np.concatenate(parts, axis=1)
+        yield from _verified(run[2], run[of_words], np.array([0, run.shape[1]]), limits, of_run)
+
+
 def _verified(nodes: np.ndarray, words: np.ndarray, starts: np.ndarray, limits: tuple[int, ...], of_run):
     """Links of all runs that are whole; starts ends with the first place after them."""
     words, sizes = words.view(np.uint64), np.diff(starts)
@@ -172,7 +185,7 @@ def _verified(nodes: np.ndarray, words: np.ndarray, starts: np.ndarray, limits:
 def near_duplicates(docs: DataFrame, size: int = 5, max_bits: int = 4) -> DataFrame:
     """(doc_id, text_hash, fp, component_id) for every row of docs (doc_id, text)."""
     rows = stored(fingerprints(docs, size), "simhash-fingerprints")
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows")), "simhash-distinct")
     # As few segments as leave one with at most one differing bit.
     masks = deletion_masks(max_bits // 2 + 1)
     index = fps.select(F.col("fp").alias("node"), variants("fp", masks))
@@ -180,22 +193,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, max_bits: int = 4) -> DataFr
     linked = nodes.join(fps, F.col("node") == F.col("fp"))
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("component"))
     of_linked = linked.join(smallest, "root").select("fp", "component")
-    of_fp = fps.join(of_linked, "fp", "left").select("fp", F.coalesce("component", "first_id").alias("component_id"))
-    return rows.join(of_fp, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    of_fp = fps.join(of_linked, "fp", "left").select("fp", "n_rows", F.coalesce("component", "first_id").alias("component_id"))
+    of_fp = stored(of_fp, "simhash-of-fp")
+    return joined_by_key(rows, of_fp, "fp", "n_rows").select("doc_id", "text_hash", "fp", "component_id")
 
 
-# Near copies at a Jaccard similarity over five-word shingle sets: an exact join.  Shingles have one
-# order over the whole corpus, common ones (by a sample) last; two sets of the similarity share a
-# shingle among their first n - ceil(similarity * n) + 1, their prefix.  Prefixes are equality-joined:
-# the pairs of a short run of equal shingles are verified one by one; the texts of longer runs form
-# families, whose pairs are compared block by block.  The sample has no say in what is found.
+# Near copies at a Jaccard similarity over five-word shingle sets, exactly.  Fingerprints of 64 bits can't give
+# this (README): so candidates come from shingles.  Shingles have one order over the whole corpus, common
+# ones (by a sample) last; two sets of the similarity share a shingle among their first
+# n - ceil(similarity * n) + 1, their prefix.  Prefixes are equality-joined: the texts of a short run of equal shingles
+# meet pair by pair, those of longer runs form families.  A parity bitmap of about a bit a shingle then bounds from
+# below how much two sets differ; what it leaves falls into loose groups, which hold every similar pair, and
+# few others.  Only texts in such groups are compared by their whole sets, block by block.
+# The sample has no say in what is found, only in how fast.
 
 #: Longest run of equal shingles whose pairs are emitted one by one.
 SHORT_RUN = 32
 #: Texts sampled for the common shingles, the least count of one there, and the most that are broadcast.
 SAMPLE_TEXTS, COMMON_COUNT, COMMON_SHINGLES = 4096, 3, 1 << 16
-#: A block holds this many shingles, a text counting for BLOCK_TEXT at least, or one longer text.
+#: A shingle that so many sampled texts hold is dealt over SALTS tasks, and its run counts as long.
+HOT_COUNT, SALTS = 64, 64
+#: Bits of a parity bitmap at least (a power of two), and bytes of bitmaps in a block.
+LEAST_BITS, BLOCK_BYTES = 512, 1 << 18
+#: A block of whole sets holds this many shingles, a text counting for BLOCK_TEXT at least, or one longer text.
 BLOCK_SHINGLES, BLOCK_TEXT = 1 << 17, 256
+#: Pairs with their bitmaps in an Arrow batch.
+PAIR_ROWS = 2048
 #: Shingles in one product of a block pair's membership matrices.
 PRODUCT = 1 << 12
 
@@ -206,8 +229,10 @@ def _text_hash() -> Column:
 
 
 SHINGLE_SETS = arrow_schema(node=pa.int64(), grams=pa.binary())
-PREFIXES = arrow_schema(gram=pa.int64(), node=pa.int64(), n=pa.int32(), at=pa.int32())
-MEETINGS = arrow_schema(u=pa.int64(), v=pa.int64(), wide=pa.bool_())
+PROFILES = arrow_schema(node=pa.int64(), n=pa.int32(), salted=pa.list_(pa.bool_()), grams=pa.list_(pa.int64()), bits=pa.binary())
+MEETINGS = arrow_schema(u=pa.int64(), v=pa.int64(), kind=pa.int32())
+#: Kinds of meetings: a pair of a short run; a text of a longer run with the run's first; a salted shingle with the first of one of its runs.
+PAIR, WIDE, HEAD = 0, 1, 2
 
 
 def shingle_set(text: bytes | None, size: int) -> np.ndarray:
@@ -216,15 +241,20 @@ def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), grams), np.uint64))
 
 
-def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
-    """(node, text) to (node, grams)."""
+def shingle_sets(texts: DataFrame, size: int, packed: np.ndarray | None = None) -> DataFrame:
+    """(node, text) to (node, grams), once a node and task; packed: of those nodes alone that a filter passes."""
+    broadcast = texts.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = [shingle_set(t, size).tobytes() for t in part.column("text").cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], schema=SHINGLE_SETS)
+        bits, seen = broadcast.value, set()
+        for part in portions(batches):
+            nodes = part.column("node").to_numpy()
+            chosen = [k for k in (np.flatnonzero(passes(bits, nodes)) if bits is not None else range(len(nodes))) if nodes[k] not in seen]
+            if len(seen) < BLOCK:
+                seen.update(nodes[chosen].tolist())
+            part = part.take(pa.array(chosen, pa.int64()))
+            sets = [shingle_set(t, size).tobytes() for t in part.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], schema=SHINGLE_SETS)
 
     return texts.select("node", "text").mapInArrow(run, spark_schema(SHINGLE_SETS))
 
@@ -251,93 +281,219 @@ def prefix_length(n: int, least: float) -> int:
     return n - math.ceil(n * least - 1e-9) + 1
 
 
-def prefixes(texts: DataFrame, size: int, least: float) -> DataFrame:
-    """(node, text) to (gram, node, n, at): the first of each text's n shingles; a text without any has the shingle 0."""
+def parity_bits(grams: np.ndarray) -> bytes:
+    """A bitmap of a power of two of bits, one a shingle at least: each bit is the parity of the shingles that fall on it.
+
+    Two sets' bitmaps differ in at most as many bits as the sets differ in shingles.
+    """
+    size = max(LEAST_BITS, 1 << (grams.size - 1).bit_length() if grams.size else 1)
+    return np.packbits(np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1 == 1, bitorder="little").tobytes()
+
+
+def profiles(texts: DataFrame, size: int, least: float) -> DataFrame:
+    """(node, text) to its number of shingles, prefix and bitmap, once a node and task.
+
+    A text without shingles has the shingle 0.  salted marks shingles that are known to be in very many texts.
+    """
     broadcast = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, size))
 
     def run(batches):
         common, counts = broadcast.value
         seen: set[int] = set()
-        for batch in batches:
-            columns = []
+        for batch in portions(batches):
+            rows = []
             for node, text in zip(batch.column("node").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 if node in seen:
                     continue
                 if len(seen) < BLOCK:
                     seen.add(node)
                 grams = shingle_set(text, size)
-                n = grams.size
+                n, bits, often = grams.size, parity_bits(grams), np.zeros(grams.size, np.int64)
                 if n and common.size:
                     at = np.minimum(np.searchsorted(common, grams), common.size - 1)
-                    grams = grams[np.lexsort((grams, np.where(common[at] == grams, counts[at], 0)))]
-                grams = grams[: prefix_length(n, least)] if n else np.zeros(1, np.uint64)
-                k = grams.size
-                columns.append((grams.view(np.int64), np.full(k, node), np.full(k, n, np.int32), np.arange(k, dtype=np.int32)))
-            if columns:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], schema=PREFIXES)
+                    often = np.where(common[at] == grams, counts[at], 0)
+                    order = np.lexsort((grams, often))
+                    grams, often = grams[order], often[order]
+                k = prefix_length(n, least)
+                prefix, hot = (grams[:k].view(np.int64), often[:k] >= HOT_COUNT) if n else (np.zeros(1, np.int64), np.ones(1, bool))
+                rows.append((node, n, hot, prefix, bits))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), PROFILES, strict=True)], schema=PROFILES)
 
-    return texts.select("node", "text").mapInArrow(run, spark_schema(PREFIXES))
+    return texts.select("node", "text").mapInArrow(run, spark_schema(PROFILES))
 
 
-def meetings(index: DataFrame, least: float) -> DataFrame:
-    """(u, v, wide): pairs of short runs that may be similar; wide ones tie each text of a longer run to the run's first."""
-    dealt = index.select("gram", "node", "n", "at").repartition("gram").sortWithinPartitions("gram", "node")
+def meetings(profiled: DataFrame, least: float) -> DataFrame:
+    """(u, v, kind): pairs of short runs that may be similar, and what ties the texts of longer runs together."""
+    entries = profiled.select("node", "n", F.posexplode(F.arrays_zip("grams", "salted")).alias("at", "e"))
+    salt = F.when(F.col("e.salted"), 1 + F.pmod("node", F.lit(SALTS))).otherwise(0).cast("int")
+    index = entries.select(F.col("e.grams").alias("gram"), salt.alias("salt"), "node", "n", "at")
+    dealt = index.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "node")
 
     def run(batches):
-        rest = np.zeros((4, 0), np.int64)
+        # The last run of a batch may go on in the next; of a long one only its first row is held.
+        rest, head = np.zeros((5, 0), np.int64), None
         for batch in batches:
             part = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            if not part.shape[1]:
+                continue
+            if head is not None:
+                same = np.all(part[:2] == head[:2, None], axis=0)
+                yield from _tied(head, part[:, same])
+                part = part[:, ~same]
+                if not part.shape[1]:
+                    continue
+                head = None
             part = np.concatenate([rest, part], axis=1)
-            # The last run may go on in the next batch.
-            whole = int(np.searchsorted(part[0], part[0, -1])) if part.shape[1] else 0
+            last = np.all(part[:2] == part[:2, -1:], axis=0)
+            whole = int(np.argmax(last))
             rest = part[:, whole:]
             yield from _met(part[:, :whole], least)
+            if rest.shape[1] > 4 * SHORT_RUN and np.unique(rest[2]).size > SHORT_RUN:
+                head = rest[:, 0]
+                yield from _tied(head, rest)
+                yield from _headed(rest[:, :1])
+                rest = rest[:, :0]
         yield from _met(rest, least)
 
     return dealt.mapInArrow(run, spark_schema(MEETINGS)).distinct()
 
 
+def _rows(u: np.ndarray, v: np.ndarray, kind: int):
+    if u.size:
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(u.size, kind, np.int32))], schema=MEETINGS)
+
+
+def _tied(head: np.ndarray, rows: np.ndarray):
+    """Every row's text with the run's first."""
+    nodes = np.unique(rows[2])
+    nodes = nodes[nodes != head[2]]
+    yield from _rows(np.full(nodes.size, head[2]), nodes, WIDE)
+
+
+def _headed(firsts: np.ndarray):
+    """Salted shingles with the firsts of their runs."""
+    gram, salt, node = firsts[:3]
+    yield from _rows(gram[salt > 0], node[salt > 0], HEAD)
+
+
 def _met(part: np.ndarray, least: float):
-    """Meetings of whole runs; rows are in order of shingle and node."""
+    """Meetings of whole runs; rows are in order of shingle, salt and node."""
     if not part.shape[1]:
         return
-    repeated = np.concatenate([[False], np.all(part[:2, 1:] == part[:2, :-1], axis=0)])
-    gram, node, n, at = part[:, ~repeated]
-    starts = np.concatenate([[0], np.flatnonzero(gram[1:] != gram[:-1]) + 1])
+    repeated = np.concatenate([[False], np.all(part[:3, 1:] == part[:3, :-1], axis=0)])
+    gram, salt, node, n, at = part = part[:, ~repeated]
+    begins = np.concatenate([[True], (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])])
+    starts = np.flatnonzero(begins)
     sizes = np.diff(np.concatenate([starts, [gram.size]]))
     size, first = np.repeat(sizes, sizes), np.repeat(node[starts], sizes)
-    long = (size > SHORT_RUN) & (node != first)
-    pairs = [np.stack([first[long], node[long], np.ones(long.sum(), np.int64)])]
-    left = n - at
+    wide = (size > SHORT_RUN) | (salt > 0)
+    yield from _headed(part[:, starts])
+    yield from _rows(first[wide & (node != first)], node[wide & (node != first)], WIDE)
+    left, run = n - at, np.cumsum(begins)
+    pairs = [np.zeros((2, 0), np.int64)]
     for d in range(1, SHORT_RUN):
-        k = np.flatnonzero((gram[d:] == gram[:-d]) & (size[d:] <= SHORT_RUN))
+        k = np.flatnonzero((run[d:] == run[:-d]) & ~wide[d:])
         if not k.size:
             break
         # The first shingle that two sets share leaves room for all others that they must share.
         room = np.minimum(left[k], left[k + d]) * (1 + least) >= least * (n[k] + n[k + d]) - 1e-6
         k = k[room | (n[k] == 0)]
-        pairs.append(np.stack([node[k], node[k + d], np.zeros(k.size, np.int64)]))
+        pairs.append(np.stack([node[k], node[k + d]]))
     pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
-    if pairs.shape[1]:
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2] == 1)], schema=MEETINGS)
+    yield from _rows(pairs[0], pairs[1], PAIR)
+
+
+def may_be_similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """For sets of sizes n and bitmaps (64-bit words, a row a set), a against b row by row: False where they can't be similar."""
+    (n_a, bits_a), (n_b, bits_b) = a, b
+    differ = np.bitwise_count(bits_a ^ bits_b).sum(-1, dtype=np.int64)
+    return (differ * (1 + least) <= (1 - least) * (n_a + n_b) + 1e-6) & (np.minimum(n_a, n_b) >= least * np.maximum(n_a, n_b) - 1e-6)
+
+
+def _words(bits: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1)
+
 
+def _folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps of fewer bits, out of larger ones."""
+    while words.shape[-1] > width:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
 
-def similar(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """Pairs (u, v) of nodes whose texts' shingle sets have a Jaccard similarity of at least `least`."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = stored(shingle_sets(texts.join(ends, "node", "left_semi").dropDuplicates(["node"]), size), "copies-shingles")
-    left, right = sets.select(F.col("node").alias("u"), F.col("grams").alias("gu")), sets.select(F.col("node").alias("v"), F.col("grams").alias("gv"))
+
+def loose_pairs(pairs: DataFrame, bitmaps: DataFrame, least: float) -> DataFrame:
+    """Those pairs (u, v) whose bitmaps don't rule out that they are similar."""
+    left = bitmaps.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("bu"))
+    right = bitmaps.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv"))
 
     def compare(batches):
         for batch in batches:
             kept = []
-            for a, b in zip(batch.column("gu"), batch.column("gv"), strict=True):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                shared = np.intersect1d(a, b, assume_unique=True).size
-                kept.append(shared >= least * (a.size + b.size - shared))
+            for nu, nv, bu, bv in zip(*(batch.column(c).to_pylist() for c in ("nu", "nv", "bu", "bv")), strict=True):
+                x, y = np.frombuffer(bu, np.uint64), np.frombuffer(bv, np.uint64)
+                width = min(x.size, y.size)
+                kept.append(bool(may_be_similar((np.int64(nu), _folded(x, width)), (np.int64(nv), _folded(y, width)), least)))
             yield batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "gu", "gv").mapInArrow(compare, spark_schema(EDGES))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(compare, spark_schema(EDGES))
+
+
+def _tree(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of each node's component: labels fall to the least of the neighbours' until nothing moves."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, u, label[v])
+        np.minimum.at(new, v, label[u])
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(n))
+    return label[moved], moved
+
+
+def _meeting_blocks(placed: DataFrame, family: str, least: float, pairs_of: Column, only: Column) -> DataFrame:
+    """(family, i, j) of the blocks whose sizes allow similar sets; placed: family, block, n."""
+    blocks = placed.groupBy(family, "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), only.alias("only"))
+    i, j = blocks.alias("i"), blocks.alias("j")
+    may = (F.col("i.high") >= F.col("j.low") * least - 1e-6) & (F.col("j.high") >= F.col("i.low") * least - 1e-6)
+    meet = i.join(j, (F.col(f"i.{family}") == F.col(f"j.{family}")) & (F.col("i.block") <= F.col("j.block"))).where(may & pairs_of)
+    return meet.select(F.col(f"i.{family}").alias(family), F.col("i.block").alias("i"), F.col("j.block").alias("j")).withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+
+
+def loose_in_families(members: DataFrame, least: float) -> DataFrame:
+    """Links (u, v) that connect all members of a family whose bitmaps leave it open whether they are similar.
+
+    members: family, node, n, bits.  Blocks of bitmaps in order of size meet; each pair of blocks gives a tree of links.
+    """
+    before = F.sum(F.length("bits")).over(Window.partitionBy("family").orderBy("n", "node"))
+    placed = stored(members.withColumn("block", F.floor(before / BLOCK_BYTES)), "copies-families")
+    dealt = _meeting_blocks(placed, "family", least, F.lit(True), F.lit(None))
+
+    def compare(table: pa.Table) -> pa.Table:
+        block, nodes, n = (table.column(c).to_numpy() for c in ("block", "node", "n"))
+        bits, n = table.column("bits").to_pylist(), n.astype(np.int64)
+        width = np.array([len(x) for x in bits])
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for w in np.unique(width):
+            a, b = np.flatnonzero((block == i) & ((width == w) | (width == 2 * w))), np.flatnonzero((block == j) & ((width == w) | (width == 2 * w)))
+            if not a.size or not b.size:
+                continue
+            words = {side: np.concatenate([_folded(_words([bits[k]]), w // 8) for k in rows]) for side, rows in (("a", a), ("b", b))}
+            for at in range(0, a.size, 128):
+                some = a[at : at + 128]
+                near = may_be_similar((n[some][:, None], words["a"][at : at + 128, None]), (n[b][None], words["b"][None]), least)
+                x, y = np.nonzero(near)
+                # Trees as they grow: never all pairs at once.
+                tree = _tree(np.concatenate([u, some[x]]), np.concatenate([v, b[y]]), len(bits))
+                u, v = tree
+        return pa.Table.from_arrays([pa.array(nodes[u]), pa.array(nodes[v])], schema=EDGES)
+
+    return placed.join(dealt, ["family", "block"]).groupBy("family", "i", "j").applyInArrow(compare, spark_schema(EDGES))
 
 
 def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -363,23 +519,19 @@ def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def similar_in_families(members: DataFrame, least: float, pairs_of) -> DataFrame:
-    """Links (u, v) of the blocks that meet; members: family, part, node, n, grams.
+def similar_in_groups(members: DataFrame, parts: DataFrame | None, least: float, pairs_of: Column) -> DataFrame:
+    """Links (u, v) of the blocks that meet; members: root, node, n, grams; parts: node, part.
 
-    pairs_of is the condition on two blocks i and j of a family, in order; each has its number, its
+    pairs_of is the condition on two blocks i and j of a group, in order; each has its number, its
     least and greatest n (low, high) and its part if it has only one.
     """
-    light = members.select("family", "part", "node", "n")
-    before = F.sum(F.greatest("n", F.lit(BLOCK_TEXT))).over(Window.partitionBy("family").orderBy(F.col("part").asc_nulls_last(), "n", "node"))
+    light = members.select("root", "node", "n")
+    light = light.join(parts, "node", "left") if parts is not None else light.withColumn("part", F.lit(None).cast("long"))
+    before = F.sum(F.greatest("n", F.lit(BLOCK_TEXT))).over(Window.partitionBy("root").orderBy(F.col("part").asc_nulls_last(), "n", "node"))
     placed = stored(light.withColumn("block", F.floor(before / BLOCK_SHINGLES)), "copies-blocks")
     only = F.when((F.min("part") == F.max("part")) & (F.count("part") == F.count("*")), F.min("part"))
-    blocks = placed.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), only.alias("only"))
-    i, j = blocks.alias("i"), blocks.alias("j")
-    may = (F.col("i.high") >= F.col("j.low") * least - 1e-6) & (F.col("j.high") >= F.col("i.low") * least - 1e-6)
-    meet = i.join(j, (F.col("i.family") == F.col("j.family")) & (F.col("i.block") <= F.col("j.block"))).where(may & pairs_of)
-    meet = meet.select(F.col("i.family").alias("family"), F.col("i.block").alias("i"), F.col("j.block").alias("j"))
-    dealt = meet.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
-    sets = placed.select("family", "block", "node").join(members.select("node", "grams"), "node")
+    dealt = _meeting_blocks(placed, "root", least, pairs_of, only)
+    sets = placed.select("root", "block", "node").join(members.select("node", "grams"), "node")
 
     def compare(table: pa.Table) -> pa.Table:
         block, nodes = table.column("block").to_numpy(), table.column("node").to_numpy()
@@ -393,40 +545,37 @@ def similar_in_families(members: DataFrame, least: float, pairs_of) -> DataFrame
         tree = _tree(a[u], b[v], len(grams))
         return pa.Table.from_arrays([pa.array(nodes[tree[0]]), pa.array(nodes[tree[1]])], schema=EDGES)
 
-    return sets.join(dealt, ["family", "block"]).groupBy("family", "i", "j").applyInArrow(compare, spark_schema(EDGES))
-
-
-def _tree(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) of each node's component: labels fall to the least of the neighbours' until nothing moves."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, u, label[v])
-        np.minimum.at(new, v, label[u])
-        new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
-    moved = np.flatnonzero(label != np.arange(n))
-    return label[moved], moved
+    return sets.join(dealt, ["root", "block"]).groupBy("root", "i", "j").applyInArrow(compare, spark_schema(EDGES))
 
 
 def copy_links(texts: DataFrame, size: int, least: float) -> DataFrame:
     """(node, text) to links (u, v) that connect exactly what the links of all similar pairs connect."""
-    met = stored(meetings(prefixes(texts, size, least), least), "copies-candidates")
-    found = stored(similar(met.where("not wide").select("u", "v"), texts, size, least), "copies-found")
-    wide = met.where("wide").select("u", "v")
-    if wide.isEmpty():
-        return found
-    families = stored(connected_components(wide, "copies-wide"), "copies-families").withColumnRenamed("root", "family")
-    sets = shingle_sets(texts.join(families, "node", "left_semi").dropDuplicates(["node"]), size)
-    members = stored(sets.join(families, "node").withColumn("n", F.expr("length(grams) div 8")), "copies-members")
+    profiled = stored(profiles(texts, size, least), "copies-profiles")
+    met = stored(meetings(profiled, least), "copies-meetings")
+    bitmaps = profiled.select("node", "n", "bits").dropDuplicates(["node"])
+    with arrow_rows(texts.sparkSession, PAIR_ROWS):
+        loose = stored(loose_pairs(met.where(F.col("kind") == PAIR).select("u", "v"), bitmaps, least), "copies-loose")
+    heads = met.where(F.col("kind") == HEAD).select(F.col("u").alias("gram"), "v")
+    wide = met.where(F.col("kind") == WIDE).select("u", "v").union(heads.join(heads.groupBy("gram").agg(F.min("v").alias("u")), "gram").select("u", "v"))
+    if not wide.isEmpty():
+        families = stored(connected_components(wide, "copies-wide"), "copies-wide").withColumnRenamed("root", "family")
+        loose = loose.union(stored(loose_in_families(bitmaps.join(families, "node"), least), "copies-loose"))
+    groups = stored(connected_components(loose, "copies-groups"), "copies-groups")
+    packed = bloom(groups, "node")
+    sets = shingle_sets(texts, size, packed).join(groups, "node").dropDuplicates(["node"])
+    members = stored(sets.withColumn("n", F.expr("length(grams) div 8")), "copies-members")
     # First blocks of like sizes; what they connect needs no more comparing within itself.
-    beside = F.col("j.block") - F.col("i.block") <= 1
-    found = stored(found.union(similar_in_families(members.withColumn("part", F.lit(None).cast("long")), least, beside)), "copies-beside")
+    found = stored(similar_in_groups(members, None, least, F.col("j.block") - F.col("i.block") <= 1), "copies-beside")
     parts = stored(connected_components(found, "copies-parts"), "copies-parts").withColumnRenamed("root", "part")
     apart = ~F.coalesce(F.col("i.only") == F.col("j.only"), F.lit(False))
-    return found.union(similar_in_families(members.join(parts, "node", "left"), least, apart))
+    return found.union(similar_in_groups(_of_several_blocks(members), parts, least, apart))
+
+
+def _of_several_blocks(members: DataFrame) -> DataFrame:
+    """Members of groups that don't fit into two blocks: those of others have all been compared."""
+    weight = F.sum(F.greatest("n", F.lit(BLOCK_TEXT)))
+    large = members.groupBy("root").agg(weight.alias("w")).where(F.col("w") >= BLOCK_SHINGLES).select("root")
+    return members.join(large, "root", "left_semi")
 
 
 def without_near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -438,9 +587,10 @@ def without_near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), _text_hash().alias("text_hash"))
     found = copy_links(docs.select(_text_hash().alias("node"), "text"), 5, similarity)
     nodes = stored(connected_components(found, "copies-components"), "copies-nodes")
-    grouped = rows.join(nodes, F.col("text_hash") == F.col("node"), "left")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    best = grouped.groupBy(F.coalesce("root", "text_hash")).agg(F.min(order).alias("best"))
+    firsts = rows.groupBy("text_hash").agg(F.min(order).alias("first"))
+    grouped = firsts.join(nodes, F.col("text_hash") == F.col("node"), "left")
+    best = grouped.groupBy(F.coalesce("root", "text_hash")).agg(F.min("first").alias("best"))
     kept = stored(best.select(F.col("best.doc_id").alias("_id"), F.col("best.text_hash").alias("_hash")), "copies-kept")
     # The document goes as one struct, so that no column of its own can clash.
     whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), _text_hash().alias("hash"))
