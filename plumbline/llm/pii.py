@@ -93,7 +93,7 @@ OWN_KINDS = (
 )
 KINDS = BASE_KINDS + OWN_KINDS
 #: Characters before and after a match that may hold its context words; and of a chunk.
-REACH, CHUNK = 40, 1 << 14
+REACH, CHUNK = 100, 1 << 14
 
 
 def _chunks(text: Column) -> Column:

@@ -210,7 +210,7 @@ OP9_SQL = (
     list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
   FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM cut WHERE len(ms) > 0)
 ), placed AS (
-  SELECT matches.*, substr(t, CAST(greatest(s - 40, 0) AS BIGINT) + 1, CAST(least(s, 40) AS BIGINT)) AS before, substr(t, CAST(s + length(m) AS BIGINT) + 1, 40) AS after
+  SELECT matches.*, substr(t, CAST(greatest(s - {pii.REACH}, 0) AS BIGINT) + 1, CAST(least(s, {pii.REACH}) AS BIGINT)) AS before, substr(t, CAST(s + length(m) AS BIGINT) + 1, {pii.REACH}) AS after
   FROM matches JOIN docs USING (r)
 ), scored AS (
   SELECT *, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(m) AS BIGINT) AS span, CASE kind
