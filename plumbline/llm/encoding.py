@@ -3,7 +3,8 @@
 A vocabulary's pre-tokenizer cuts a text at white space before any merge, so ids of a text are the
 concatenated ids of such chunks.  Chunks repeat, and each task looks most of them up.  A new chunk
 that is one pre-token by itself (Latin letters) goes straight to the tokenizer's model; any other
-goes through the whole tokenizer.  The memo is bounded, and long chunks bypass it.
+goes through the whole tokenizer.  The memo is bounded: it has two generations, and when the young one is
+full it takes the place of the old, so that chunks in use stay.  Long chunks bypass it.
 
 Control strings of a vocabulary (its added tokens) inside a text become their own ids, as the
 tokenizers library does it: they part a text before anything else, and what stands between two of
@@ -19,8 +20,8 @@ from functools import lru_cache
 import public_tokenizers
 from tokenizers import Tokenizer, pre_tokenizers
 
-#: Chunks remembered by a worker, and the length beyond which one is not remembered.
-MEMO_ENTRIES, MEMO_CHARS = 1 << 18, 64
+#: Chunks that a generation of a worker's memo remembers, and the length beyond which one is not remembered.
+MEMO_ENTRIES, MEMO_CHARS = 1 << 17, 64
 #: The last character of which all Latin-1 letters are their own composed form.
 LATIN = "ÿ"
 
@@ -33,15 +34,20 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 class _Memo(dict):
-    """Chunk to ids; what is missing is encoded, and kept while there is room."""
+    """Chunk to ids: the young generation; what it lacks comes from the old one, or is encoded."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, chunk):
-        ids = self.encode(chunk)
-        if len(self) < MEMO_ENTRIES and len(chunk) <= MEMO_CHARS:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.encode(chunk)
+        if len(chunk) <= MEMO_CHARS:
+            if len(self) >= MEMO_ENTRIES:
+                self.old = dict(self)
+                self.clear()
             self[chunk] = ids
         return ids
 
@@ -64,7 +70,10 @@ class Encoder:
 
     def pre_token(self, text: str) -> bytes:
         """The ids of a text that is one pre-token."""
-        shown = text.encode().decode("latin-1").translate(self.alphabet)
+        if text.isascii():
+            shown = text.replace(" ", self.alphabet[32])
+        else:
+            shown = text.encode().decode("latin-1").translate(self.alphabet)
         return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(shown)])
 
     def encode(self, text: str) -> bytes:
@@ -79,7 +88,7 @@ class Encoder:
 
 
 def _letters(text: str) -> bool:
-    return text.isalpha() and max(text) <= LATIN
+    return text.isalpha() and (text.isascii() or max(text) <= LATIN)
 
 
 class WordEncoder(Encoder):
