@@ -40,7 +40,7 @@ SAMPLE, PER_PARTITION = (16384, 65536), 64
 #: Partitions at most, and the vectors that each needs.
 PARTITIONS, LEAST = 1024, 32
 #: Neighbours in the graph, vectors in a block, queries scored at once.
-NEIGHBOURS, BLOCK, AT_ONCE = 10, 8192, 256
+NEIGHBOURS, BLOCK, AT_ONCE = 10, 2048, 256
 #: The share of true neighbours that sampled queries must find, and how many are asked.
 RECALL, ASKED = 0.94, 512
 
