@@ -53,9 +53,13 @@ def reference_pages(refs: DataFrame, catalog: DataFrame, on: Sequence[str], limi
 
     on: columns that refs and catalog share and that bound what is compared.
     """
-    ref, name = (F.translate(F.regexp_replace(F.upper(c), r"^\s+|\s+$", ""), "/.", "--") for c in ("ref", "sheet_name"))
-    score = F.when(ref == "", 0).when(F.substring_index(name, " - ", 1) == ref, 3).when(F.contains(name, ref), 2).otherwise(0)
-    scored = refs.join(catalog, list(on)).withColumn("score", score).where("score > 0")
+    plain = lambda c: F.translate(F.regexp_replace(F.upper(c), r"^\s+|\s+$", ""), "/.", "--")
+    asked, known = refs.withColumn("_ref", plain("ref")).where("_ref != ''"), catalog.withColumn("_name", plain("sheet_name"))
+    # Equal names are joined by value; only references that they leave are compared with every name of their group.
+    equal = asked.join(known.withColumn("_ref", F.substring_index("_name", " - ", 1)), [*on, "_ref"]).withColumn("score", F.lit(3))
+    rest = asked.join(equal.select(*on, "_ref").distinct(), [*on, "_ref"], "left_anti")
+    held = rest.join(known, list(on)).where(F.contains("_name", F.col("_ref"))).withColumn("score", F.lit(2))
+    scored = equal.unionByName(held.select(*equal.columns)).drop("_ref", "_name")
     best = first_rows(scored, [*on, "ref"], [F.desc("score"), F.length("sheet_name"), "page_id"])
     return best if limit is None else first_rows(best, list(on), ["ref"], limit)
 

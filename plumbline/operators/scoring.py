@@ -22,16 +22,19 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def matched(golden: DataFrame, summary: DataFrame, on: Sequence[str], cutoff: float = 0.70, fuzzy: bool = True) -> DataFrame:
     """Each golden item's summary row: equal names, then equal keys, then the most similar above a cutoff."""
-    norm = lambda c: F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "")
+    plain = lambda c: F.lower(F.trim(c))
+    bare = lambda c: F.regexp_replace(plain(c), "[^a-z0-9]+", "")
     right = summary.select(*on, F.col("item").alias("found"), F.col("quantity").alias("found_quantity"), F.col("unit").alias("found_unit"))
-    pairs = golden.join(right, list(on))
-    equal = F.lower(F.trim("item_name")) == F.lower(F.trim("found"))
-    by_key = norm(F.col("item_name")) == norm(F.col("found"))
+    names, best = golden.select(*on, "item_name").distinct(), None
+    # Equal names and equal keys are joined by value; only what they leave is compared name by name.
+    for key in (plain, bare):
+        pairs = names.withColumn("_key", key("item_name")).join(right.withColumn("_key", key("found")), [*on, "_key"]).drop("_key")
+        found = first_rows(pairs, [*on, "item_name"], ["found"])
+        best = found if best is None else best.unionByName(found)
+        names = names.join(found.select(*on, "item_name"), [*on, "item_name"], "left_anti")
     if fuzzy:
-        pairs = pairs.withColumn("ratio", F.when(equal, 3.0).when(by_key, 2.0).otherwise(similarity(F.lower("item_name"), F.lower("found"))))
-    else:
-        pairs = pairs.withColumn("ratio", F.when(equal, 3.0).when(by_key, 2.0).otherwise(0.0))
-    best = first_rows(pairs.where(F.col("ratio") >= cutoff), [*on, "item_name"], [F.desc("ratio"), "found"])
+        scored = names.join(right, list(on)).withColumn("ratio", similarity(F.lower("item_name"), F.lower("found"))).where(F.col("ratio") >= cutoff)
+        best = best.unionByName(first_rows(scored, [*on, "item_name"], [F.desc("ratio"), "found"]).drop("ratio"))
     return golden.join(best.select(*on, "item_name", "found", "found_quantity", "found_unit"), [*on, "item_name"], "left")
 
 

@@ -1,5 +1,6 @@
 """Sources, sinks, feeds and merges by hand-made rows."""
 
+import difflib
 import json
 import time
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import parse_numeric
-from plumbline.operators import merge, reports, scales
+from plumbline.operators import merge, reports, scales, scoring
 from plumbline.sources import extraction, manifest, runs, sinks
 from plumbline.streaming import feed, pages
 
@@ -98,3 +99,18 @@ def test_upgrade_takes_the_first_sure_count(spark):
 def test_scales_in_text(spark):
     (row,) = spark.createDataFrame([("1/8\" = 1'-0\" and 1\" = 20' and 1 1/2\" = 1'-0\" and 37\" = 1'", None)], "t string, n string").select(scales.text_scales(F.col("t")).alias("a"), scales.text_scales(F.col("n")).alias("b")).collect()
     assert [round(v, 4) for v in row["a"]] == [8.0, 20.0, 0.6667] and row["b"] == []
+
+
+def test_fuzzy_matching_against_difflib(spark):
+    """Equal, equal without signs, most similar, none: against the standard library, name by name."""
+    golden = ["CMU Wall", "Gas Piping", "bollards", "Sealed Concrete", "Unheard of", "Ladder-H-20'"]
+    summary = ["cmu wall", "GAS-PIPING", "Bollard", "Seal Concrete", "Seale Concrete", "Ladder", "x"]
+    plain = lambda t: "".join(c for c in t.lower() if c.isalnum())
+    want = {}
+    for g in golden:
+        ranked = sorted(summary, key=lambda t: (t.lower() != g.lower(), plain(t) != plain(g), -difflib.SequenceMatcher(None, g.lower(), t.lower()).ratio(), t))
+        near = plain(ranked[0]) == plain(g) or difflib.SequenceMatcher(None, g.lower(), ranked[0].lower()).ratio() >= 0.7
+        want[g] = ranked[0] if near else None
+    left = spark.createDataFrame([("p", g, 1.0) for g in golden], "project string, item_name string, quantity double")
+    right = spark.createDataFrame([("p", t, 1.0, "EA") for t in summary], "project string, item string, quantity double, unit string")
+    assert {r["item_name"]: r["found"] for r in scoring.matched(left, right, ["project"]).collect()} == want
