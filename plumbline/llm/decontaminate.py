@@ -37,7 +37,7 @@ MASKS = ("11101011", "1101100101", "110010100101")
 PATTERNS = (*MASKS, *("1" * n for n in range(1, min(map(len, MASKS)))))
 #: Equal words that an overlap needs.
 LEAST = 10
-#: Characters whose words are hashed at once.
+#: Characters whose words are hashed at once, and texts that a task remembers.
 BLOCK = 1 << 18
 #: Pairs of places beyond which a pair's diagonals are found by shifted bit sets.
 MANY = 1 << 20
@@ -111,26 +111,31 @@ def benchmark_seeds(items: DataFrame) -> DataFrame:
     return items.select("item", "item_text").mapInArrow(run, spark_schema(SEEDS))
 
 
-HITS = arrow_schema(text_hash=pa.int64(), pattern=pa.int32(), hash=pa.int64())
+HITS = arrow_schema(text_hash=pa.int64(), text=pa.string(), hits=pa.list_(pa.struct({"pattern": pa.int32(), "hash": pa.int64()})))
 
 
 def hits(texts: DataFrame, packed: np.ndarray, used: list[int]) -> DataFrame:
-    """(text_hash, text) to each text's distinct hashes under the used patterns that pass the filter; no shuffle."""
+    """(text_hash, text) to the texts that have hashes under the used patterns that pass the filter, once a text and task, with those hashes."""
     broadcast = texts.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches):
-        bits = broadcast.value
+        bits, seen = broadcast.value, set()
 
         def rows():
             for batch in portions(batches):
                 for name, text in zip(batch.column("text_hash").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    words = word_hashes(text)
+                    if name in seen:
+                        continue
+                    words, found = word_hashes(text), []
                     for k in used:
                         seeds = seed_hashes(words, PATTERNS[k])
-                        for h in np.unique(seeds[passes(bits, seeds)]).view(np.int64).tolist():
-                            yield name, k, h
+                        found += [{"pattern": k, "hash": h} for h in np.unique(seeds[passes(bits, seeds)]).view(np.int64).tolist()]
+                    if found:
+                        if len(seen) < BLOCK:
+                            seen.add(name)
+                        yield name, text, found
 
-        yield from record_batches(rows(), HITS)
+        yield from record_batches(rows(), HITS, 256)
 
     return texts.select("text_hash", "text").mapInArrow(run, spark_schema(HITS))
 
@@ -215,9 +220,8 @@ def text_overlaps(docs: DataFrame, items: DataFrame, least: int = LEAST) -> Data
     used = sorted(r["pattern"] for r in seeds.select("pattern").distinct().collect())
     texts = docs.select(text_hash(F.col("text")).alias("text_hash"), "text")
     found = stored(hits(texts, bloom(seeds, "hash"), used), "decontam-hits")
-    pairs = found.distinct().join(seeds, ["pattern", "hash"]).select("text_hash", "item").distinct()
-    concerned = texts.join(found.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"])
-    read = pairs.join(concerned, "text_hash").join(named.select("item", "item_text"), "item")
+    pairs = found.select("text_hash", F.inline("hits")).distinct().join(seeds, ["pattern", "hash"]).select("text_hash", "item").distinct()
+    read = pairs.join(found.select("text_hash", "text").dropDuplicates(["text_hash"]), "text_hash").join(named.select("item", "item_text"), "item")
     return _verified(read, least).join(named.select("item", "item_id"), "item").select("text_hash", "item_id", "n_equal", "item_words")
 
 
