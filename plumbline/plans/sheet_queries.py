@@ -269,3 +269,56 @@ def sheet_assets(spark, sf_dir):
     """P14, P15"""
     assets = raw.sheet_assets(order_sheets(spark, sf_dir))
     return assets.select("sheet", "image", "type", raw.is_scale_bearing(F.col("sheet"), F.col("type")).alias("scaled"))
+
+
+_ROOM = "(SELECT DISTINCT l_orderkey, CAST(trunc(o_totalprice) AS DOUBLE) AS area FROM lines WHERE trunc(o_totalprice) > 0)"
+
+
+@query(f"""
+WITH {_LINES_SQL}, r AS {_ROOM}, w AS (SELECT *, 4 * sqrt(area) * 10 AS wall FROM r)
+SELECT 'S' || l_orderkey AS sheet, 'flooring' AS item_type, round_even(area * 1.1, 2) AS quantity, 'medium' AS confidence FROM w UNION ALL SELECT 'S' || l_orderkey, 'ceiling_grid', round_even(area * 1.08, 2), 'medium' FROM w
+UNION ALL SELECT 'S' || l_orderkey, 'paint', ceil(wall * 2 / 350), 'low' FROM w UNION ALL SELECT 'S' || l_orderkey, 'drywall', ceil(wall * 1.12 / 32), 'low' FROM w
+""")
+def room_items(spark, sf_dir):
+    """Rooms whose notes name no material, with walls of ten feet"""
+    return estimate.from_rooms(order_sheets(spark, sf_dir), "retail", 10.0).select("sheet", "item_type", "quantity", "confidence")
+
+
+@query(f"""
+WITH {_LINES_SQL}, k AS (SELECT *, {_KIND} AS kind, CAST(q AS DOUBLE) AS v FROM lines WHERE l_returnflag = 'A' AND o_orderpriority <> '1-URGENT' AND CAST(q AS INT) > 0)
+SELECT sheet, CASE WHEN kind = 'general' THEN 'schedule_item' ELSE kind END AS item_type, l_linenumber || ' - ' || item AS description,
+  CASE WHEN o_orderpriority = '2-HIGH' OR kind = 'general' THEN v ELSE round_even(CASE kind WHEN 'flooring' THEN v * 1.10 WHEN 'storm_pipe' THEN v * 1.05 ELSE v END, 2) END AS quantity,
+  CASE WHEN o_orderpriority = '2-HIGH' THEN 'companion_takeoff_legend' ELSE 'schedule' END AS qty_source FROM k WHERE NOT contains(item, CAST(l_linenumber AS VARCHAR))
+""")
+def schedule_items(spark, sf_dir):
+    """Rows of take-off schedules, printed legends as they are"""
+    sheets = order_sheets(spark, sf_dir)
+    marked = F.transform("schedules", lambda s: s.withField("rows", F.transform(s["rows"], lambda r: F.create_map(F.lit("DESCRIPTION"), r["ITEM"], F.lit("QTY"), r["QTY"], F.lit("MARK"), r["TAG"]))))
+    found = estimate.from_schedules(sheets.withColumn("schedules", marked))
+    return found.where(F.contains("description", F.lit(" - "))).select("sheet", "item_type", "description", "quantity", "qty_source")
+
+
+_RUNS = (("black steel", "gas_pipe", 1.05), ("spiral duct", "duct_lf", 1.1), ("EMT", "conduit_lf", 1.1), ("RCP", "storm_pipe", 1.05))
+_STRUCTURES = (("Catch Basin", "catch_basin"), ("BB inlet", "catch_basin"), ("manhole", "manhole"), ("fence", None))
+
+
+def _pick(values, column="l_linenumber"):
+    return F.get(F.array(*map(F.lit, values)), (F.col(column) % len(values)).cast("int"))
+
+
+@query(f"""
+WITH r AS (SELECT l_orderkey, l_quantity, CAST(l_linenumber % 4 AS INT) AS k FROM lineitem)
+SELECT 'S' || l_orderkey AS sheet, {[r[1] for r in _RUNS]}[1 + k] AS item_type, round_even(l_quantity * CAST({[r[2] for r in _RUNS]}[1 + k] AS DOUBLE), 2) AS quantity FROM r
+UNION ALL SELECT 'S' || l_orderkey, {[r[1] or "" for r in _STRUCTURES]}[1 + k], CASE WHEN k = 2 THEN 1.0 ELSE l_quantity END FROM r WHERE k <> 3
+UNION ALL SELECT 'S' || l_orderkey, 'lintel', round_even(CASE WHEN k < 2 THEN l_quantity ELSE 4.0 * 3 END * 1.05, 2) FROM r
+""")
+def run_items(spark, sf_dir):
+    """Pipe runs, civil structures and lintels, a sheet for each order"""
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("S"), "l_orderkey").alias("sheet"), F.lit(0).alias("sheet_ord"), F.lit("civil_site").alias("sheet_type"), "l_linenumber", "l_quantity")
+    k, none = F.col("l_linenumber") % 4, F.lit(None)
+    runs = F.array(F.struct(F.col("l_quantity").alias("length_lf"), _pick([r[0] for r in _RUNS]).alias("material"), none.cast("string").alias("raw_text")))
+    structures = F.array(F.struct(_pick([r[0] for r in _STRUCTURES]).alias("type"), F.when(k != 2, F.col("l_quantity")).alias("quantity"), none.cast("string").alias("id"), none.cast("string").alias("specification")))
+    lintels = F.array(F.struct(F.lit("L").alias("mark"), F.lit("4x4").alias("size"), F.lit(4.0).alias("individual_length_ft"), F.lit(3.0).alias("count"), F.when(k < 2, F.col("l_quantity")).otherwise(0.0).alias("total_lf")))
+    sheets = lines.select("sheet", "sheet_ord", "sheet_type", runs.alias("pipe_runs"), structures.alias("civil_structures"), lintels.alias("lintel_runs"))
+    found = estimate.from_pipe_runs(sheets).unionByName(estimate.from_civil_structures(sheets)).unionByName(estimate.from_lintel_runs(sheets))
+    return found.select("sheet", "item_type", "quantity")
