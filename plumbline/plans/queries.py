@@ -80,6 +80,19 @@ def parse_numeric(spark, sf_dir):
     return spark.createDataFrame([(t,) for t, _ in NUMERIC_CASES], "value_text string").select("value_text", numeric.parse_numeric(F.col("value_text")).alias("value"))
 
 
+@_query("""
+SELECT p_partkey, CAST(CASE p_partkey % 7 WHEN 0 THEN p_size WHEN 1 THEN 12 * p_size + p_size % 12 WHEN 2 THEN p_size * 1000 WHEN 5 THEN p_size + (p_size % 5 + 1) / 8 WHEN 6 THEN round(p_retailprice, 2) END AS DOUBLE) AS value FROM part
+""")
+def numeric_cells(spark, sf_dir):
+    """F1 over a whole table: with units, feet and inches, thousands, names, percentages, mixed fractions, plain"""
+    size, k = F.col("p_size"), F.col("p_partkey") % 7
+    cells = (
+        F.when(k == 0, F.concat(size, F.lit(" SF"))).when(k == 1, F.concat(size, F.lit("'-"), size % 12, F.lit('"'))).when(k == 2, F.format_number(size * 1000, 0)).when(k == 3, F.col("p_name"))
+        .when(k == 4, F.concat(size, F.lit(" %"))).when(k == 5, F.concat(size, F.lit("-"), size % 5 + 1, F.lit("/8"))).otherwise(F.round("p_retailprice", 2).cast("decimal(20,2)").cast("string"))
+    )
+    return _t(spark, sf_dir, "part").select("p_partkey", numeric.parse_numeric(cells).alias("value"))
+
+
 @_query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'ft' WHEN 'O' THEN 'ea' WHEN 'P' THEN 'gallons' ELSE lower(o_orderstatus) END AS unit FROM orders")
 def convert_units(spark, sf_dir):
     """F3"""
@@ -112,15 +125,15 @@ def canonical_aggregate(spark, sf_dir):
 
 @_query("""
 WITH n AS (SELECT p_partkey, replace(p_name, ' ', '-') || CASE WHEN p_size % 3 = 0 THEN '-H' ELSE '' END AS name FROM part),
-c AS (SELECT DISTINCT split_part(replace(p_name, ' ', '-'), '-', 1) AS c FROM part WHERE p_partkey < 3 UNION SELECT DISTINCT replace(p_name, ' ', '-') || '-H' FROM part WHERE p_partkey BETWEEN 3 AND 12)
+c AS (SELECT DISTINCT split_part(replace(p_name, ' ', '-'), '-', 1) AS c FROM part WHERE p_name LIKE 'cold%' UNION SELECT DISTINCT replace(p_name, ' ', '-') || '-H' FROM part WHERE p_name LIKE 'large%')
 SELECT p_partkey, name FROM n WHERE NOT EXISTS (SELECT 1 FROM c WHERE c = name OR starts_with(name, c || '-') OR starts_with(c, name || '-'))
 """)
 def suppress_legend(spark, sf_dir):
     """J6"""
     part = _t(spark, sf_dir, "part").withColumn("dashed", F.replace("p_name", F.lit(" "), F.lit("-")))
     rows = part.select("p_partkey", F.concat("dashed", F.when(F.col("p_size") % 3 == 0, "-H").otherwise("")).alias("name"))
-    heads = part.where("p_partkey < 3").select(F.split("dashed", "-")[0].alias("name"))
-    return match.suppressed(rows, heads.union(part.where("p_partkey BETWEEN 3 AND 12").select(F.concat("dashed", F.lit("-H")))))
+    heads = part.where("p_name LIKE 'cold%'").select(F.split("dashed", "-")[0].alias("name"))
+    return match.suppressed(rows, heads.union(part.where("p_name LIKE 'large%'").select(F.concat("dashed", F.lit("-H")))))
 
 
 @_query("""
@@ -225,7 +238,7 @@ def ref_to_page(spark, sf_dir):
 
 @_query("""
 WITH m AS (SELECT o_orderkey AS id, o_orderpriority || CAST(o_custkey AS VARCHAR) AS name, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS q FROM orders WHERE o_orderstatus <> 'P'),
-c AS (SELECT o_orderkey AS id, ' ' || upper(o_orderpriority) || CAST(o_custkey AS VARCHAR) AS name, o_totalprice AS q, CASE WHEN o_orderkey % 2 = 0 THEN 'high' ELSE 'low' END AS conf FROM orders WHERE o_orderkey % 5 = 0),
+c AS (SELECT o_orderkey AS id, ' ' || upper(o_orderpriority) || CAST(o_custkey AS VARCHAR) AS name, o_totalprice AS q, CASE WHEN o_orderkey % 2 = 0 THEN 'high' ELSE 'low' END AS conf FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')),
 f AS (SELECT *, lower(trim(name)) AS k FROM c QUALIFY row_number() OVER (PARTITION BY lower(trim(name)) ORDER BY id) = 1),
 b AS (SELECT *, lower(trim(name)) AS k, row_number() OVER (PARTITION BY lower(trim(name)) ORDER BY id DESC) = 1 AS last FROM m)
 SELECT coalesce(b.id, f.id) AS id, coalesce(b.name, f.name) AS name, CASE WHEN b.id IS NULL OR (last AND b.q IS NULL AND conf = 'high') THEN f.q ELSE b.q END AS quantity,
@@ -237,7 +250,7 @@ def pass_merge(spark, sf_dir):
     orders = _t(spark, sf_dir, "orders")
     name = F.concat("o_orderpriority", "o_custkey")
     measured = orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), name.alias("name"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("quantity"))
-    counted = orders.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("id"), F.concat(F.lit(" "), F.upper("o_orderpriority"), "o_custkey").alias("name"), F.col("o_totalprice").alias("quantity"), F.when(F.col("o_orderkey") % 2 == 0, "high").otherwise("low").alias("confidence"))
+    counted = orders.where("o_orderpriority IN ('1-URGENT', '5-LOW')").select(F.col("o_orderkey").alias("id"), F.concat(F.lit(" "), F.upper("o_orderpriority"), "o_custkey").alias("name"), F.col("o_totalprice").alias("quantity"), F.when(F.col("o_orderkey") % 2 == 0, "high").otherwise("low").alias("confidence"))
     return match.pass_merge(measured, counted, "name", "quantity", "id")
 
 
@@ -293,23 +306,23 @@ def sanity_flags(spark, sf_dir):
 
 
 def _points(spark, sf_dir):
-    vectors = _t(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 16).cast("array<double>").alias("e"))
+    vectors = _t(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 64).cast("array<double>").alias("e"))
     pair = lambda i: F.struct(F.round(F.get("e", 2 * i), 4).alias("x"), F.round(F.get("e", 2 * i + 1), 4).alias("y"))
-    return vectors.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), pair).alias("points"))
+    return vectors.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(31)), pair).alias("points"))
 
 
-_POINTS_SQL = "WITH p AS (SELECT vec_id, list_transform(range(0, 8), lambda i: {'x': round(embedding[2 * i + 1]::DOUBLE, 4), 'y': round(embedding[2 * i + 2]::DOUBLE, 4)}) AS p FROM embeddings)"
+_POINTS_SQL = "WITH p AS (SELECT vec_id, list_transform(range(0, 32), lambda i: {'x': round(embedding[2 * i + 1]::DOUBLE, 4), 'y': round(embedding[2 * i + 2]::DOUBLE, 4)}) AS p FROM embeddings)"
 
 
 @_query(
     _POINTS_SQL
-    + """ SELECT vec_id, round(abs(list_sum(list_transform(range(1, 9), lambda i: p[i].x * p[1 + (i % 8)].y - p[1 + (i % 8)].x * p[i].y))) / 2, 6) AS area,
-  round(list_sum(list_transform(range(1, 8), lambda i: sqrt((p[i + 1].x - p[i].x) * (p[i + 1].x - p[i].x) + (p[i + 1].y - p[i].y) * (p[i + 1].y - p[i].y)))), 6) AS length FROM p"""
+    + """ SELECT vec_id, round(abs(list_sum(list_transform(range(1, 33), lambda i: p[i].x * p[1 + (i % 32)].y - p[1 + (i % 32)].x * p[i].y))) / 2, 4) AS area,
+  round(list_sum(list_transform(range(1, 32), lambda i: sqrt((p[i + 1].x - p[i].x) * (p[i + 1].x - p[i].x) + (p[i + 1].y - p[i].y) * (p[i + 1].y - p[i].y)))), 4) AS length FROM p"""
 )
 def shoelace(spark, sf_dir):
     """F10"""
     p = F.col("points")
-    return _points(spark, sf_dir).select("vec_id", F.round(geometry.shoelace_area(p), 6).alias("area"), F.round(geometry.polyline_length(p), 6).alias("length"))
+    return _points(spark, sf_dir).select("vec_id", F.round(geometry.shoelace_area(p), 4).alias("area"), F.round(geometry.polyline_length(p), 4).alias("length"))
 
 
 @_query("SELECT p_partkey, round_even((p_retailprice + 0.0137::DOUBLE) * (p_size / 72.0::DOUBLE), 1) AS length_ft, round_even((p_retailprice + 0.0137::DOUBLE) * pow(p_size / 72.0::DOUBLE, 2), 1) AS area_sf FROM part")
@@ -321,7 +334,7 @@ def scale_recompute(spark, sf_dir):
 
 @_query("""
 WITH s AS (SELECT vec_id, label, (embedding[1]::DOUBLE + embedding[3]::DOUBLE) / 2 AS x, (embedding[2]::DOUBLE + embedding[4]::DOUBLE) / 2 AS y FROM embeddings),
-a AS (SELECT vec_id AS anchor, label, embedding[1]::DOUBLE AS ax, embedding[2]::DOUBLE AS ay FROM embeddings WHERE vec_id % 25 = 0)
+a AS (SELECT vec_id AS anchor, label, embedding[1]::DOUBLE AS ax, embedding[2]::DOUBLE AS ay FROM embeddings WHERE embedding[7] > 0.2::FLOAT)
 SELECT label, vec_id AS seg, anchor FROM s JOIN a USING (label) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY (ax - x) * (ax - x) + (ay - y) * (ay - y), anchor) = 1
 """)
 def nearest_anchor(spark, sf_dir):
@@ -329,7 +342,7 @@ def nearest_anchor(spark, sf_dir):
     vectors = _t(spark, sf_dir, "embeddings")
     at = lambda i: F.get("embedding", F.lit(i)).cast("double")
     segments = vectors.select("label", F.col("vec_id").alias("seg"), at(0).alias("x0"), at(1).alias("y0"), at(2).alias("x1"), at(3).alias("y1"))
-    anchors = vectors.where("vec_id % 25 = 0").select("label", F.col("vec_id").alias("anchor"), at(0).alias("ax"), at(1).alias("ay"), F.col("vec_id").alias("ord"))
+    anchors = vectors.where(F.get("embedding", F.lit(6)) > F.lit(0.2).cast("float")).select("label", F.col("vec_id").alias("anchor"), at(0).alias("ax"), at(1).alias("ay"), F.col("vec_id").alias("ord"))
     return pages.nearest_anchor(segments, anchors, ["label"]).select("label", "seg", "anchor")
 
 
@@ -485,7 +498,7 @@ def review_counts(spark, sf_dir):
     return history.review_counts(rows, ["p_type"])
 
 
-@_query("SELECT doc_id, CASE WHEN length(text) % 2 = 0 THEN array_to_string(string_split(upper(source), ' '), '') ELSE '' END AS key FROM documents")
+@_query("SELECT doc_id, regexp_replace(upper(source || '-' || lang || '. 1'), '[\\s._-]+', '', 'g') AS key FROM documents")
 def sheet_keys(spark, sf_dir):
     """F15"""
-    return _t(spark, sf_dir, "documents").select("doc_id", F.when(F.length("text") % 2 == 0, text.sheet_key(F.col("source"))).otherwise("").alias("key"))
+    return _t(spark, sf_dir, "documents").select("doc_id", text.sheet_key(F.concat("source", F.lit("-"), "lang", F.lit(". 1"))).alias("key"))
