@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import quantity_text
+from ..functions.storage import materialised
 from ..operators import estimate, merge, raw, reports
 from ..sources import extraction
 from .registry import query, table
@@ -51,7 +52,7 @@ def order_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     room = s(name=F.concat(F.lit("Room "), "o_orderkey"), area=F.col("o_totalprice").cast("bigint").cast("string"), dimensions=F.lit(None).cast("string"), notes=F.when(F.col("o_orderkey") % 2 == 0, "Warehouse area").otherwise("office"), material_notes=F.lit(None).cast("string"), ceiling=F.lit(None).cast("string"))
     kind = F.when(F.col("o_orderstatus") == "F", "floor_plan").when(F.col("o_orderstatus") == "O", "detail").otherwise("civil_site")
     name = F.concat(F.lit("S"), "o_orderkey")
-    return sheets.select(
+    recorded = sheets.select(
         name.alias("sheet"), F.col("o_orderkey").alias("sheet_ord"), kind.alias("sheet_type"), F.col("o_orderkey").cast("string").alias("page_id"), F.lit("1\" = 20'").alias("scale"),
         F.lit(False).alias("skipped"), F.lit(False).alias("has_error"), F.when(F.col("o_orderkey") % 3 != 0, F.concat(name, F.lit(".png"))).alias("image"),
         *(of(c).alias(c) for c in ("measurements", "components", "materials")), F.array(room).alias("rooms"), F.array(schedule).alias("schedules"),
@@ -59,6 +60,8 @@ def order_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array().cast("array<struct<type:string,quantity:double,id:string,specification:string>>").alias("civil_structures"),
         F.array().cast("array<struct<mark:string,size:string,individual_length_ft:double,count:double,total_lf:double,location:string,raw_text:string>>").alias("lintel_runs"),
     )
+    # Recorded once, as sheets are: what follows reads plain columns.
+    return materialised(recorded, "order-sheets")
 
 
 _RAW_SQL = f"""
