@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, langid, license_scan, packing, pii, simhash, token_store, url_filter
+from . import ann, chat, decontaminate, divergence, langid, license_scan, merkle, packing, pii, simhash, token_counts, token_store, url_filter
 from .common import fresh_path, table
 
 
@@ -245,6 +245,85 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered, n_chars=F.col("n_chars") + 1)
+
+
+def _leaf_sql(n_chars: str) -> str:
+    told = (f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", n_chars, "text"))
+    return f"sha256({' || '.join(told)})"
+
+
+#: crc32 bit by bit over the characters of a decimal number.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda v, zero: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))"""
+_UP = "list_transform(range(0, (len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], '')))"
+OP11_SQL = f"""
+WITH RECURSIVE told AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, {_leaf_sql("n_chars")} AS leaf, {_leaf_sql("n_chars + 1")} AS changed, coalesce({_CRC32} % 7 = 0, false) AS tampered FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM told
+), up AS (
+  SELECT lang, 0 AS lvl, list(leaf ORDER BY pos) AS l FROM placed GROUP BY lang
+  UNION ALL SELECT lang, lvl + 1, {_UP} FROM up WHERE len(l) > 1
+), trees AS (
+  SELECT lang, l[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM up WHERE len(l) = 1
+), forest AS (
+  SELECT 1000 AS lvl, list(subroot ORDER BY pos) AS l FROM trees
+  UNION ALL SELECT lvl + 1, {_UP} FROM forest WHERE len(l) > 1
+), steps AS (
+  SELECT r, lvl, placed.pos >> lvl AS i, l FROM placed JOIN up ON placed.lang IS NOT DISTINCT FROM up.lang WHERE len(l) > 1
+  UNION ALL SELECT r, lvl, trees.pos >> (lvl - 1000), l FROM placed JOIN trees ON placed.lang IS NOT DISTINCT FROM trees.lang, forest WHERE len(l) > 1
+), sided AS (
+  SELECT r, lvl, l[xor(i, 1) + 1] AS sibling, CASE WHEN i % 2 = 1 THEN 'L' ELSE 'R' END AS side FROM steps
+), paths AS (
+  SELECT r, string_agg(sibling, '' ORDER BY lvl) AS proof, list(coalesce(side || sibling, '-') ORDER BY lvl) AS path FROM sided GROUP BY r
+)
+SELECT doc_id, leaf, subroot, whole.root, sha256(coalesce(proof, '')) AS proof_sha256,
+  list_reduce(list_prepend(CASE WHEN tampered THEN changed ELSE leaf END, coalesce(path, [])),
+    lambda h, x: CASE x[1] WHEN 'L' THEN sha256(substr(x, 2) || h) WHEN 'R' THEN sha256(h || substr(x, 2)) ELSE sha256(h) END) AS folded_root,
+  folded_root = whole.root AS verified
+FROM placed JOIN trees ON placed.lang IS NOT DISTINCT FROM trees.lang LEFT JOIN paths USING (r), (SELECT l[1] AS root FROM forest WHERE len(l) = 1) AS whole
+"""
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 512)
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), words AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY ALL HAVING count(DISTINCT r) >= 30
+), langs AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang
+), counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL
+), sources AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS n FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN counts USING (lang, source) GROUP BY ALL
+), grid AS (
+  SELECT lang, s.source, term, coalesce(counts.n, 0) AS n,
+    1 + (CAST(1000000000 AS HUGEINT) * (coalesce(counts.n, 0) + 5)) // CAST(s.n + 5 * v AS HUGEINT) AS p,
+    1 + (CAST(1000000000 AS HUGEINT) * (kept.n + 5)) // CAST(langs.n + 5 * v AS HUGEINT) AS q
+  FROM sources AS s JOIN langs USING (lang) JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM sources AS a JOIN sources AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source AS one, y.source AS other, sum(abs(x.p - y.p)) AS value FROM grid AS x JOIN grid AS y USING (lang, term) GROUP BY ALL
+  ) AS sums ON sums.lang = a.lang AND one = a.source AND other = b.source
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM grid WHERE n > 0 AND p > q)
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # imports this subpackage itself
 
@@ -262,6 +341,9 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_pii": op9_pii,
     "op10_ann": op10_ann,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_counts": op12_token_counts,
+    "op13_divergence_audit": op13_divergence_audit,
     "pipeline": pipeline,
 }
 ORACLE_SQL = {
@@ -269,4 +351,6 @@ ORACLE_SQL = {
     "op3_license_scan": OP3_SQL,
     "op8_url_filter": OP8_SQL,
     "op9_pii": OP9_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op13_divergence_audit": OP13_SQL,
 }
