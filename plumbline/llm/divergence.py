@@ -35,7 +35,7 @@ class Sizes(NamedTuple):
     """What a task holds at once; results are the same for all."""
 
     #: Bytes of texts that are counted together.
-    text_bytes: int = 1 << 23
+    text_bytes: int = 1 << 24
     #: Rows of a shard while terms are kept, and (about) while pairs are summed.
     shard_rows: int = 200_000
     pair_rows: int = 100_000
@@ -47,6 +47,7 @@ class Sizes(NamedTuple):
 _WORDS = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 COUNTED = arrow_schema(lang=pa.string(), source=pa.string(), term=pa.string(), n=pa.int64(), docs=pa.int64())
+SUMMED = arrow_schema(hash=pa.int64(), lang=pa.string(), source=pa.string(), term=pa.string(), n=pa.int64(), docs=pa.int64())
 KEPT = arrow_schema(hash=pa.int64(), lang=pa.string(), source=pa.string(), term=pa.string(), n=pa.int64(), first=pa.int64())
 #: kind "pair": source, other, value over terms of the shard, n of those terms; kind "term": source, other is the term, value.
 PARTIAL = arrow_schema(lang=pa.string(), kind=pa.string(), source=pa.string(), other=pa.string(), value=pa.int64(), n=pa.int64())
@@ -96,7 +97,7 @@ def _keep(least: int, sizes: Sizes):
 
         def added(last: bool):
             db.register("shard", pa.Table.from_batches(held))
-            summed = db.sql("SELECT hash, lang, source, term, CAST(sum(n) AS BIGINT) AS n, CAST(sum(docs) AS BIGINT) AS docs FROM shard GROUP BY ALL").to_arrow_table()
+            summed = db.sql("SELECT hash, lang, source, term, CAST(sum(n) AS BIGINT) AS n, CAST(sum(docs) AS BIGINT) AS docs FROM shard GROUP BY ALL").to_arrow_table().cast(SUMMED)
             open_hash = None if last else held[-1].column("hash")[-1].as_py()  # rows of this hash may follow
             whole = summed if last else summed.filter(pc.not_equal(summed.column("hash"), open_hash))
             db.register("summed", whole)
@@ -108,7 +109,7 @@ def _keep(least: int, sizes: Sizes):
             return enough, rest
 
         for batch in batches:
-            held.append(batch)
+            held.append(pa.RecordBatch.from_arrays([batch.column(c) for c in SUMMED.names], schema=SUMMED))
             rows += batch.num_rows
             if rows >= sizes.shard_rows:
                 enough, held = added(False)

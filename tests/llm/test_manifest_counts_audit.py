@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -200,6 +201,17 @@ def test_audit_awkward(awkward):
     assert audit_rows(awkward.limit(0), 1, 3) == []
 
 
+def test_terms_that_span_batches():
+    """A term's rows are added up however batches cut them, and whatever the order of columns."""
+    rows = [(h, "en", f"s{k}", f"t{h}", 1, 1 + h % 2) for h in range(40) for k in range(1 + h % 7)]
+    names = ["lang", "source", "term", "n", "docs", "hash"]
+    table = pa.table({c: [dict(zip(["hash", *names[:-1]], r, strict=True))[c] for r in rows] for c in names})
+    for size in (1, 5, 1000):
+        kept = divergence._keep(4, divergence.Sizes(shard_rows=6))(table.to_batches(max_chunksize=size))
+        got = sorted((r["hash"], r["source"], r["n"], r["first"]) for b in kept for r in b.to_pylist())
+        assert got == sorted((h, s, n, int(s == "s0")) for h, _, s, _, n, _ in rows if (1 + h % 7) * (1 + h % 2) >= 4)
+
+
 def test_audit_in_small_shards(spark):
     """Shards, portions and blocks of sources of the least size give the same rows; ties go by the item's bytes."""
     sizes = divergence.Sizes(text_bytes=200, shard_rows=7, pair_rows=9, sources_at_once=2)
