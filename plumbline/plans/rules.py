@@ -227,6 +227,8 @@ UNIT_NAMES = {
 }
 #: Fixed values.  Words of no weight in an item's name.
 STOP_WORDS = ("a", "alt", "an", "and", "assembly", "at", "ea", "for", "in", "of", "on", "system", "the", "to", "total", "typ")
+#: Fixed values.  Words that the benchmark's matching leaves out.
+BENCHMARK_STOP_WORDS = ("the", "a", "an", "of", "and", "to", "for", "in", "on", "alt", "h")
 #: Fixed values.  What a unit measures, else a count.
 UNIT_MEASURES = {
     "EA": "count", "EACH": "count", "SF": "area", "SQFT": "area", "SQ_FT": "area", "LF": "length", "FT": "length", "CY": "volume",
