@@ -128,13 +128,13 @@ def _calibrated_sheets(spark, sf_dir):
 WITH c AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN nullif(round_even(CAST(o_custkey AS DOUBLE) / 7, 4), 0) WHEN o_orderstatus = 'P' THEN 20.0 ELSE 4.0 END AS fpi, o_totalprice, o_orderkey % 2 = 0 AS drawn
   FROM orders WHERE o_orderkey % 2 = 0 OR (o_orderkey % 3 <> 0 AND o_orderstatus <> 'O')),
 g AS (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN 50.0 ELSE fpi END AS f FROM c)
-SELECT 'S' || o_orderkey AS sheet, f AS feet_per_inch, CASE WHEN drawn THEN round(o_totalprice * (f / 72), 1) END AS total_linework_lf, o_orderkey % 5 = 0 AS given FROM g
+SELECT 'S' || o_orderkey AS sheet, f AS feet_per_inch, CASE WHEN drawn THEN round_even(o_totalprice * (f / 72), 1) END AS total_linework_lf, o_orderkey % 5 = 0 AS given FROM g
 """)
 def scale_overrides(spark, sf_dir):
     """Numbers count, other texts and negative ones don't"""
     keys = table(spark, sf_dir, "orders").select(F.concat(F.lit("S"), "o_orderkey").alias("sheet"), F.when(F.col("o_orderkey") % 5 == 0, "50").when(F.col("o_orderkey") % 5 == 1, "-3").when(F.col("o_orderkey") % 5 == 2, "n/a").alias("value"))
     out = scales.overridden(scales.calibration(_calibrated_sheets(spark, sf_dir)), keys)
-    return out.select("sheet", "feet_per_inch", F.round("total_linework_lf", 1).alias("total_linework_lf"), (F.col("scale_source") == "user_verified").alias("given"))
+    return out.select("sheet", "feet_per_inch", "total_linework_lf", (F.col("scale_source") == "user_verified").alias("given"))
 
 
 @query("""

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import quantity_text
 from ..functions.storage import materialised
-from ..operators import estimate, merge, raw, reports
+from ..operators import estimate, merge, phrases, raw, reports
 from ..sources import extraction
+from . import rules
 from .registry import query, table
 
 #: Item names with the type, name and unit that the engine's own rules must give them.
@@ -105,8 +108,61 @@ WITH {_LINES_SQL} SELECT l_orderkey, l_linenumber, item AS description, {"CASE i
 def own_rules(spark, sf_dir):
     """D10, D11 with the engine's own tables"""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", picked().alias("description"))
-    kind = estimate.classify(F.col("description"))
-    return lines.withColumn("item_type", kind).withColumn("name", estimate.item_name(F.col("description"), F.col("item_type"))["name"])
+    found = phrases.named(phrases.classified(lines, {"item_type": F.col("description")}))
+    return found.select("l_orderkey", "l_linenumber", "description", "item_type", F.col("ruled.name").alias("name"))
+
+
+def rule_texts() -> list[str]:
+    """A text for each keyword of the tables and for each alternative of the name rules."""
+    plain = ((r"\(\?!.*?\)(?=$|\|)", ""), (r"\\b|\?$", ""), (r"\.\*|\\s\*|\.\?|\?", " "), (r"\\d\+?", "12"), (r"(?<=\w)\.(?=\w)", " "))
+    texts = [k for _, _, _, words in rules.ESTIMATION for k in words]
+    for pattern, *_ in rules.ITEM_NAMES:
+        for text in pattern.split("|"):
+            for old, new in plain:
+                text = re.sub(old, new, text)
+            texts.append(text)
+    return list(dict.fromkeys(texts))
+
+
+def _name_rule_sql(pattern: str) -> str:
+    """A name rule for a matcher without lookahead: what follows the last forbidden text is searched."""
+    tests = []
+    for part in pattern.split("|"):
+        wanted, _, forbidden = part.partition("(?!.*")
+        text = f"regexp_replace(low, '^.*({forbidden[:-1]})', '\\1')" if forbidden else "low"
+        tests.append(f"regexp_matches({text}, '{wanted}')")
+    return " OR ".join(tests)
+
+
+_TEXTS_SQL = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in rule_texts()) + "]"
+_RULED_SQL = rf"""
+WITH rows AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, CASE l_linenumber % 3 WHEN 0 THEN upper(t) WHEN 1 THEN p_name || ' ' || t ELSE t || ', ' || p_name || ' - H 12' END AS description
+  FROM (SELECT *, {_TEXTS_SQL}[1 + CAST((l_orderkey * 7 + l_partkey) % {len(rule_texts())} AS INT)] AS t FROM lineitem JOIN part ON l_partkey = p_partkey)),
+d AS (SELECT DISTINCT description, lower(description) AS low FROM rows),
+k AS (SELECT * FROM (VALUES {", ".join(f"({place}, '{mode}', '{keyword}', '{kind}')" for mode, place, keyword, kind in phrases.keyword_rules(rules.ESTIMATION))}) AS v(place, mode, keyword, kind)),
+met AS (SELECT description, arg_min(kind, place) AS kind FROM d, k WHERE CASE mode
+  WHEN 'phrase' THEN strpos(low, keyword) > 0 AND NOT regexp_matches(substr(low, strpos(low, keyword) - 1, CASE WHEN strpos(low, keyword) > 1 THEN 1 ELSE 0 END), '[a-z0-9]') AND NOT regexp_matches(substr(low, strpos(low, keyword) + length(keyword), 1), '[a-z0-9]')
+  ELSE list_contains(regexp_extract_all(regexp_replace(low, '[-_/'']+', ' ', 'g'), '[a-z][a-z0-9]+'), keyword) END GROUP BY description),
+typed AS (SELECT d.*, coalesce(kind, 'general') AS item_type, regexp_extract(low, 'h[-\s]*(\d+(?:[''′]?(?:-?\d+)?["″]?))', 1) AS height, regexp_extract(low, '(\d+(?:\.\d+)?)\s*(?:in\b|inch|"|″)', 1) AS inches,
+  CASE {" ".join(f"WHEN {_name_rule_sql(p)} THEN '{n}'" for p, n, _ in rules.ITEM_NAMES)} END AS rule,
+  CASE {" ".join(f"WHEN {_name_rule_sql(p)} THEN '{u}'" for p, _, u in rules.ITEM_NAMES)} END AS unit FROM d LEFT JOIN met USING (description))
+SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, item_type, unit,
+  CASE WHEN rule IS NULL THEN array_to_string(list_transform(string_split(item_type, '_'), lambda w: upper(w[1]) || w[2:]), ' ') WHEN rule IN ('Columns', 'Ladder') AND height <> '' THEN rule || '-H-' || height WHEN rule LIKE '%Pipe%' AND inches <> '' THEN rule || '-' || inches || '"' ELSE rule END AS name
+FROM rows JOIN typed USING (description)
+"""
+
+
+@query(_RULED_SQL)
+def every_rule(spark, sf_dir):
+    """Every keyword of all tables and every alternative of all name rules, within other words"""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    texts = rule_texts()
+    said = F.get(F.array(*map(F.lit, texts)), ((F.col("l_orderkey") * 7 + F.col("l_partkey")) % len(texts)).cast("int"))
+    third = F.col("l_linenumber") % 3
+    description = F.when(third == 0, F.upper(said)).when(third == 1, F.concat_ws(" ", "p_name", said)).otherwise(F.concat(said, F.lit(", "), "p_name", F.lit(" - H 12")))
+    rows = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", description.alias("description"))
+    found = phrases.named(phrases.classified(rows, {"item_type": F.col("description")}))
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "item_type", F.col("ruled.unit").alias("unit"), F.col("ruled.name").alias("name"))
 
 
 _KIND = "CASE item " + " ".join(f"WHEN '{i[0]}' THEN '{i[1]}'" for i in ITEMS) + " END"
