@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .match import first_rows
+
 #: Names of a side that meet at once; smaller groups share a task until they have MANY names.
 BLOCK, MANY = 1024, 16_384
 #: Characters are told apart by their low bits: names can only seem to share more than they do.
@@ -72,8 +74,11 @@ def common_subsequences(left: np.ndarray, lengths: np.ndarray, right: np.ndarray
     return np.bitwise_count(~state & own).astype(np.int64)
 
 
-def best_of_block(left: list[str], right: list[str], cutoff: float, query_second: bool) -> list[tuple[int, int, float]]:
-    """(left, right, ratio) of each left name's most similar right names, all of those that tie, at cutoff or above."""
+def best_of_block(left: list[str], right: list[str], cutoff: float, query_second: bool, n: int | None = None) -> list[tuple[int, int, float]]:
+    """(left, right, ratio) of each left name's most similar right names, all that tie, at cutoff or above.
+
+    With n those of the n greatest ratios instead, of equal ratios the greater names.
+    """
     if not left or not right:
         return []
     a, a_lengths = _coded(left)
@@ -91,32 +96,37 @@ def best_of_block(left: list[str], right: list[str], cutoff: float, query_second
         bounds[k : k + PAIRS][short] = np.minimum(bounds[k : k + PAIRS][short], top(found, both[i[short], j[short]]))
     order = np.lexsort((-bounds, x))
     order = order[bounds[order] >= cutoff]
-    out, matcher, now, best, ties = [], difflib.SequenceMatcher(None), -1, 0.0, []
+    out, matcher, now, least, held = [], difflib.SequenceMatcher(None), -1, cutoff, []
     for i, j, most in zip(x[order].tolist(), y[order].tolist(), bounds[order].tolist(), strict=True):
         if i != now:
-            out += ties
-            now, best, ties = i, cutoff, []
+            out += [(now, k, ratio) for ratio, _, k in held]
+            now, least, held = i, cutoff, []
             if query_second:
                 matcher.set_seq2(left[i])
-        if most < best:
+        if most < least:
             continue
         if query_second:
             matcher.set_seq1(right[j])
         else:
             matcher.set_seqs(left[i], right[j])
         ratio = matcher.ratio()
-        if ratio > best:
-            best, ties = ratio, []
-        if ratio == best:
-            ties.append((i, j, ratio))
-    return out + ties
+        if ratio < least:
+            continue
+        held.append((ratio, right[j], j))
+        if n is None:
+            held = [h for h in held if h[0] == max(held)[0]]
+            least = held[0][0]
+        elif len(held) >= n:
+            held = sorted(held, reverse=True)[:n]
+            least = held[-1][0]
+    return out + [(now, k, ratio) for ratio, _, k in held]
 
 
-def most_similar(left: DataFrame, right: DataFrame, on: Sequence[str], cutoff: float, query_second: bool = False) -> DataFrame:
+def most_similar(left: DataFrame, right: DataFrame, on: Sequence[str], cutoff: float, query_second: bool = False, n: int | None = None) -> DataFrame:
     """on, a, b, ratio: for each distinct name a of left the names b of right, of the same group, of greatest ratio.
 
     left: on, a; right: on, b.  Names below the cutoff (above 0) are no match; all that tie are
-    given.  The ratio depends on the order of its two names: a comes first unless query_second.
+    given; with n the n greatest by ratio and name instead.  The ratio depends on the order of its two names: a comes first unless query_second.
     Null names and groups match nothing.
     """
     on = list(on)
@@ -144,6 +154,7 @@ def most_similar(left: DataFrame, right: DataFrame, on: Sequence[str], cutoff: f
     task = F.xxhash64("_on").alias("_task")
     asked = whole(sized_queries, "a").unionByName(large_queries.select(*on, "_on", "a", task, *key[1:]))
     known = whole(sized_names, "b").unionByName(large_names.select(*on, "_on", "b", task, *key[1:]))
+    known = known.select(*(F.col(c).alias(c) for c in known.columns))  # both sides may come from one table
 
     fields = [left.schema[c] for c in on]
     schema = StructType([*fields, StructField("a", StringType()), StructField("b", StringType()), StructField("ratio", DoubleType())])
@@ -159,12 +170,14 @@ def most_similar(left: DataFrame, right: DataFrame, on: Sequence[str], cutoff: f
         a, b = some.column("a").to_pylist(), others.column("b").to_pylist()
         rows, pairs = [], []
         for name in mine.keys() & at.keys():
-            for i, j, ratio in best_of_block([a[k] for k in mine[name]], [b[k] for k in at[name]], cutoff, query_second):
+            for i, j, ratio in best_of_block([a[k] for k in mine[name]], [b[k] for k in at[name]], cutoff, query_second, n):
                 rows.append(mine[name][i])
                 pairs.append((b[at[name][j]], ratio))
         taken = some.take(pa.array(rows, pa.int64()))
         return pa.Table.from_arrays([*(taken.column(c) for c in (*on, "a")), pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.float64())], schema=arrow)
 
     found = asked.groupBy(*key).cogroup(known.groupBy(*key)).applyInArrow(compared, schema)
+    if n is not None:
+        return first_rows(found, [*on, "a"], [F.desc("ratio"), F.desc("b")], n)
     best = found.groupBy(*on, "a").agg(F.max("ratio").alias("_best"))
     return found.join(best, [*on, "a"]).where("ratio = _best").drop("_best")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry, numeric, text
-from ..operators import aggregate, estimate, history, lookup, match, pages, scoring
+from ..operators import aggregate, estimate, history, lookup, match, pages, scoring, similar
 from . import catalog_queries, scale_queries, sheet_queries  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
 from .registry import query as _query
@@ -467,14 +467,94 @@ def golden_score(spark, sf_dir):
     return scoring.rates(scoring.judged(scoring.matched(golden, summary, ["project"], fuzzy=False)), ["project"])
 
 
+def _golden(spark, sf_dir):
+    return _t(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("project"), F.col("p_name").alias("item_name")).agg(F.sum("p_size").cast("double").alias("quantity"))
+
+
 @_query()
 def golden_fuzzy(spark, sf_dir):
-    """J16-J18 with Ratcliff-Obershelp similarity, which SQL lacks; tests hold it against difflib"""
-    golden = _t(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("project"), F.col("p_name").alias("item_name")).agg(F.sum("p_size").cast("double").alias("quantity"))
+    """J16 with Ratcliff-Obershelp similarity, which SQL lacks; tests hold it against difflib"""
+    golden = _golden(spark, sf_dir)
     summary = golden.select("project", F.concat("item_name", F.lit("s")).alias("item"), "quantity", F.lit("EA").alias("unit"))
     return scoring.matched(golden, summary, ["project"]).select("project", "item_name", "found", "found_quantity")
 
 
+@_query()
+def similar_names(spark, sf_dir):
+    """F16 over one large group: every supplier-like name against all sheet names of the catalogue; tests hold it against difflib"""
+    asked = _t(spark, sf_dir, "part").select(F.lit(1).alias("project"), F.reverse("p_name").alias("a"))
+    known = _t(spark, sf_dir, "customer").select(F.lit(1).alias("project"), F.concat_ws(" ", F.lower("c_mktsegment"), F.col("c_custkey") % 997).alias("b"))
+    return similar.most_similar(asked, known.unionByName(_t(spark, sf_dir, "part").select(F.lit(1).alias("project"), F.concat_ws(" ", "p_name", "p_size").alias("b"))), ["project"], 0.4)
+
+
+@_query()
+def benchmark_matches(spark, sf_dir):
+    """Contained words first, else words or characters; tests hold it against a plain loop"""
+    golden = _golden(spark, sf_dir)
+    n = F.length("item_name") % 4
+    item = F.when(n == 0, F.concat(F.lit("new "), "item_name")).when(n == 1, F.reverse("item_name")).when(n == 2, F.concat("item_name", F.lit("es"))).otherwise(F.upper("item_name"))
+    summary = golden.select("project", item.alias("item"), "quantity", F.xxhash64("item_name").alias("ord"))
+    return scoring.token_matched(golden, summary, ["project"]).select("project", "item_name", "found", "found_quantity")
+
+
+@_query("""
+WITH g AS (SELECT DISTINCT p_brand AS project, p_name AS item FROM part)
+SELECT project, CASE WHEN length(item) % 3 = 0 THEN upper(item) ELSE item || ' 9' END AS item FROM g WHERE length(item) % 3 <> 0
+""")
+def extra_items(spark, sf_dir):
+    """Summary rows that no golden item was matched with, by names alone"""
+    golden = _golden(spark, sf_dir)
+    summary = golden.select("project", F.when(F.length("item_name") % 3 == 0, F.upper("item_name")).otherwise(F.concat("item_name", F.lit(" 9"))).alias("item"), "quantity", F.lit("EA").alias("unit"))
+    return scoring.extra_rows(summary, scoring.matched(golden, summary, ["project"], fuzzy=False), ["project"]).select("project", "item")
+
+
+_LINKED_SQL = """
+WITH r AS (SELECT c_nationkey AS g, CASE c_custkey % 4 WHEN 0 THEN 'C-' || (c_custkey % 50) WHEN 1 THEN 'c.' || (c_custkey % 50) WHEN 2 THEN 'A/' || (c_custkey % 7) ELSE 'CC-' || (c_custkey % 50) || 'X' END AS ref, c_custkey FROM customer),
+asked AS (SELECT g, upper(ref) AS ref, replace(replace(upper(ref), '/', '-'), '.', '-') AS n, c_custkey FROM r QUALIFY row_number() OVER (PARTITION BY g, upper(ref) ORDER BY c_custkey) = 1),
+names AS (SELECT s_nationkey AS g, s_suppkey AS page_id, CASE WHEN s_suppkey % 3 = 0 THEN 'C-' || (s_suppkey % 50) || ' - PLAN' WHEN s_suppkey % 3 = 1 THEN 'DETAILS C-' || (s_suppkey % 50) ELSE 'A/' || (s_suppkey % 7) || '1 SECTION' END AS sheet_name FROM supplier),
+k AS (SELECT *, replace(replace(upper(sheet_name), '/', '-'), '.', '-') AS name FROM names),
+m AS (SELECT asked.*, page_id, sheet_name, CASE WHEN split_part(name, ' - ', 1) = n THEN 3 ELSE 2 END AS score FROM asked JOIN k USING (g) WHERE contains(name, n)),
+best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY g, ref ORDER BY score DESC, length(sheet_name), page_id) = 1)
+"""
+
+
+def _linked(spark, sf_dir):
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    label = F.when(k % 4 == 0, F.concat(F.lit("C-"), k % 50)).when(k % 4 == 1, F.concat(F.lit("c."), k % 50)).when(k % 4 == 2, F.concat(F.lit("A/"), k % 7)).otherwise(F.concat(F.lit("CC-"), k % 50, F.lit("X")))
+    refs = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("g"), label.alias("ref"), F.concat(F.lit("S"), k).alias("from_sheet"), F.lit(0).alias("source_ord"), k.alias("ord"))
+    name = F.when(s % 3 == 0, F.concat(F.lit("C-"), s % 50, F.lit(" - PLAN"))).when(s % 3 == 1, F.concat(F.lit("DETAILS C-"), s % 50)).otherwise(F.concat(F.lit("A/"), s % 7, F.lit("1 SECTION")))
+    return refs, _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("g"), s.alias("page_id"), name.alias("sheet_name"))
+
+
+@_query(_LINKED_SQL + "SELECT g, ref, page_id, score FROM best")
+def held_references(spark, sf_dir):
+    """C-4 within C-41, slashes and dots, equal names first"""
+    refs, catalog = _linked(spark, sf_dir)
+    return lookup.reference_pages(lookup.unresolved_references(refs, ["g"]), catalog, ["g"]).select("g", "ref", "page_id", "score")
+
+
+@_query(
+    _LINKED_SQL
+    + """, fresh AS (SELECT * FROM best WHERE page_id % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY g, page_id ORDER BY c_custkey) = 1),
+ranked AS (SELECT g, page_id, sheet_name, 'S' || c_custkey AS ref_from, row_number() OVER (PARTITION BY g ORDER BY c_custkey, page_id) AS place FROM fresh)
+SELECT g, page_id, sheet_name, ref_from, CAST(place AS INT) AS place, g % 2 = 1 AS suggested_only FROM ranked WHERE place <= 10"""
+)
+def linked_queue(spark, sf_dir):
+    """Pages not in the run yet, the first ten of a project, included or only suggested"""
+    refs, catalog = _linked(spark, sf_dir)
+    in_run = catalog.where("page_id % 5 = 0").select("g", "page_id")
+    of = lambda odd, include: lookup.linked_sheets(refs.where(F.col("g") % 2 == odd), catalog, in_run, ["g"], 10, include)
+    return of(0, True).unionByName(of(1, False))
+
+
+@_query()
+def near_references(spark, sf_dir):
+    """J11's fallback: misspelt references and the names most like them; tests hold it against difflib"""
+    refs, catalog = _linked(spark, sf_dir)
+    misspelt = refs.withColumn("ref", F.concat(F.lit("Q"), "ref")).select("g", "ref").distinct()
+    return lookup.near_references(misspelt, catalog, ["g"])
+
+
 @_query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
 def json_rows(spark, sf_dir):
     """S1, F24"""

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 from plumbline.operators import scoring, similar
+from plumbline.plans import queries
 
 WORDS = ["steel", "column", "wall", "CMU", "brick", "pipe", "door", "8in", "hm-frame", "duct", "slab", "joist", "é", "bollard", "gas", "12'", "roof", "curb"]
 
@@ -126,3 +127,9 @@ def test_extra_rows(spark):
     golden = spark.createDataFrame([("p", "Steel Column")], "p string, item_name string")
     summary = spark.createDataFrame([("p", "steel column", 1.0, "EA"), ("p", "door", 2.0, "EA")], "p string, item string, quantity double, unit string")
     assert [r["item"] for r in scoring.extra_rows(summary, scoring.matched(golden, summary, ["p"]), ["p"]).collect()] == ["door"]
+
+
+def test_both_sides_of_one_table(spark):
+    """The registered query matches a table with a version of itself."""
+    rows = queries.benchmark_matches(spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r["found"] for r in rows if len(r["item_name"]) % 4 in (0, 3))
