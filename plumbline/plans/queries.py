@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, numeric, text
 from ..operators import aggregate, estimate, history, lookup, match, pages, scoring, similar
-from . import catalog_queries, scale_queries, sheet_queries  # noqa: F401  they register their queries
+from . import catalog_queries, scale_queries, sheet_queries, store_queries  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
 from .registry import query as _query
 from .registry import table as _t

@@ -32,11 +32,37 @@ def _objects(raw: Column, schema: str) -> Column:
     return F.transform(objects, lambda e: F.from_json(e, schema))
 
 
+def repaired(text: Column) -> Column:
+    """A JSON text that breaks off, cut after its last whole value and closed: whole elements and fields stay.
+
+    One walk over brackets, commas and quotes; what else there is counts by its length only.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(r'(?s)[{}\[\],"]|\\.|[^{}\[\],"\\]+|\\'), F.lit(0))
+    state = lambda open_, quoted, at, cut, ends: F.struct(open_.alias("open"), quoted.alias("quoted"), at.alias("at"), cut.alias("cut"), ends.alias("ends"))
+    start = state(F.lit(""), F.lit(False), F.lit(0), F.lit(0), F.lit(""))
+
+    def step(s, token):
+        quoted, after = s["quoted"], s["at"] + F.length(token)
+        opened = F.when(~quoted & (token == "{"), F.concat(F.lit("}"), s["open"])).when(~quoted & (token == "["), F.concat(F.lit("]"), s["open"]))
+        closes, comma = ~quoted & token.isin("}", "]"), ~quoted & (token == ",")
+        still = F.coalesce(opened, F.when(closes, F.substring(s["open"], 2, 1 << 20)).otherwise(s["open"]))
+        cut = F.when(closes, after).when(comma, s["at"]).otherwise(s["cut"])
+        return state(still, F.when(token == '"', ~quoted).otherwise(quoted), after, cut, F.when(closes | comma, still).otherwise(s["ends"]))
+
+    return F.aggregate(tokens, start, step, lambda s: F.concat(F.substring(text, F.lit(1), s["cut"]), s["ends"]))
+
+
 def parsed(rows: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
-    """One row a text: scalars, typed arrays and has_error (an ``error`` key, whatever its value, or no JSON)."""
+    """One row a text: scalars, typed arrays and has_error (an ``error`` key, whatever its value, or no JSON).
+
+    A record that breaks off is repaired first; its whole elements count.
+    """
     bare = F.regexp_replace(F.trim(column), r"^```(?:json)?\s*|\s*```$", "")
     loose = ", ".join([f"{k} {v}" for k, v in SCALARS.items()] + [f"{k} array<string>" for k in ARRAYS])
-    out = rows.select(*keep, bare.alias("text")).withColumn("j", F.from_json("text", loose)).withColumn("keys", F.json_object_keys("text"))
+    out = rows.select(*keep, bare.alias("text"))
+    broken = F.json_object_keys("text").isNull() & F.startswith("text", F.lit("{"))
+    out = out.withColumn("text", F.when(broken, repaired(F.col("text"))).otherwise(F.col("text")))
+    out = out.withColumn("j", F.from_json("text", loose)).withColumn("keys", F.json_object_keys("text"))
     error = F.col("keys").isNull() | F.array_contains("keys", "error")
     return out.select(*keep, *(F.col(f"j.{k}").alias(k) for k in SCALARS), *(_objects(F.col(f"j.{k}"), t).alias(k) for k, t in ARRAYS.items()), F.coalesce(error, F.lit(True)).alias("has_error"))
 
@@ -44,7 +70,7 @@ def parsed(rows: DataFrame, column: str = "value", keep: Sequence[str] = ()) ->
 def cached(pages: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages (page_id) and what was recorded of them (page_id, value text): usable records, and the pages still to be analysed.
 
-    A record that is no JSON object, or reports an error, is as good as none.
+    A record that can't be read as a JSON object, or reports an error, is as good as none.
     """
     good = parsed_with(records, ["page_id"]).where("NOT has_error")
     known = pages.select(F.col("page_id").cast("string"))
