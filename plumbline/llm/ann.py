@@ -17,7 +17,8 @@ Equal vectors are one entry that keeps its smallest `top + 1` ids, cut down befo
 copies can never be ranked, so a vector that fills a third of the table costs one entry.  A query that
 finds too few is searched again in all partitions.
 
-Sample: the distinct vectors of smallest hash, `SAMPLE` at most.  Everything else uses all rows.
+Sample: the distinct vectors of smallest hash, `SAMPLE` and `VALUES` at most; learning from it takes
+memory in proportion to the sample, not to sample times partitions.  Everything else uses all rows.
 
 Defined results: a null vec_id, a vector that is null, zero or holds null or non-finite components,
 or whose length isn't the table's commonest, takes no part; a repeated row counts once; equal scores go
@@ -39,7 +40,11 @@ from .common import arrow_schema, spark_schema, stored
 SAMPLE, PER_PARTITION = (16384, 65536), 64
 #: Partitions at most, and the vectors that each needs.
 PARTITIONS, LEAST = 1024, 32
-#: Neighbours in the graph, vectors in a block, queries scored at once.
+#: Values of the sample at most, whatever the vectors' length; rows that learning handles at once; centres that a vector tries before all.
+VALUES, ROWS, CHOICES = 1 << 23, 512, 32
+#: The step of learning.
+RATE = 0.008
+#: Neighbours in the graph, vectors in a block, queries scored (and sampled vectors learned from) at once.
 NEIGHBOURS, BLOCK, AT_ONCE = 10, 2048, 256
 #: The share of true neighbours that sampled queries must find, and how many are asked.
 RECALL, ASKED = 0.94, 512
@@ -65,29 +70,45 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
 def neighbour_graph(vectors: np.ndarray, k: int) -> np.ndarray:
     """The k nearest others of each vector by inner product, block by block."""
     out = []
-    for at in range(0, len(vectors), 512):
-        near = vectors[at : at + 512] @ vectors.T
+    for at in range(0, len(vectors), ROWS):
+        near = vectors[at : at + ROWS] @ vectors.T
         near[np.arange(len(near)), np.arange(at, at + len(near))] = -np.inf
-        out.append(np.argpartition(-near, k, axis=1)[:, :k])
+        out.append(np.argpartition(-near, k, axis=1)[:, :k].astype(np.int32))
     return np.concatenate(out)
 
 
+def nearest_centres(vectors: np.ndarray, centres: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector's nearest centres in order, and its inner product with the very nearest; block by block."""
+    order, best = np.empty((len(vectors), first), np.int32), np.empty(len(vectors), vectors.dtype)
+    for at in range(0, len(vectors), ROWS):
+        near = vectors[at : at + ROWS] @ centres.T
+        some = np.argpartition(-near, first - 1, axis=1)[:, :first]
+        score = np.take_along_axis(near, some, 1)
+        ranked = np.argsort(-score, axis=1, kind="stable")
+        order[at : at + ROWS], best[at : at + ROWS] = np.take_along_axis(some, ranked, 1), score.max(1)
+    return order, best
+
+
 def balanced_partition(vectors: np.ndarray, graph: np.ndarray, parts: int, rng: np.random.Generator, rounds: int = 6) -> np.ndarray:
     """A part for each vector, none above 1.05 of the mean size, with few graph edges cut."""
     n, most = len(vectors), int(np.ceil(len(vectors) / parts * 1.05))
     centres = vectors[rng.choice(n, parts, replace=False)]
     for _ in range(rounds):
-        near = vectors @ centres.T
+        choices, best = nearest_centres(vectors, centres, min(parts, CHOICES))
         part, size = np.full(n, -1), np.zeros(parts, np.int64)
-        choices = np.argsort(-near, axis=1)
-        for i in np.argsort(-near.max(1)):
-            p = choices[i][size[choices[i]] < most][0]
+        for i in np.argsort(-best, kind="stable").tolist():
+            p = next((p for p in choices[i].tolist() if size[p] < most), None)
+            if p is None:  # all near ones are full
+                near = vectors[i] @ centres.T
+                p = int(np.where(size < most, near, -np.inf).argmax())
             part[i], size[p] = p, size[p] + 1
-        centres = np.stack([vectors[part == p].mean(0) if size[p] else centres[p] for p in range(parts)])
+        centres = np.zeros_like(centres)
+        np.add.at(centres, part, vectors)
+        centres /= np.maximum(size, 1)[:, None].astype(vectors.dtype)
     for _ in range(rounds):
-        votes, moved = _votes(graph, part, parts), 0
-        best = votes.argmax(1)
-        for i in rng.permutation(np.flatnonzero(votes[np.arange(n), best] > votes[np.arange(n), part])):
+        votes, moved = Votes(graph, part, parts), 0
+        best = votes.greatest()
+        for i in rng.permutation(np.flatnonzero(best != part)).tolist():
             if size[best[i]] < most:
                 size[part[i]] -= 1
                 size[best[i]] += 1
@@ -98,13 +119,30 @@ def balanced_partition(vectors: np.ndarray, graph: np.ndarray, parts: int, rng:
     return part
 
 
-def _votes(graph: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
-    """How many graph neighbours, either way, each vector has in each part."""
-    n, k = graph.shape
-    votes = np.zeros((n, parts), np.float32)
-    np.add.at(votes, (np.repeat(np.arange(n), k), part[graph].ravel()), 1)
-    np.add.at(votes, (graph.ravel(), np.repeat(part, k)), 1)
-    return votes
+class Votes:
+    """How many graph neighbours, either way, each vector has in each part: only the parts that have any."""
+
+    def __init__(self, graph: np.ndarray, part: np.ndarray, parts: int, own: int = 0):
+        """own: votes that a vector's own part gets besides."""
+        n, k = graph.shape
+        who, whose = np.concatenate([np.repeat(np.arange(n), k), graph.ravel()]), np.concatenate([part[graph].ravel(), np.repeat(part, k)])
+        keys, counts = np.unique(np.concatenate([who * parts + whose, np.arange(n) * parts + part]), return_counts=True)
+        self.vector, self.part, self.n, self.parts = keys // parts, keys % parts, n, parts
+        self.count = counts + (self.part == part[self.vector]) * (own - 1)
+        self.now, self.starts = part, np.searchsorted(self.vector, np.arange(n + 1))
+
+    def greatest(self) -> np.ndarray:
+        """Each vector's part of most votes: its own if no other has more, else the smallest of those."""
+        order = np.lexsort((self.part, self.part != self.now[self.vector], -self.count, self.vector))
+        return self.part[order][np.searchsorted(self.vector[order], np.arange(self.n))]
+
+    def rows(self, which: np.ndarray) -> np.ndarray:
+        """Shares of votes of some vectors, one row each."""
+        out = np.zeros((len(which), self.parts), np.float32)
+        for k, i in enumerate(which.tolist()):
+            at = slice(self.starts[i], self.starts[i + 1])
+            out[k, self.part[at]] = self.count[at]
+        return out / out.sum(1, keepdims=True)
 
 
 class Router:
@@ -114,27 +152,33 @@ class Router:
         self.weights, self.bias, self.scale = weights, bias, scale
 
     @classmethod
-    def learn(cls, vectors: np.ndarray, parts: int, seed: int = 7, epochs: int = 16) -> Router:
+    def learn(cls, vectors: np.ndarray, parts: int, seed: int = 7, epochs: int = 12) -> Router:
+        """Single precision and blocks of rows: memory is that of the vectors and of a block by all of them."""
         rng, (n, width) = np.random.default_rng(seed), vectors.shape
-        scale = np.sqrt(width) / max(np.sqrt((vectors**2).sum(1).mean()), 1e-12)
+        vectors = vectors.astype(np.float32)
+        scale = float(np.sqrt(width) / max(np.sqrt((vectors.astype(np.float64) ** 2).sum(1).mean()), 1e-12))
         graph = neighbour_graph(vectors, min(NEIGHBOURS, n - 1))
-        part = balanced_partition(vectors, graph, parts, rng)
-        target = _votes(graph, part, parts) + graph.shape[1] * np.eye(parts)[part]
-        target /= target.sum(1, keepdims=True)
-        weights, bias = rng.normal(0, 0.01, (width, parts)), np.zeros(parts)
-        first, second, step = np.zeros((width + 1, parts)), np.zeros((width + 1, parts)), 0
+        votes = Votes(graph, balanced_partition(vectors, graph, parts, rng), parts, graph.shape[1])
+        weights = np.vstack([rng.normal(0, 0.01, (width, parts)), np.zeros((1, parts))]).astype(np.float32)
+        first, second, step = np.zeros_like(weights), np.zeros_like(weights), 0
+        ones = np.ones((n, 1), np.float32)
+        inputs = np.hstack([vectors * np.float32(scale), ones])
         for _ in range(epochs):
-            for rows in np.array_split(rng.permutation(n), max(1, n // 128)):
-                x = vectors[rows] * scale
-                wrong = (_softmax(x @ weights + bias) - target[rows]) / len(rows)
-                slope, step = np.vstack([x.T @ wrong, wrong.sum(0)]), step + 1
-                first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
-                move = 0.005 * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-                weights, bias = weights - move[:-1], bias - move[-1]
-        return cls(weights, bias, scale)
+            for rows in np.array_split(rng.permutation(n), max(1, n // AT_ONCE)):
+                wrong = (_softmax(inputs[rows] @ weights) - votes.rows(rows)) / np.float32(len(rows))
+                slope, step = inputs[rows].T @ wrong, step + 1
+                first += np.float32(0.1) * (slope - first)
+                second += np.float32(0.001) * (slope * slope - second)
+                weights -= np.float32(RATE / (1 - 0.9**step)) * first / (np.sqrt(second / np.float32(1 - 0.999**step)) + np.float32(1e-8))
+        return cls(weights[:-1].astype(np.float64), weights[-1].astype(np.float64), scale)
 
     def order(self, vectors: np.ndarray, first: int) -> np.ndarray:
-        return np.argsort(-(vectors * self.scale @ self.weights + self.bias), axis=1, kind="stable")[:, :first]
+        """Each vector's most probable partitions in order; block by block."""
+        out = np.empty((len(vectors), first), np.int64)
+        for at in range(0, len(vectors), ROWS):
+            score = -(vectors[at : at + ROWS] * self.scale @ self.weights + self.bias)
+            out[at : at + ROWS] = score.argmin(1)[:, None] if first == 1 else np.argsort(score, axis=1, kind="stable")[:, :first]
+        return out
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -303,10 +347,12 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 20) -> DataFrame:
     rows = stored(usable(vectors), "ann-rows")
     entries = stored(distinct_vectors(rows, top + 1), "ann-entries")
     n = entries.count()
-    parts = max(1, min(PARTITIONS, round(n**0.5), n // LEAST))
+    width = (entries.select(F.size("embedding")).first() or [1])[0]
+    most = max(2 * LEAST, VALUES // width)
+    parts = max(1, min(PARTITIONS, round(n**0.5), n // LEAST, most // LEAST))
     router, probes = None, 1
     if parts > 1:
-        size = min(n, max(SAMPLE[0], min(SAMPLE[1], PER_PARTITION * parts)))
+        size = min(n, most, max(SAMPLE[0], min(SAMPLE[1], PER_PARTITION * parts)))
         sample = _matrix(entries.orderBy(F.xxhash64(F.lit("sample"), "h"), "h", "embedding").limit(size).select("embedding").toArrow()["embedding"])
         seen, unseen = sample[::2], sample[1::2]
         router = Router.learn(seen, parts)

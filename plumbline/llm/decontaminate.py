@@ -26,7 +26,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, bloom, passes, portions, record_batches, spark_schema, stored
@@ -39,6 +39,8 @@ PATTERNS = (*MASKS, *("1" * n for n in range(1, min(map(len, MASKS)))))
 LEAST = 10
 #: Characters whose words are hashed at once, and texts that a task remembers.
 BLOCK = 1 << 18
+#: Places of the items that a text is read with in each round, of those it shares most seeds with.
+ROUNDS = ((0, 1), (1, 8), (8, None))
 #: Pairs of places beyond which a pair's diagonals are found by shifted bit sets.
 MANY = 1 << 20
 
@@ -212,19 +214,45 @@ def _verified(pairs: DataFrame, least: int) -> DataFrame:
     return pairs.select("text_hash", "text", "item", "item_text").sortWithinPartitions("text_hash").mapInArrow(run, spark_schema(VERIFIED))
 
 
-def text_overlaps(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame:
-    """text_hash, item_id, n_equal, item_words: each distinct text's best overlap with each item."""
+def meetings(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(text_hash, item, shared): texts and items that share seeds, and how many; (text_hash, text) of those texts; the items."""
     named = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).where("item_text IS NOT NULL").distinct()
     named = stored(named.withColumn("item", F.xxhash64("item_id", F.col("item_id").isNull(), "item_text")), "decontam-items")
     seeds = stored(benchmark_seeds(named), "decontam-seeds")
     used = sorted(r["pattern"] for r in seeds.select("pattern").distinct().collect())
     texts = docs.select(text_hash(F.col("text")).alias("text_hash"), "text")
     found = stored(hits(texts, bloom(seeds, "hash"), used), "decontam-hits")
-    pairs = found.select("text_hash", F.inline("hits")).distinct().join(seeds, ["pattern", "hash"]).select("text_hash", "item").distinct()
-    read = pairs.join(found.select("text_hash", "text").dropDuplicates(["text_hash"]), "text_hash").join(named.select("item", "item_text"), "item")
+    pairs = found.select("text_hash", F.inline("hits")).distinct().join(seeds, ["pattern", "hash"]).groupBy("text_hash", "item").agg(F.count("*").alias("shared"))
+    return pairs, found.select("text_hash", "text").dropDuplicates(["text_hash"]), named
+
+
+def text_overlaps(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame:
+    """text_hash, item_id, n_equal, item_words: each distinct text's best overlap with each item."""
+    pairs, texts, named = meetings(docs, items)
+    read = pairs.join(texts, "text_hash").join(named.select("item", "item_text"), "item")
     return _verified(read, least).join(named.select("item", "item_id"), "item").select("text_hash", "item_id", "n_equal", "item_words")
 
 
+def touched(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame:
+    """_hash of each distinct text that overlaps with some item.
+
+    The item with which a text shares most seeds is read first; only texts that it leaves are read
+    with their next ones, and only those that these leave with all others.  A passage that stands in
+    every item is so found at once.
+    """
+    pairs, texts, named = meetings(docs, items)
+    nth = F.row_number().over(Window.partitionBy("text_hash").orderBy(F.desc("shared"), "item"))
+    ranked, out = stored(pairs.withColumn("nth", nth), "decontam-pairs"), None
+    for low, high in ROUNDS:
+        left = ranked.where((F.col("nth") > low) & (F.col("nth") <= high) if high else F.col("nth") > low)
+        if out is not None:
+            left = left.join(out.withColumnRenamed("_hash", "text_hash"), "text_hash", "left_anti")
+        read = left.join(texts, "text_hash").join(named.select("item", "item_text"), "item")
+        found = stored(_verified(read, least).select(F.col("text_hash").alias("_hash")).distinct(), "decontam-found")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def overlaps(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, text_hash, item_id, n_equal, item_words: each document's best overlap with each item."""
     found = stored(text_overlaps(docs, items, least), "decontam-found")
@@ -235,5 +263,5 @@ def overlaps(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame
 
 def clean(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents whose text has no overlap, with all their columns."""
-    found = stored(text_overlaps(docs, items, least).select(F.col("text_hash").alias("_hash")).distinct(), "decontam-found")
+    found = touched(docs, items, least)
     return docs.join(found, text_hash(docs["text"]) == found["_hash"], "left_anti")

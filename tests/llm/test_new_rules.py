@@ -1,7 +1,10 @@
 """Rules added after the first round: odd part sizes, control strings, hosts, contexts, wrapped notices, rejection, overlaps, recall at several sizes."""
 
 import json
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -190,3 +193,49 @@ def test_recall_at_three_sizes(spark, n, clusters):
         got[r["query_id"]].add(r["vec_id"])
     assert all(len(found) == 20 for found in got.values())
     assert brute_recall(spark, x, got) >= 0.9
+
+
+def test_a_passage_in_every_item(spark):
+    """400 texts that all begin as 200 items do go by their first reading; the others are read to the end."""
+    rng = np.random.default_rng(2)
+    word = lambda: f"w{rng.integers(10**6)}"
+    opening = " ".join(word() for _ in range(16))
+    items = [(k, f"{opening} " + " ".join(word() for _ in range(20))) for k in range(200)]
+    # A text that shares most with one item, by seeds alone, and overlaps with another.
+    strewn = " ".join(" ".join(items[0][1].split()[16 + k : 22 + k]) + " x y z" for k in range(0, 12, 4))
+    texts = [(k, f"{opening} " + " ".join(word() for _ in range(60))) for k in range(400)] + [(k, " ".join(word() for _ in range(60))) for k in range(400, 420)]
+    texts += [(420, f"{strewn} " + " ".join(items[7][1].split()[17:31])), (421, None)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    kept = {r["doc_id"] for r in decontaminate.clean(rows, bench).collect()}
+    found = {r["doc_id"] for r in decontaminate.overlaps(rows.where("doc_id >= 390"), bench).select("doc_id").distinct().collect()}
+    assert kept == {*range(400, 420), 421} and found == {*range(390, 400), 420}
+
+
+@pytest.mark.parametrize(("parts", "clusters", "most_probes"), [(256, 0, 200), (1024, 2048, 40)])
+def test_learning_of_many_partitions(parts, clusters, most_probes):
+    """Recall over all vectors with as many partitions as a large table has, and the memory that learning them takes."""
+    script = f"""
+import resource, sys
+import numpy as np
+from plumbline.llm import ann
+rng, n, parts, clusters = np.random.default_rng(1), {32 * parts}, {parts}, {clusters}
+x = rng.normal(size=(n, 64))
+if clusters:
+    x = rng.normal(size=(clusters, 64))[rng.integers(0, clusters, n)] + 0.35 * x
+x /= np.linalg.norm(x, axis=1, keepdims=True)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+router = ann.Router.learn(x[::2], parts)
+probes = ann.probes_needed(router, parts, x[1::2], 20, n)
+own, hits = router.order(x, 1)[:, 0], 0
+for i in range(0, n, n // 200):
+    near = x @ x[i]
+    near[i] = -np.inf
+    best = np.argpartition(-near, 20)[:20]
+    hits += np.isin(own[best], router.order(x[i : i + 1], probes)[0]).mean()
+sizes = np.bincount(own, minlength=parts)
+print(hits / len(range(0, n, n // 200)), probes, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True, env=os.environ | {"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"}).stdout.split()
+    recall, probes, megabytes = map(float, out)
+    assert recall >= 0.9 and probes <= most_probes and megabytes < 700
