@@ -1,16 +1,20 @@
 """License scans: an exact set-similarity join of text blocks with notice templates.
 
-A block is a number of consecutive lines of a document: as many as a notice of that many words may be
-wrapped over (`reach_of`).  A template is a notice as its set of words.  A block meets a template of its
-reach if it holds at least `threshold` of the template's words.  Only words that stand in some
+A template is a notice as its set of words.  A document meets it if as many consecutive words as the
+notice has, divided by the threshold, hold at least `threshold` of the template's words, all within
+as many consecutive lines as the notice may be wrapped over (`reach_of`); words strewn over a long
+line meet nothing.  The join works on blocks of so many lines.  Only words that stand in some
 template can count, so lines are reduced to those at once, and blocks are put together from reduced
 lines.  Words are ordered by their frequency over all blocks of the corpus, rarest first, and three
-filters go before the exact count:
+filters go before the count of a block's words:
 
 * prefix: of n words with `need` required, a block must hold one of the first n - need + 1;
 * length: the block must have `need` template words at all;
 * positional: from the place of a shared word, enough words must remain on both sides.
 
+Blocks that hold enough words are then read word by word: the best of the runs of consecutive words
+that begin at a word of the template decides.
+
 Beside it stands the phrase scan: places where a phrase's words follow each other, over the whole
 document.  All of it is DataFrame work; the templates are a literal list, so their side is small
 by construction and joins by broadcast.
@@ -73,6 +77,11 @@ def reach_of(words: Sequence[str]) -> int:
     return 1 + len(words) // 8
 
 
+def run_of(words: Sequence[str], threshold: float) -> int:
+    """Consecutive words that a notice of these words (repeats included) may be spread over."""
+    return math.floor(len(words) / threshold + 1e-9)
+
+
 def _need(n: int, threshold: float) -> int:
     """The fewest words that reach the threshold, safe from rounding."""
     return math.ceil(n * threshold - 1e-9)
@@ -103,23 +112,31 @@ def _count(doubled: Column) -> Column:
 
 def _blocks(lines: Column, reach: int, least: int) -> Column:
     """Windows of `reach` reduced lines, each begun at a line with a template word, that hold `least` words."""
-    windows = F.transform(lines, lambda line, i: F.when(F.size(line) > 0, F.array_distinct(F.flatten(F.slice(lines, i + 1, F.lit(reach))))))
-    held = F.filter(windows, lambda words: F.size(words) >= least)
-    return F.transform(held, lambda words: F.struct(F.lit(reach).alias("reach"), words.alias("words")))
+    of = lambda i: F.array_distinct(F.flatten(F.slice(lines, i + 1, F.lit(reach))))
+    windows = F.transform(lines, lambda line, i: F.struct(i.alias("line"), F.when(F.size(line) > 0, of(i)).alias("words")))
+    held = F.filter(windows, lambda b: F.size(b["words"]) >= least)
+    return F.transform(held, lambda b: F.struct(F.lit(reach).alias("reach"), b["line"].alias("line"), b["words"].alias("words")))
+
+
+def _line(line: Column, vocabulary: Sequence[str]) -> Column:
+    """A line's number of words, and its template words with their places."""
+    words = F.filter(F.split(line, GAP), lambda w: w != "")
+    return F.transform(F.array(words), lambda own: F.struct(F.size(own).alias("n"), F.filter(F.transform(own, lambda w, k: F.struct(k.alias("at"), w.alias("word"))), lambda x: x["word"].isin(*vocabulary)).alias("held")))[0]
 
 
 def _reduced(docs: DataFrame, phrases: Mapping[str, str], vocabulary: Sequence[str], needs: Mapping[int, int]) -> DataFrame:
     """One pass over the texts: word counts, phrase places, and the template words of each block."""
     rows = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("low"))
-    lines = F.transform(F.split("low", "\n"), lambda line: F.array_distinct(F.filter(F.split(line, GAP), lambda w: w.isin(*vocabulary))))
+    rows = rows.withColumn("lines", F.transform(F.split("low", "\n"), lambda line: _line(line, vocabulary)))
+    lines = F.transform("lines", lambda line: F.array_distinct(F.transform(line["held"], lambda x: x["word"])))
     # Bound to a variable, so that lines are reduced once for all reaches.
     blocks = F.transform(F.array(lines), lambda own: F.concat(*(_blocks(own, reach, least) for reach, least in sorted(needs.items()))))[0]
     doubled = F.concat(F.lit(" "), F.regexp_replace("low", GAP, "  "), F.lit(" "))
     # Gaps at either end leave spaces that surround nothing.
     trimmed = F.trim(doubled)
-    rows = rows.select("doc_id", F.when(trimmed == "", "").otherwise(F.concat(F.lit(" "), trimmed, F.lit(" "))).alias("doubled"), blocks.alias("blocks"))
+    rows = rows.select("doc_id", "lines", F.when(trimmed == "", "").otherwise(F.concat(F.lit(" "), trimmed, F.lit(" "))).alias("doubled"), blocks.alias("blocks"))
     places = F.array(*(F.struct(F.lit(label).alias("label"), _starts(F.col("doubled"), p).alias("starts")) for p, label in phrases.items()))
-    return rows.select("doc_id", _count(F.col("doubled")).cast("long").alias("n_words"), places.alias("places"), "blocks")
+    return rows.select("doc_id", _count(F.col("doubled")).cast("long").alias("n_words"), places.alias("places"), "blocks", "lines")
 
 
 def _with_base(rows: DataFrame) -> DataFrame:
@@ -134,17 +151,17 @@ def scan(
     threshold: float = 0.8,
 ) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row."""
-    notices = [(k, label, sorted(set(_words_of(notice)))) for k, (label, notice) in enumerate(templates)]
-    vocabulary = sorted({w for _, _, words in notices for w in words})
+    notices = [(label, sorted(set(words)), run_of(words, threshold)) for label, words in ((label, _words_of(notice)) for label, notice in templates)]
+    vocabulary = sorted({w for _, words, _ in notices for w in words})
     needs: dict[int, int] = {}
-    for _, _, words in notices:
+    for _, words, _ in notices:
         needs[reach_of(words)] = min(needs.get(reach_of(words), len(words)), _need(len(words), threshold))
     reduced = _reduced(docs, phrases, vocabulary, needs).withColumn("row", F.monotonically_increasing_id())
     rows = stored(reduced, "license-blocks")
-    found = _joined(rows, notices, vocabulary, threshold)
+    found = _read(rows, _joined(rows, notices, vocabulary, threshold))
     best = found.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("contained").alias("contained"))
     none = F.array().cast("array<string>")
-    out = _with_base(rows.drop("blocks")).join(best, "row", "left")
+    out = _with_base(rows.drop("blocks", "lines")).join(best, "row", "left")
     labels = F.sort_array(F.array_union("base", F.coalesce("found", none)))
     return out.select(
         "doc_id",
@@ -159,21 +176,33 @@ def scan(
 
 
 def _joined(rows: DataFrame, notices: list, vocabulary: list[str], threshold: float) -> DataFrame:
-    """(row, label, contained) of every block that meets a template."""
+    """(row, line, reach, label, t_size, need, run, template_words) of every block with enough words of a template."""
     blocks = rows.select("row", F.inline("blocks")).withColumnRenamed("words", "block")
     counted = blocks.select(F.explode("block").alias("word")).groupBy("word").count()
     frequency = {r["word"]: r["count"] for r in counted.collect()}  # at most the templates' own words
     order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
     prefixes = []
-    for _, label, words in notices:
+    for label, words, run in notices:
         ordered, need = sorted(words, key=rank.get), _need(len(words), threshold)
-        prefixes += [(w, reach_of(words), label, k, len(words), need, ordered) for k, w in enumerate(ordered[: len(words) - need + 1])]
-    schema = "word string, reach int, label string, t_at int, t_size int, need int, template_words array<string>"
+        prefixes += [(w, reach_of(words), label, k, len(words), need, run, ordered) for k, w in enumerate(ordered[: len(words) - need + 1])]
+    schema = "word string, reach int, label string, t_at int, t_size int, need int, run int, template_words array<string>"
     prefix = F.broadcast(rows.sparkSession.createDataFrame(prefixes, schema))
-    ordered_blocks = blocks.select("row", "reach", F.array_intersect(F.array(*map(F.lit, order)), "block").alias("block"))
-    probes = ordered_blocks.select("row", "reach", "block", F.posexplode("block").alias("b_at", "word"))
+    ordered_blocks = blocks.select("row", "line", "reach", F.array_intersect(F.array(*map(F.lit, order)), "block").alias("block"))
+    probes = ordered_blocks.select("row", "line", "reach", "block", F.posexplode("block").alias("b_at", "word"))
     remaining = F.least(F.col("t_size") - F.col("t_at"), F.size("block") - F.col("b_at"))
     candidates = probes.join(prefix, ["word", "reach"]).where((F.size("block") >= F.col("need")) & (remaining >= F.col("need")))
     shared = F.size(F.array_intersect("block", "template_words"))
-    return candidates.where(shared >= F.col("need")).select("row", "label", (shared / F.col("t_size")).alias("contained"))
+    return candidates.where(shared >= F.col("need")).select("row", "line", "reach", "label", "t_size", "need", "run", "template_words").distinct()
+
+
+def _read(rows: DataFrame, met: DataFrame) -> DataFrame:
+    """(row, label, contained) of the blocks in which one run of consecutive words holds enough."""
+    span = F.slice("lines", F.col("line") + 1, F.col("reach"))
+    before = lambda j: F.aggregate(F.slice(span, F.lit(1), j), F.lit(0), lambda n, x: n + x["n"])
+    own = lambda x, j: F.transform(F.filter(x["held"], lambda w: F.array_contains("template_words", w["word"])), lambda w: F.struct((w["at"] + before(j)).alias("at"), w["word"].alias("word")))
+    read = met.join(rows.select("row", "lines"), "row").withColumn("held", F.flatten(F.transform(span, own)))
+    within = lambda first, i: F.filter(F.slice("held", i + 1, F.col("run")), lambda w: w["at"] < first["at"] + F.col("run"))
+    counts = F.transform("held", lambda first, i: F.size(F.array_distinct(F.transform(within(first, i), lambda w: w["word"]))))
+    best = read.select("row", "label", "t_size", "need", F.array_max(counts).alias("best"))
+    return best.where("best >= need").select("row", "label", (F.col("best") / F.col("t_size")).alias("contained"))

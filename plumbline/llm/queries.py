@@ -65,17 +65,19 @@ WITH low AS (
   UNION ALL SELECT r, i - 1, 'reserved' FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM worded WHERE t LIKE '%reserved%')
     WHERE w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved'
 ), notices AS (
-  SELECT label, tw, 1 + len(tw) // 8 AS reach
-  FROM (SELECT n, label, list_distinct(regexp_extract_all(lower(notice), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS tw
+  SELECT n AS k, label, list_distinct(nw) AS tw, 1 + len(list_distinct(nw)) // 8 AS reach, CAST(floor(len(nw) / 0.8 + 1e-9) AS INT) AS run
+  FROM (SELECT n, label, regexp_extract_all(lower(notice), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS nw
     FROM (VALUES {_literal_rows((k, *t) for k, t in enumerate(license_scan.TEMPLATES))}) AS v(n, label, notice))
 ), lined AS (
   SELECT r, list_transform(string_split(t, chr(10)), lambda x: regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS lw FROM low
 ), blocks AS (
-  SELECT r, reach, list_distinct(flatten(lw[i:i + reach - 1])) AS bw
+  SELECT r, reach, flatten(lw[i:i + reach - 1]) AS bw
   FROM (SELECT r, lw, reach, unnest(range(1, len(lw) + 1)) AS i FROM lined, (SELECT DISTINCT reach FROM notices))
+), near AS (  -- blocks of lines with enough words at all; only their runs of words are looked at
+  SELECT r, label, tw, run, bw FROM blocks JOIN notices USING (reach) WHERE len(list_intersect(list_distinct(bw), tw)) >= ceil(0.8 * len(tw) - 1e-9)
 ), met AS (
-  SELECT r, label, len(list_intersect(bw, tw)) / len(tw) AS c FROM blocks JOIN notices USING (reach)
-  WHERE len(list_intersect(bw, tw)) >= ceil(0.8 * len(tw) - 1e-9)
+  SELECT r, label, c FROM (SELECT r, label, list_max(list_transform(range(1, len(bw) + 1), lambda s: len(list_intersect(list_distinct(bw[s:s + run - 1]), tw)))) AS best, len(tw) AS size, best / size AS c FROM near)
+  WHERE best >= ceil(0.8 * size - 1e-9)
 ), places AS (SELECT r, count(*) AS n, min(pos) AS f, max(pos) AS l FROM placed GROUP BY r
 ), labelled AS (
   SELECT r, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS a, max(c) AS c

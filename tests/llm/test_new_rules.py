@@ -132,6 +132,18 @@ def test_wrapped_notices(spark):
     assert all(label in got[k] for k, (label, _) in enumerate(WRAPPED))
 
 
+def test_words_strewn_over_a_line_are_no_notice(spark):
+    """Enough words of a notice on one long line, but never near each other; and the same notices whole, within long lines."""
+    filler = " ".join(f"w{k}" for k in range(220))
+    strewn = [f"all {filler} rights {filler} reserved", f" {filler} ".join(["licensed", "under", "cc", "nc", "4", "0"]), "all w rights reserved", "all\nrights\nreserved"]
+    whole = [f"{filler} All rights reserved {filler}", f"{filler} licensed, under CC nc x 4 0 {filler}", f"{filler} permission is hereby granted free of charge to any person obtaining a copy of that software {filler}"]
+    rows = spark.createDataFrame(list(enumerate(strewn + whole)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(rows).collect()}
+    assert [got[k] for k in range(3)] == [("", 0.0)] * 3
+    assert got[3] == ("reserved", 1.0)  # a phrase of the base stands over any lines
+    assert got[4] == ("reserved", 1.0) and got[5][0] == "cc-by-nc-4.0" and got[6][0] == "mit" and 0.8 <= got[6][1] < 1
+
+
 FOREIGN = [
     "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
     "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan.",
