@@ -9,7 +9,7 @@ are is measured: a second part of the sample, unseen in learning, is routed and
 fewest partitions are taken with which it finds `RECALL` of its true neighbours.  Vectors in clusters
 need few; vectors without any structure need about half of all.
 
-Partitions are put together into blocks of about `BLOCK` vectors by their counted sizes, and a larger one is
+Partitions are put together into blocks (`block_size`) by their counted sizes, and a larger one is
 cut into several.  A block's vectors are held by one task, and all queries sent to it stream past them, each
 once a block, so memory is bounded whatever the number of queries.
 
@@ -44,8 +44,10 @@ PARTITIONS, LEAST = 1024, 32
 VALUES, ROWS, CHOICES = 1 << 23, 512, 32
 #: The step of learning.
 RATE = 0.008
-#: Neighbours in the graph, vectors in a block, queries scored (and sampled vectors learned from) at once.
-NEIGHBOURS, BLOCK, AT_ONCE = 10, 2048, 256
+#: Neighbours in the graph, queries scored (and sampled vectors learned from) at once.
+NEIGHBOURS, AT_ONCE = 10, 256
+#: Vectors in a block: so many roots of their number, so that neither blocks nor the finds of a query in all of them become too many; at most.
+ROOTS, BLOCK = 20, 65536
 #: The share of true neighbours that sampled queries must find, and how many are asked.
 RECALL, ASKED = 0.94, 512
 
@@ -229,15 +231,20 @@ def routed(entries: DataFrame, router: Router | None) -> DataFrame:
     return entries.select("h", F.col("ids")[0].alias("first"), "ids", "embedding").mapInArrow(route, spark_schema(ROUTED))
 
 
-def blocks_of(sizes: dict[int, int], parts: int) -> tuple[np.ndarray, np.ndarray]:
+def block_size(n: int, width: int) -> int:
+    """Vectors that a block of a table of n should hold."""
+    return max(1, min(round(ROOTS * n**0.5), BLOCK, VALUES // width))
+
+
+def blocks_of(sizes: dict[int, int], parts: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The first block of each partition and how many blocks it is cut into; small ones share a block in order."""
     first, cuts, block, held = np.zeros(parts, np.int32), np.ones(parts, np.int32), 0, 0
     for p in range(parts):
         size = sizes.get(p, 0)
-        if held and held + size > BLOCK:
+        if held and held + size > most:
             block, held = block + 1, 0
-        first[p], cuts[p] = block, max(1, -(-size // BLOCK))
-        if size > BLOCK:
+        first[p], cuts[p] = block, max(1, -(-size // most))
+        if size > most:
             block, held = block + int(cuts[p]), 0
         else:
             held += size
@@ -358,7 +365,7 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 20) -> DataFrame:
         router = Router.learn(seen, parts)
         probes = probes_needed(router, parts, unseen, top, n)
     index = stored(routed(entries, router), "ann-index")
-    first, cuts = blocks_of({r["part"]: r["count"] for r in index.groupBy("part").count().collect()}, parts)  # a row for each partition
+    first, cuts = blocks_of({r["part"]: r["count"] for r in index.groupBy("part").count().collect()}, parts, block_size(n, width))  # a row for each partition
     asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.xxhash64("embedding").alias("h"), "embedding").distinct()
     of_query = asked.join(index.select("h", "embedding", "first"), ["h", "embedding"]).select("query_id", "h", "first")
     of_query = stored(of_query, "ann-queries")
