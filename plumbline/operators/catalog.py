@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialised
 from ..plans import rules
 from .history import outcome
 from .match import first_rows
@@ -50,6 +51,20 @@ def grid_order(column: str, descending: bool = False) -> list[Column]:
     return [F.coalesce(text, F.lit("")) == "", number.isNull(), *((k.desc_nulls_last() if descending else k.asc_nulls_last()) for k in keys)]
 
 
+def placed(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """rows with their place in an order, from 1: ranges of the order are counted by themselves, and no task sees all rows.
+
+    order should tell rows apart.
+    """
+    known = materialised(rows, "unordered")  # the ranges are cut by a pass of their own
+    dealt = known.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = materialised(dealt.withColumns({"_part": F.spark_partition_id(), "_nth": F.monotonically_increasing_id()}), "ordered")
+    counts = numbered.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_nth").alias("_begin"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    shifts = counts.select("_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_begin") + 1).alias("_shift"))
+    return numbered.join(shifts, "_part").withColumn("place", F.col("_nth") + F.col("_shift")).drop("_part", "_nth", "_shift")
+
+
 def impact_order(quantity: str = "quantity") -> list[Column]:
     """Greatest quantities first, unknown ones last."""
     return [F.desc(F.coalesce(F.col(quantity).try_cast("double"), F.lit(-1.0)))]

@@ -34,11 +34,24 @@ def first_holding(needles: DataFrame, texts: DataFrame, on: Sequence[str], order
     pieces = F.concat(*(_grams("text", n) for n in range(1, Q + 1)))
     met = texts.select("*", F.explode(pieces).alias("needle")).join(short, [*on, "needle"], "left_semi")
     found = first_rows(met, [*on, "needle"], order)
+    held = _held(long, texts, on)
+    return found.unionByName(first_rows(held, [*on, "needle"], order)).select(*on, "needle", *(c for c in texts.columns if c not in on))
+
+
+def holding(needles: DataFrame, texts: DataFrame, on: Sequence[str]) -> DataFrame:
+    """on, needle and the columns of texts: all texts of a needle's group that hold it; as many rows as there are such pairs."""
+    on = list(on)
+    asked = needles.where("needle != ''").select(*on, "needle").distinct()
+    pieces = F.concat(*(_grams("text", n) for n in range(1, Q + 1)))
+    met = texts.select("*", F.explode(pieces).alias("needle")).join(asked.where(F.length("needle") <= Q), [*on, "needle"], "left_semi")
+    return met.unionByName(_held(asked.where(F.length("needle") > Q), texts, on)).select(*on, "needle", *(c for c in texts.columns if c not in on))
 
+
+def _held(long: DataFrame, texts: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs of needles longer than Q and the texts that hold them, through the rarest gram of each needle."""
     index = texts.select(*on, F.xxhash64("text").alias("_text"), F.explode(_grams("text", Q)).alias("_gram")).distinct()
     counts = index.groupBy(*on, "_gram").agg(F.count("*").alias("_n"))
     parts = long.select(*on, "needle", F.explode(_grams("needle", Q)).alias("_gram")).join(counts, [*on, "_gram"], "left")
     rare = parts.groupBy(*on, "needle").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"), F.bool_and(F.col("_n").isNotNull()).alias("_all")).where("_all").drop("_all")
     pairs = rare.join(index, [*on, "_gram"]).select(*on, "needle", "_text").distinct()
-    held = pairs.join(texts.withColumn("_text", F.xxhash64("text")), [*on, "_text"]).where(F.contains("text", F.col("needle"))).drop("_text")
-    return found.unionByName(first_rows(held, [*on, "needle"], order)).select(*on, "needle", *(c for c in texts.columns if c not in on))
+    return pairs.join(texts.withColumn("_text", F.xxhash64("text")), [*on, "_text"]).where(F.contains("text", F.col("needle"))).drop("_text")

@@ -38,12 +38,11 @@ def placeholder_names(spark, sf_dir):
     return catalog.mostly_placeholders(table(spark, sf_dir, "part").select("p_brand", name.alias("name")), ["p_brand"])
 
 
-@query("SELECT row_number() OVER (ORDER BY lower(n), n, p_partkey) AS place, p_partkey FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN upper(p_name) ELSE p_name END AS n FROM part) ORDER BY 1 LIMIT 100")
+@query("SELECT row_number() OVER (ORDER BY lower(n), p_partkey) AS place, p_partkey FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN upper(p_name) ELSE p_name END AS n FROM part)")
 def names_in_order(spark, sf_dir):
-    """O1, O2"""
+    """O1, O2: every name's place, whatever its case"""
     rows = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"))
-    first = catalog.by_name(rows, "name", "p_partkey").limit(100).collect()
-    return spark.createDataFrame([(k, r["p_partkey"]) for k, r in enumerate(first, 1)], "place long, p_partkey long")
+    return catalog.placed(rows, [F.lower("name"), F.col("p_partkey")]).select("place", "p_partkey")
 
 
 @query("""
@@ -53,10 +52,8 @@ FROM (SELECT DISTINCT CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN p_name ELSE for
 def grid_order(spark, sf_dir):
     """Numbers by value, then texts, then empty cells"""
     cell = F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, F.col("p_name")).otherwise(F.format_number(F.col("p_size") * 100, 0))
-    from pyspark.sql import Window
-
     rows = table(spark, sf_dir, "part").select(cell.alias("c")).distinct()
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*catalog.grid_order("c"), "c")))  # distinct cells of one grid
+    return catalog.placed(rows, [*catalog.grid_order("c"), F.col("c")]).select("c", "place")
 
 
 @query("SELECT p_partkey, q FROM (SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN CAST(p_retailprice AS VARCHAR) ELSE 'n/a' END AS q, p_retailprice, p_size FROM part) ORDER BY CASE WHEN p_size % 3 > 0 THEN p_retailprice ELSE -1 END DESC, p_partkey LIMIT 60")
@@ -147,27 +144,39 @@ def usage_cost(spark, sf_dir):
     return aggregate.usage(calls, ["event_type"]).drop("models")
 
 
-_ENTRIES = (("Bollards", "EA", "bollard;pipe bollard", "count", None, None), ("CMU Wall", "SF", "block wall|masonry", "wall_area", "12", None), ("Slab", "SF", "", "Area", "20", "40"), ("Gas Piping", "LF", "gas pipe", "length", None, "20"), ("bollard", "LF", "", "length", None, None))
+_ENTRIES_SQL = """
+WITH e AS (SELECT p_partkey AS ord, 'Item ' || p_partkey || ' ' || p_name AS entry, CASE WHEN p_size % 2 = 0 THEN 'SF' ELSE '' END AS unit, CASE WHEN p_size % 3 = 0 THEN [p_type, p_brand] WHEN p_size % 3 = 1 THEN [p_type] ELSE [] END AS aliases,
+  CASE p_partkey % 5 WHEN 0 THEN 'count' WHEN 1 THEN 'area' WHEN 2 THEN 'length' WHEN 3 THEN 'volume' ELSE 'wall_area' END AS measure, CASE WHEN p_size % 7 = 0 THEN CAST(p_size AS DOUBLE) END AS height, CASE WHEN p_size % 4 = 0 THEN CAST(p_size AS DOUBLE) END AS scale FROM part)
+"""
 
 
-def _entries(spark):
-    rows = spark.createDataFrame([(*e, k) for k, e in enumerate(_ENTRIES)], "name string, unit string, aliases string, measure string, height_ft string, scale_ft_per_in string, ord int")
+def _entries(spark, sf_dir):
+    """Every part as a row of a manifest, texts and numbers as a spreadsheet has them."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    measure = F.get(F.array(*map(F.lit, ("count", "Area", "length", " VOLUME ", "wall_area"))), (key % 5).cast("int"))
+    aliases = F.when(size % 3 == 0, F.concat("p_type", F.lit("; "), "p_brand")).when(size % 3 == 1, F.concat("p_type", F.lit("|"))).otherwise("")
+    rows = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("Item "), key, F.lit(" "), "p_name").alias("name"), F.when(size % 2 == 0, "sf").otherwise("").alias("unit"), aliases.alias("aliases"), measure.alias("measure"),
+        F.when(size % 7 == 0, size.cast("string")).otherwise("n/a").alias("height_ft"), F.when(size % 4 == 0, size.cast("string")).alias("scale_ft_per_in"), key.alias("ord"),
+    )
     return manifest.entries(rows)
 
 
-@query("""
-SELECT * FROM (VALUES ('Bollards', '  - Bollards / bollard / pipe bollard', 'count'), ('Slab', '  - Slab [SF] (assume height_ft=20.0, scale_ft_per_in=40.0)', 'measure'), ('Gas Piping', '  - Gas Piping / gas pipe [LF] (assume scale_ft_per_in=20.0)', 'measure')) AS v(entry, line, pass)
+@query(_ENTRIES_SQL + """
+SELECT entry, '  - ' || array_to_string(list_prepend(entry, aliases), ' / ') || CASE WHEN measure = 'count' THEN '' ELSE ' [' || coalesce(nullif(unit, ''), measure) || ']'
+  || CASE WHEN height IS NOT NULL OR scale IS NOT NULL THEN ' (assume ' || concat_ws(', ', 'height_ft=' || CAST(height AS VARCHAR), 'scale_ft_per_in=' || CAST(scale AS VARCHAR)) || ')' ELSE '' END END AS line,
+  CASE WHEN measure = 'count' THEN 'count' ELSE 'measure' END AS pass FROM e WHERE measure <> 'wall_area'
 """)
 def manifest_hints(spark, sf_dir):
-    """S3, P25"""
-    found = _entries(spark)
+    """S3, P25: what each pass is told to look for, over a manifest of all parts"""
+    found = _entries(spark, sf_dir)
     return manifest.count_hints(found).withColumn("pass", F.lit("count")).unionByName(manifest.measure_hints(found).withColumn("pass", F.lit("measure"))).drop("ord")
 
 
-@query("SELECT 40.0::DOUBLE AS feet_per_inch, 20.0::DOUBLE AS wall_height")
+@query(_ENTRIES_SQL + """SELECT measure, arg_min(scale, ord) FILTER (scale IS NOT NULL) AS feet_per_inch, coalesce(max(height), 9.0) AS wall_height FROM e GROUP BY measure""")
 def manifest_scalars(spark, sf_dir):
-    """P26"""
-    return manifest.assumed_scale(_entries(spark))
+    """The first scale and the greatest height that the entries of each kind assume"""
+    return manifest.assumed_scale(_entries(spark, sf_dir), ["measure"])
 
 
 @query("""
@@ -267,7 +276,7 @@ SELECT doc_id, name FROM (SELECT doc_id, 'Access Ladder' AS name FROM t UNION AL
 """)
 def named_in_text(spark, sf_dir):
     """What a text names and its components lack"""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 200), F.lit(" ACCESS  ladder; Mobilization")).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" ACCESS  ladder; Mobilization")).alias("text"))
     have = docs.where("doc_id % 2 = 1").select("doc_id", F.lit("MOBILIZATION").alias("name"))
     return pages.found_in_text(docs, have, ["doc_id"]).select("doc_id", "name")
 

@@ -80,15 +80,58 @@ def dimension_scale(spark, sf_dir):
 _SCALES = ("1/4\" = 1'-0\"", "1\" = 20'", "18\" = 1'-0\"", "316 = 1'-0\"", "1\" = 37'", "3 / 4 = 2'", "7 = 1'")
 
 
-@query("""
-WITH t AS (SELECT doc_id, CAST(doc_id % 7 AS INT) AS k FROM documents) SELECT doc_id, CASE k WHEN 0 THEN 4.0::DOUBLE WHEN 1 THEN 20.0 WHEN 2 THEN 8.0 WHEN 3 THEN 5.333333 END AS first, CASE WHEN k < 4 THEN 2 ELSE 1 END AS n FROM t
+@query(r"""
+WITH t AS (SELECT doc_id, CAST(doc_id % 7 AS INT) AS k, len(regexp_extract_all(coalesce(text, ''), '[0-9][^\n=]{0,12}=\s*[0-9]+\s*(''|ft|feet)')) AS others FROM documents)
+SELECT doc_id, CASE k WHEN 0 THEN 4.0::DOUBLE WHEN 1 THEN 20.0 WHEN 2 THEN 8.0 WHEN 3 THEN 5.333333 END AS first, 2.0::DOUBLE AS last, CASE WHEN others = 0 THEN CASE WHEN k < 4 THEN 2 ELSE 1 END END AS n FROM t
 """)
 def text_scales(spark, sf_dir):
-    """a note of each kind, and in every text a second scale"""
+    """a note of each kind before every whole text, and a second scale after it"""
     note = F.get(F.array(*map(F.lit, _SCALES)), (F.col("doc_id") % 7).cast("int"))
-    found = scales.text_scales(F.concat(F.lit("SCALE "), note, F.lit("\nDETAIL "), F.substring("text", 1, 0), F.lit("1/2\" = 1'-0\"")))
-    rows = table(spark, sf_dir, "documents").select("doc_id", found.alias("found"))
-    return rows.select("doc_id", F.when(F.size("found") > 1, F.round(F.get("found", F.lit(0)), 6)).alias("first"), F.size("found").alias("n"))
+    text = F.coalesce("text", F.lit(""))
+    found = scales.text_scales(F.concat(F.lit("SCALE "), note, F.lit("\nDETAIL "), text, F.lit("\n1/2\" = 1'-0\"")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", found.alias("found"))
+    at = lambda i: F.round(F.element_at("found", i), 6)
+    has_others = text.rlike(r"[0-9][^\n=]{0,12}=\s*[0-9]+\s*('|ft|feet)")
+    return rows.select("doc_id", F.when(F.col("doc_id") % 7 < 4, at(1)).alias("first"), at(-1).alias("last"), F.when(~has_others, F.size("found")).alias("n"))
+
+
+_DRAWN_SQL = f"""WITH {_LINES_SQL.replace('> 0.1 ', '> 0.1::FLOAT ')},
+c AS (SELECT * FROM (VALUES {", ".join(map(str, _CALLOUTS))}) AS v(anchor, fpi, x, y)),
+dims AS (SELECT vec_id AS dim, label AS page, round({_AT.format(5)} * 1000, 3) AS cx, round({_AT.format(6)} * 1000, 3) AS cy, 8.0 + vec_id % 60 AS feet FROM embeddings WHERE embedding[10] > 0.1::FLOAT),
+l AS (SELECT page, seg, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS len, (x0 + x1) / 2 AS mx, (y0 + y1) / 2 AS my FROM s WHERE abs(x0 - x1) < 2 OR abs(y0 - y1) < 2),
+r AS (SELECT page, dim, feet / len AS ratio FROM dims JOIN l USING (page) WHERE len > 20 AND feet / len > 0.05 AND feet / len < 2 QUALIFY row_number() OVER (PARTITION BY page, dim ORDER BY (mx - cx) * (mx - cx) + (my - cy) * (my - cy), seg) = 1),
+drawn AS (SELECT page, median(ratio) * 72 AS fpi FROM r GROUP BY page HAVING count(*) >= 3),
+p AS (SELECT s.*, anchor, fpi FROM s, c WHERE page % 4 = 2 QUALIFY row_number() OVER (PARTITION BY page, seg ORDER BY (x - (x0 + x1) / 2) * (x - (x0 + x1) / 2) + (y - (y0 + y1) / 2) * (y - (y0 + y1) / 2), anchor) = 1),
+pages AS (SELECT DISTINCT page FROM s), w1 AS (SELECT page, CASE page % 4 WHEN 0 THEN 30.0 WHEN 1 THEN 20.0 ELSE fpi END AS fpi, CASE page % 4 WHEN 0 THEN 'override' WHEN 1 THEN 'printed_scale' ELSE CASE WHEN fpi IS NULL THEN 'none' ELSE 'dimension_calibration' END END AS method FROM pages LEFT JOIN drawn USING (page) WHERE page % 4 <> 2),
+whole AS (SELECT s.*, method, w1.fpi FROM s JOIN w1 USING (page))"""
+_SIZES = "round_even(round(w.e * h.e, 3) * pow(fpi / 72, 2), 1) AS footprint_sf, round_even(round(total, 3) * (fpi / 72), 1) AS total_linework_lf, round_even(round(long, 3) * (fpi / 72), 1) AS long_run_lf"
+
+
+def _sized(name: str, source: str, keys: str, least: str) -> str:
+    """The sizes of groups of segments, under names of their own."""
+    raw = _raw_sql(source, keys, least)
+    for part in ("w", "h", "sums"):
+        raw = raw.replace(f"{part} AS (SELECT {keys},", f"{name}_{part} AS (SELECT {keys},", 1)
+    return f"{raw}, {name} AS (SELECT {keys}, n_segments, {_SIZES} FROM {name}_sums JOIN {name}_w AS w USING ({keys}) JOIN {name}_h AS h USING ({keys}))"
+
+
+@query(f"""
+{_DRAWN_SQL}, {_sized("parts", "p", "page, anchor, fpi", "360 / fpi")}, {_sized("wholes", "whole", "page, method, fpi", "coalesce(360 / fpi, 36)")},
+best AS (SELECT page, 'printed_scale_viewport' AS method, fpi, footprint_sf, total_linework_lf, long_run_lf, sum(n_segments) OVER (PARTITION BY page, fpi) / sum(n_segments) OVER (PARTITION BY page) AS share FROM parts
+  QUALIFY row_number() OVER (PARTITION BY page ORDER BY footprint_sf DESC, total_linework_lf DESC, anchor) = 1)
+SELECT page, round(CAST(fpi AS DOUBLE), 6) AS feet_per_inch, method, CASE WHEN share >= 0.6 THEN 'high' ELSE 'medium' END AS confidence, footprint_sf, total_linework_lf, long_run_lf, share < 0.6 AS needs_review FROM best
+UNION ALL SELECT page, round(CAST(fpi AS DOUBLE), 6), method, CASE method WHEN 'dimension_calibration' THEN 'low' WHEN 'none' THEN 'none' ELSE 'high' END, footprint_sf, total_linework_lf, long_run_lf, method NOT IN ('override', 'printed_scale') FROM wholes
+""")
+def measured_pages(spark, sf_dir):
+    """Pages by a given scale, a printed note, several callouts, or the dimensions drawn on them"""
+    segs = _segments(spark, sf_dir)
+    page = F.col("page")
+    of_pages = segs.select("page").distinct()
+    found = of_pages.where("page % 4 = 2").join(F.broadcast(spark.createDataFrame(list(_CALLOUTS), "line int, feet_per_inch double, x double, y double")))
+    sheets = of_pages.select("page", F.when(page % 4 == 0, 30.0).alias("override"), F.when(page % 4 == 1, "SCALE: 1\" = 20'").alias("scale_text"), F.lit("").alias("text"))
+    vectors = table(spark, sf_dir, "embeddings").where(F.get("embedding", F.lit(9)) > F.lit(0.1).cast("float"))
+    words = vectors.select(F.col("label").alias("page"), F.col("vec_id").alias("ord"), _at(5).alias("x0"), _at(6).alias("y0"), _at(5).alias("x1"), _at(6).alias("y1"), F.concat((8 + F.col("vec_id") % 60).cast("string"), F.lit("'")).alias("text"))
+    return scales.measured_pages(sheets, segs, words, found).withColumn("feet_per_inch", F.round("feet_per_inch", 6))
 
 
 @query("""

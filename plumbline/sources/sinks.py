@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
@@ -30,7 +31,7 @@ def write_report(tables: Mapping[str, DataFrame], path: str) -> dict[str, str]:
     for name, df in tables.items():
         try:
             flattened(df).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
-        except Exception as error:  # noqa: BLE001  outputs fail by themselves, and are reported
+        except (AnalysisException, OSError, TypeError, ValueError) as error:  # an output that can't be written so; lost executors are no such failure
             failed[name] = str(error)
     return failed
 
@@ -41,7 +42,7 @@ def write_json(tables: Mapping[str, DataFrame], path: str) -> dict[str, str]:
     for name, df in tables.items():
         try:
             df.write.mode("overwrite").json(f"{path}/{name}")
-        except Exception as error:  # noqa: BLE001  outputs fail by themselves, and are reported
+        except (AnalysisException, OSError, TypeError, ValueError) as error:  # an output that can't be written so; lost executors are no such failure
             failed[name] = str(error)
     return failed
 
