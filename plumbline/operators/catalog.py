@@ -94,11 +94,6 @@ def upserted(base: DataFrame, fresh: DataFrame, keys: Sequence[str], keep: Seque
     return both.select(*(c if c in keys else F.when(F.col("_old").isNull(), F.col(f"_new.{c}")).otherwise(value(c)).alias(c) for c in base.columns))
 
 
-def inserted(base: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """base with fresh's rows of keys that it lacks; known ones stay as they are."""
-    return base.unionByName(fresh.dropDuplicates(list(keys)).join(base.select(*keys), list(keys), "left_anti").select(*base.columns))
-
-
 def saved_runs(history: DataFrame, runs: DataFrame, now: Column, days: int = 90) -> DataFrame:
     """A job history with runs saved over it by job_id, outcomes derived, and what finished too long ago dropped."""
     failed = F.coalesce("failed_pages", F.lit(0))
@@ -106,20 +101,6 @@ def saved_runs(history: DataFrame, runs: DataFrame, now: Column, days: int = 90)
     return upserted(history, fresh, ["job_id"]).where(F.col("finished_at").isNull() | (F.timestamp_diff("DAY", F.col("finished_at"), now) < days))
 
 
-def sheet_counts(sets: DataFrame) -> DataFrame:
-    """Plan sets whose number of sheets is known, or that were looked at."""
-    return sets.where("sheet_count IS NOT NULL OR synced_at IS NOT NULL").select("project", "folder_id", "sheet_count")
-
-
-def last_sync(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.max("synced_at").alias("synced_at"))
-
-
-def with_columns(table: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """A table in a later version's shape: the columns that it lacks are added, empty."""
-    return table.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in table.columns}) if set(columns) - set(table.columns) else table
-
-
 def companions(plans: DataFrame, files: DataFrame) -> DataFrame:
     """Each plan file's take-off beside it: of its folder the file named as one that shares most words with it.
 
@@ -161,11 +142,6 @@ def summary_quantity(text: Column) -> Column:
     return F.when(~bare.isin("", "—", "-", "n/a", "N/A"), bare.try_cast("double"))
 
 
-def newest_summary(folders: DataFrame, match: str) -> DataFrame:
-    """The newest run folder whose name holds a text and that has a summary; folders: folder, created, has_summary."""
-    return folders.where(F.col("has_summary") & F.contains("folder", F.lit(match))).orderBy(F.desc("created"), "folder").limit(1)
-
-
 def call_cost(model: Column, tokens_in: Column, tokens_out: Column, prices: dict[str, tuple[float, float]] | None = None) -> Column:
     """What a model call cost: prices of a million tokens by the model's name, else the usual ones."""
     into = out = F

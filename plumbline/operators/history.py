@@ -30,10 +30,6 @@ def log_tail(log: Column, n: int = 80) -> Column:
     return F.when(F.size(log) > n, F.slice(log, -n, n)).otherwise(log)
 
 
-def retained(runs: DataFrame, now: Column, days: int) -> DataFrame:
-    return runs.where(F.timestamp_diff("DAY", F.col("finished_at"), now) < days)
-
-
 def row_status(verified: Column, auto: Column, source: Column, quantity: Column, needs_review: Column) -> Column:
     """verified before auto before measured before review before ok."""
     no = F.lit(False)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import quantity_text
 from ..functions.storage import materialised
-from ..operators import estimate, merge, phrases, raw, reports
-from ..sources import extraction
-from . import rules
+from ..operators import aggregate, estimate, merge, pages, phrases, raw, reports
+from ..sources import extraction, manifest
+from . import pipeline, rules
 from .registry import query, table
 
 #: Item names with the type, name and unit that the engine's own rules must give them.
@@ -201,6 +201,16 @@ def calculated_rows(spark, sf_dir):
     return rows.select("item_type", "description", "raw_value", "raw_unit", "waste_factor", "estimation_table", "qty_source", "source_sheet", "specification")
 
 
+@query(f"""
+WITH {_LINES_SQL}, e AS (SELECT *, {_KIND} AS kind FROM lines WHERE l_returnflag <> 'R' AND CAST(q AS INT) <> 0)
+SELECT CASE WHEN kind = 'general' THEN 'component' ELSE kind END AS item_type, item AS description, q AS raw_value, 'EA' AS raw_unit, 1.0::DOUBLE AS waste_factor, sheet AS source_sheet FROM e
+""")
+def calculated_listing(spark, sf_dir):
+    """K4: the columns of the calculations file"""
+    rows = reports.calculated_table(raw.calculated_rows(estimate.from_components(order_sheets(spark, sf_dir))))
+    return rows.select("item_type", "description", "raw_value", "raw_unit", "waste_factor", "source_sheet")
+
+
 _PART_TOTAL = """t AS (SELECT p_type AS item, CAST(sum(p_size) AS DOUBLE) AS quantity, bool_or(p_size > 45) AS needs_review, string_agg(DISTINCT p_brand, ', ' ORDER BY p_brand) AS sheets, count(*) AS line_count FROM part GROUP BY 1)"""
 
 
@@ -381,3 +391,48 @@ def run_items(spark, sf_dir):
     sheets = lines.select("sheet", "sheet_ord", "sheet_type", runs.alias("pipe_runs"), structures.alias("civil_structures"), lintels.alias("lintel_runs"))
     found = estimate.from_pipe_runs(sheets).unionByName(estimate.from_civil_structures(sheets)).unionByName(estimate.from_lintel_runs(sheets))
     return found.select("sheet", "item_type", "quantity")
+
+
+@query()
+def project_summary(spark, sf_dir):
+    """All sheets of a project to its summary, through estimates of every kind and a manifest; tests hold it against the parts of a run"""
+    named = spark.createDataFrame([("Bollards", "EA", "bollard", 0), ("Catch Basins", "EA", "catch basin", 1), ("Unheard Of", "EA", "", 2)], "name string, unit string, aliases string, ord int")
+    out = pipeline.run_project(order_sheets(spark, sf_dir), manifest.entries(named))
+    return reports.summary_table(out["summary"])
+
+
+@query(f"""
+WITH {_LINES_SQL}, e AS (SELECT item, CAST(q AS DOUBLE) AS q, {_KIND} AS kind, sheet FROM lines WHERE l_returnflag <> 'R' AND CAST(q AS INT) <> 0),
+w AS (SELECT {"CASE item " + " ".join(f"WHEN '{i[0]}' THEN '{i[2]}'" for i in ITEMS[:-1]) + " ELSE 'Component' END"} AS item, round_even(q * CASE kind WHEN 'flooring' THEN 1.10 WHEN 'storm_pipe' THEN 1.05 ELSE 1.0 END, 2) AS q FROM e)
+SELECT item, round(sum(q), 4) AS quantity, count(*) AS line_count FROM w GROUP BY item UNION ALL SELECT 'Mobilization', 1.0, 1 WHERE EXISTS (FROM w)
+""")
+def component_totals(spark, sf_dir):
+    """A1, A3: counted things of all sheets under their canonical names"""
+    total = aggregate.takeoff(estimate.from_components(order_sheets(spark, sf_dir)))
+    return total.select("item", F.round("quantity", 4).alias("quantity"), F.coalesce("line_count", F.lit(0)).alias("line_count"))
+
+
+@query(f"""
+SELECT o_orderkey, kind, unnest(passes) AS pass FROM (SELECT o_orderkey, kind, CASE kind {" ".join(f"WHEN '{k}' THEN {list(v)}" + "::VARCHAR[]" for k, v in rules.PASS_MATRIX.items())} ELSE ['measure'] END AS passes
+  FROM (SELECT o_orderkey, {[*rules.PASS_MATRIX, "unknown"]}[1 + CAST(o_orderkey % {len(rules.PASS_MATRIX) + 1} AS INT)] AS kind FROM orders))
+UNION ALL SELECT o_orderkey, 'floor_plan', 'legend' FROM orders WHERE o_orderkey % {len(rules.PASS_MATRIX) + 1} = 0
+""")
+def planned_passes(spark, sf_dir):
+    """Every type of sheet, thoroughly"""
+    kinds = [*rules.PASS_MATRIX, "unknown"]
+    kind = F.get(F.array(*map(F.lit, kinds)), (F.col("o_orderkey") % len(kinds)).cast("int"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind"))
+    return rows.select("o_orderkey", "kind", F.explode(pages.planned_passes(F.col("kind"), True)).alias("pass"))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'SHEET INDEX' WHEN 1 THEN 'Door Schedule' WHEN 2 THEN 'ROOF PLAN' WHEN 3 THEN 'M-2 floor plan' WHEN 4 THEN 'level 1 floor plan' WHEN 5 THEN 'building sections' END AS title, coalesce(text, '') AS text FROM documents),
+w AS (SELECT * FROM (VALUES """ + ", ".join(rf"({k}, '{kind}', '\b(?:{'|'.join(words)})\b')" for k, (kind, words) in enumerate(rules.SHEET_WORDS)) + r""", (90, 'mep_plan', '^\s*[MEP]-?\d(?s:.)*PLAN'), (91, 'floor_plan', 'FLOOR PLANS?|PLAN|LEVEL')) AS v(k, kind, pattern)),
+a AS (SELECT doc_id, arg_min(kind, k) AS kind FROM t, w WHERE regexp_matches(upper(title), pattern) GROUP BY 1), b AS (SELECT doc_id, arg_min(kind, k) AS kind FROM t, w WHERE title IS NULL AND regexp_matches(upper(text), pattern) GROUP BY 1)
+SELECT doc_id, coalesce(a.kind, b.kind, 'floor_plan') AS kind FROM t LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)
+""")
+def sheet_types(spark, sf_dir):
+    """By title blocks, and by whole texts where there is none"""
+    titles = ("SHEET INDEX", "Door Schedule", "ROOF PLAN", "M-2 floor plan", "level 1 floor plan", "building sections", None)
+    title = F.get(F.array(*map(F.lit, titles)), (F.col("doc_id") % 7).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", pages.sheet_type(title, F.coalesce("text", F.lit(""))).alias("kind"))
