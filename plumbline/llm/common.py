@@ -32,8 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_CHECKPOINTS
 
 
+#: What this process has written to the shared folder and not removed.
+_written: list[str] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def clear_intermediate(spark: SparkSession) -> int:
+    """Removes the tables that this process has written to the shared folder, once nothing reads them any more; how many."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plumbline.llm import ann, chat, decontaminate, encoding, langid, license_scan, pii, url_filter
+from plumbline.llm import ann, chat, common, decontaminate, encoding, langid, license_scan, pii, url_filter
 
 
 def test_part_sizes_that_are_no_sizes(spark):
@@ -251,3 +251,17 @@ print(hits / len(range(0, n, n // 200)), probes, (resource.getrusage(resource.RU
     out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True, env=os.environ | {"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"}).stdout.split()
     recall, probes, megabytes = map(float, out)
     assert recall >= 0.9 and probes <= most_probes and megabytes < 700
+
+
+def test_intermediate_tables_and_settings(spark):
+    """A run puts the session's batch size back, and what it wrote goes by one call."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with common.arrow_rows(spark, 17):
+        assert spark.conf.get(name) == "17"
+    assert spark.conf.get(name) == before
+    path = common.fresh_path(spark, "some")
+    spark.range(2).write.parquet(path)
+    assert os.path.isdir(path)
+    common.clear_intermediate(spark)
+    assert not os.path.exists(path) and common.clear_intermediate(spark) == 0
