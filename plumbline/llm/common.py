@@ -111,10 +111,12 @@ def bloom(rows: DataFrame, column: str) -> np.ndarray:
 def passes(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes a filter lets pass: all that it was made of, and few others."""
     hashes, last = hashes.view(np.uint64), np.uint64(len(packed) * 8 - 1)
-    out = np.ones(len(hashes), bool)
-    for shift in BLOOM_SHIFTS:
-        place = hashes >> np.uint64(shift) & last
-        out &= (packed[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    left = np.arange(len(hashes))
+    for shift in BLOOM_SHIFTS:  # the few that pass one function are tried with the next
+        place = (hashes if len(left) == len(hashes) else hashes[left]) >> np.uint64(shift) & last
+        left = left[(packed[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    out = np.zeros(len(hashes), bool)
+    out[left] = True
     return out
 
 

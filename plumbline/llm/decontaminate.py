@@ -80,7 +80,8 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for place, factor in zip(places, _ODD[: len(places)], strict=True):
-        out = (out ^ words[place : place + n]) * factor
+        out ^= words[place : place + n]
+        out *= factor
         out ^= out >> np.uint64(29)
     return out
 
