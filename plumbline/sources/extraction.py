@@ -52,16 +52,17 @@ def repaired(text: Column) -> Column:
     return F.aggregate(tokens, start, step, lambda s: F.concat(F.substring(text, F.lit(1), s["cut"]), s["ends"]))
 
 
-def parsed(rows: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+def parsed(rows: DataFrame, column: str = "value", keep: Sequence[str] = (), repair: bool = True) -> DataFrame:
     """One row a text: scalars, typed arrays and has_error (an ``error`` key, whatever its value, or no JSON).
 
-    A record that breaks off is repaired first; its whole elements count.
+    A record that breaks off is repaired first, if asked; its whole elements count.
     """
     bare = F.regexp_replace(F.trim(column), r"^```(?:json)?\s*|\s*```$", "")
     loose = ", ".join([f"{k} {v}" for k, v in SCALARS.items()] + [f"{k} array<string>" for k in ARRAYS])
     out = rows.select(*keep, bare.alias("text"))
-    broken = F.json_object_keys("text").isNull() & F.startswith("text", F.lit("{"))
-    out = out.withColumn("text", F.when(broken, repaired(F.col("text"))).otherwise(F.col("text")))
+    if repair:
+        broken = F.json_object_keys("text").isNull() & F.startswith("text", F.lit("{"))
+        out = out.withColumn("text", F.when(broken, repaired(F.col("text"))).otherwise(F.col("text")))
     out = out.withColumn("j", F.from_json("text", loose)).withColumn("keys", F.json_object_keys("text"))
     error = F.col("keys").isNull() | F.array_contains("keys", "error")
     return out.select(*keep, *(F.col(f"j.{k}").alias(k) for k in SCALARS), *(_objects(F.col(f"j.{k}"), t).alias(k) for k, t in ARRAYS.items()), F.coalesce(error, F.lit(True)).alias("has_error"))
@@ -70,16 +71,16 @@ def parsed(rows: DataFrame, column: str = "value", keep: Sequence[str] = ()) ->
 def cached(pages: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages (page_id) and what was recorded of them (page_id, value text): usable records, and the pages still to be analysed.
 
-    A record that can't be read as a JSON object, or reports an error, is as good as none.
+    A record that is no whole JSON object, or reports an error, is as good as none.
     """
-    good = parsed_with(records, ["page_id"]).where("NOT has_error")
+    good = parsed_with(records, ["page_id"], repair=False).where("NOT has_error")
     known = pages.select(F.col("page_id").cast("string"))
     return good, known.join(good.select("page_id").distinct(), "page_id", "left_anti")
 
 
-def parsed_with(rows: DataFrame, keep: list[str], column: str = "value") -> DataFrame:
+def parsed_with(rows: DataFrame, keep: list[str], column: str = "value", repair: bool = True) -> DataFrame:
     """`parsed`, with columns of the rows beside it, which overrule those of the text."""
-    whole = parsed(rows.select(F.to_json(F.struct(*keep)).alias("_keep"), column), column, ["_keep"])
+    whole = parsed(rows.select(F.to_json(F.struct(*keep)).alias("_keep"), column), column, ["_keep"], repair)
     types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keep)
     return whole.withColumn("_keep", F.from_json("_keep", types)).withColumns({k: F.col(f"_keep.{k}").cast("string") for k in keep}).drop("_keep")
 
