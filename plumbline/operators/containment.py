@@ -33,9 +33,8 @@ def first_holding(needles: DataFrame, texts: DataFrame, on: Sequence[str], order
 
     pieces = F.concat(*(_grams("text", n) for n in range(1, Q + 1)))
     met = texts.select("*", F.explode(pieces).alias("needle")).join(short, [*on, "needle"], "left_semi")
-    found = first_rows(met, [*on, "needle"], order)
-    held = _held(long, texts, on)
-    return found.unionByName(first_rows(held, [*on, "needle"], order)).select(*on, "needle", *(c for c in texts.columns if c not in on))
+    both = met.unionByName(_held(long, texts, on))  # ranked together: each task keeps the first text of a needle that it sees
+    return first_rows(both, [*on, "needle"], order).select(*on, "needle", *(c for c in texts.columns if c not in on))
 
 
 def holding(needles: DataFrame, texts: DataFrame, on: Sequence[str]) -> DataFrame:

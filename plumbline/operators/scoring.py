@@ -24,19 +24,22 @@ def matched(golden: DataFrame, summary: DataFrame, on: Sequence[str], cutoff: fl
     Of several rows of one name the last in order of the name counts; of equally similar names the greatest.
     """
     right = summary.select(*on, F.col("item").alias("found"), F.col("quantity").alias("found_quantity"), F.col("unit").alias("found_unit"))
-    names, best = golden.select(*on, "item_name").distinct(), None
+    names, tiers = golden.select(*on, "item_name").distinct(), []
+    left = names
     # Equal names are joined by value; only what they leave is compared.
     for key in (F.lower, plain_name):
-        pairs = names.withColumn("_key", key("item_name")).join(right.withColumn("_key", key("found")), [*on, "_key"]).drop("_key")
-        found = first_rows(pairs, [*on, "item_name"], [F.desc("found")])
-        best = found if best is None else best.unionByName(found)
-        names = names.join(found.select(*on, "item_name"), [*on, "item_name"], "left_anti")
+        pairs = left.withColumn("_key", key("item_name")).join(right.withColumn("_key", key("found")), [*on, "_key"]).drop("_key")
+        tiers.append(pairs)
+        left = left.join(pairs.select(*on, "item_name").distinct(), [*on, "item_name"], "left_anti")
     if fuzzy:
-        left, known = names.withColumn("a", plain_name(F.col("item_name"))), right.withColumn("b", plain_name(F.col("found")))
-        near = most_similar(left, known, on, cutoff, query_second=True)
-        near = near.groupBy(*on, "a").agg(F.max("b").alias("b"))
-        pairs = left.join(near, [*on, "a"]).join(known, [*on, "b"])
-        best = best.unionByName(first_rows(pairs, [*on, "item_name"], [F.desc("found")]).drop("a", "b"))
+        asked, known = left.withColumn("a", plain_name(F.col("item_name"))), right.withColumn("b", plain_name(F.col("found")))
+        near = most_similar(asked, known, on, cutoff, query_second=True, n=1).drop("ratio")
+        tiers.append(asked.join(near, [*on, "a"]).join(known, [*on, "b"]).drop("a", "b"))
+    ranked = [pairs.select(*on, "item_name", "found", "found_quantity", "found_unit", F.lit(k).alias("_tier")) for k, pairs in enumerate(tiers)]
+    every = ranked[0]
+    for more in ranked[1:]:
+        every = every.unionByName(more)
+    best = first_rows(every, [*on, "item_name"], ["_tier", F.desc("found")])
     return golden.join(best.select(*on, "item_name", "found", "found_quantity", "found_unit"), [*on, "item_name"], "left")
 
 

@@ -101,7 +101,7 @@ def nearest(points: DataFrame, sites: DataFrame, keys: Sequence[str], fits: Colu
     if crowded.isEmpty():
         return best(points.join(sites, on))
     crowded = materialised(crowded, "crowded-pages")
-    calm = best(points.join(crowded, on, "left_anti").join(sites.join(crowded, on, "left_anti"), on))
+    calm = points.join(crowded, on, "left_anti").join(sites.join(crowded, on, "left_anti"), on)
 
     # Of sites at one place the first in order is the only one that can be nearest.
     alone = sites.join(crowded, on, "left_semi").groupBy(*keys, "x", "y", "w").agg(F.min_by(F.struct(*(c for c in sites.columns if c not in (*on, "x", "y", "w"))), "ord").alias("_first")).select(*keys, "x", "y", "w", "_first.*")
@@ -124,5 +124,5 @@ def nearest(points: DataFrame, sites: DataFrame, keys: Sequence[str], fits: Colu
         least = _off("x", F.col("px"), False) + _off("y", F.col("py"), False)
         # Rounding must never cut a cell off that holds the nearest site.
         front = front.where(may).withColumns({"_reach": reach, "_least": least}).where(F.col("_reach").isNull() | (F.col("_least") <= F.col("_reach") * (1 + 1e-9))).drop("_reach", "_least")
-    near = best(front.drop(*bounds).join(held, [*keys, "_level", "_cell"]))
-    return calm.unionByName(near)
+    near = front.drop(*bounds).join(held, [*keys, "_level", "_cell"])
+    return best(calm.unionByName(near.select(*calm.columns)))
