@@ -217,6 +217,8 @@ HOT_COUNT, SALTS = 64, 64
 LEAST_BITS, BLOCK_BYTES = 512, 1 << 18
 #: A block of whole sets holds this many shingles, a text counting for BLOCK_TEXT at least, or one longer text.
 BLOCK_SHINGLES, BLOCK_TEXT = 1 << 17, 256
+#: Classes of size that a step of the least similarity is cut into where blocks are placed.
+SIZE_CLASSES = 8
 #: Pairs with their bitmaps in an Arrow batch.
 PAIR_ROWS = 2048
 #: Shingles in one product of a block pair's membership matrices.
@@ -464,13 +466,45 @@ def _meeting_blocks(placed: DataFrame, family: str, least: float, pairs_of: Colu
     return meet.select(F.col(f"i.{family}").alias(family), F.col("i.block").alias("i"), F.col("j.block").alias("j")).withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
 
 
-def loose_in_families(members: DataFrame, least: float) -> DataFrame:
+def in_blocks(members: DataFrame, group: str, weight: Column, capacity: int, least: float, parts: DataFrame | None = None) -> DataFrame:
+    """members (group, node, n) with their part, if any, and block: blocks of like sizes, each of about the capacity in weight.
+
+    parts: node, part.  A part that weighs as much as a block gets blocks of its own.  Places come
+    from sums by size class, never from an order of a group's rows: a class that fills several blocks
+    is dealt over them by hash, so that a group of any size is placed by many tasks.  A group
+    below the capacity is one block.
+    """
+    step = max(math.log(1 / least), 0.01) / SIZE_CLASSES
+    rows = members.join(parts, "node", "left") if parts is not None else members.withColumn("part", F.lit(None).cast("long"))
+    salt = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS))
+    rows = stored(rows.select(group, "node", "n", "part", weight.cast("long").alias("w"), F.floor(F.ln(F.greatest("n", F.lit(1))) / step).alias("class"), salt.alias("salt")), "copies-rows")
+    sums = stored(rows.groupBy(group, "part", "class").agg(F.sum("w").alias("w")), "copies-sums")
+    large = sums.groupBy(group).agg(F.sum("w").alias("w")).where(F.col("w") >= capacity).select(group)
+    own = sums.where("part IS NOT NULL").groupBy(group, "part").agg(F.sum("w").alias("w")).where(F.col("w") >= capacity).select(group, "part", F.col("part").alias("own"))
+    classes = sums.join(large, group, "left_semi").join(own, [group, "part"], "left").groupBy(group, "own", "class").agg(F.sum("w").alias("all"))
+    # A row for each size class of a group and of each part that fills a block.
+    until = F.sum("all").over(Window.partitionBy(group).orderBy(F.col("own").asc_nulls_last(), "class"))
+    places = classes.select(F.col(group).alias("_group"), F.col("own").alias("_own"), F.col("class").alias("_class"), "all", (until - F.col("all")).alias("before"))
+    # Copies of these few rows, so that no key of a join holds a large part of a group.
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    if parts is not None:
+        rows = rows.join(own.withColumn("salt", salts), [group, "part", "salt"], "left")
+    else:
+        rows = rows.withColumn("own", F.lit(None).cast("long"))
+    places = places.withColumn("_salt", salts)
+    same = (rows[group] == F.col("_group")) & rows["own"].eqNullSafe(F.col("_own")) & (rows["class"] == F.col("_class")) & (rows["salt"] == F.col("_salt"))
+    share = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(1 << 20)) / (1 << 20)
+    block = F.floor((F.col("before") + F.col("all") * share) / capacity)
+    return rows.join(places, same, "left").select(group, "node", "n", "part", F.coalesce(block, F.lit(0)).alias("block"))
+
+
+def loose_in_families(members: DataFrame, bitmaps: DataFrame, least: float) -> DataFrame:
     """Links (u, v) that connect all members of a family whose bitmaps leave it open whether they are similar.
 
-    members: family, node, n, bits.  Blocks of bitmaps in order of size meet; each pair of blocks gives a tree of links.
+    members: family, node, n; bitmaps: node, bits.  Blocks of bitmaps of like sizes meet; each pair of blocks gives a tree of links.
     """
-    before = F.sum(F.length("bits")).over(Window.partitionBy("family").orderBy("n", "node"))
-    placed = stored(members.withColumn("block", F.floor(before / BLOCK_BYTES)), "copies-families")
+    size = F.greatest(F.lit(LEAST_BITS // 8), F.pow(F.lit(2), F.ceil(F.log2(F.greatest("n", F.lit(1))))) / 8)
+    placed = stored(in_blocks(members, "family", size, BLOCK_BYTES, least), "copies-families")
     dealt = _meeting_blocks(placed, "family", least, F.lit(True), F.lit(None))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -493,7 +527,8 @@ def loose_in_families(members: DataFrame, least: float) -> DataFrame:
                 u, v = tree
         return pa.Table.from_arrays([pa.array(nodes[u]), pa.array(nodes[v])], schema=EDGES)
 
-    return placed.join(dealt, ["family", "block"]).groupBy("family", "i", "j").applyInArrow(compare, spark_schema(EDGES))
+    mapped = placed.select("family", "block", "node", "n").join(bitmaps.select("node", "bits"), "node")
+    return mapped.join(dealt, ["family", "block"]).groupBy("family", "i", "j").applyInArrow(compare, spark_schema(EDGES))
 
 
 def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -525,10 +560,7 @@ def similar_in_groups(members: DataFrame, parts: DataFrame | None, least: float,
     pairs_of is the condition on two blocks i and j of a group, in order; each has its number, its
     least and greatest n (low, high) and its part if it has only one.
     """
-    light = members.select("root", "node", "n")
-    light = light.join(parts, "node", "left") if parts is not None else light.withColumn("part", F.lit(None).cast("long"))
-    before = F.sum(F.greatest("n", F.lit(BLOCK_TEXT))).over(Window.partitionBy("root").orderBy(F.col("part").asc_nulls_last(), "n", "node"))
-    placed = stored(light.withColumn("block", F.floor(before / BLOCK_SHINGLES)), "copies-blocks")
+    placed = stored(in_blocks(members.select("root", "node", "n"), "root", F.greatest("n", F.lit(BLOCK_TEXT)), BLOCK_SHINGLES, least, parts), "copies-blocks")
     only = F.when((F.min("part") == F.max("part")) & (F.count("part") == F.count("*")), F.min("part"))
     dealt = _meeting_blocks(placed, "root", least, pairs_of, only)
     sets = placed.select("root", "block", "node").join(members.select("node", "grams"), "node")
@@ -559,7 +591,8 @@ def copy_links(texts: DataFrame, size: int, least: float) -> DataFrame:
     wide = met.where(F.col("kind") == WIDE).select("u", "v").union(heads.join(heads.groupBy("gram").agg(F.min("v").alias("u")), "gram").select("u", "v"))
     if not wide.isEmpty():
         families = stored(connected_components(wide, "copies-wide"), "copies-wide").withColumnRenamed("root", "family")
-        loose = loose.union(stored(loose_in_families(bitmaps.join(families, "node"), least), "copies-loose"))
+        sizes = profiled.select("node", "n").dropDuplicates(["node"])
+        loose = loose.union(stored(loose_in_families(sizes.join(families, "node"), bitmaps, least), "copies-loose"))
     groups = stored(connected_components(loose, "copies-groups"), "copies-groups")
     packed = bloom(groups, "node")
     sets = shingle_sets(texts, size, packed).join(groups, "node").dropDuplicates(["node"])
