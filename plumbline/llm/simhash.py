@@ -219,6 +219,8 @@ LEAST_BITS, BLOCK_BYTES = 512, 1 << 18
 BLOCK_SHINGLES, BLOCK_TEXT = 1 << 17, 256
 #: Classes of size that a step of the least similarity is cut into where blocks are placed.
 SIZE_CLASSES = 8
+#: Places of size classes up to which they are broadcast (a few bytes each); more are joined by a salted shuffle.
+FEW_PLACES = 1 << 15
 #: Pairs with their bitmaps in an Arrow batch.
 PAIR_ROWS = 2048
 #: Shingles in one product of a block pair's membership matrices.
@@ -485,14 +487,15 @@ def in_blocks(members: DataFrame, group: str, weight: Column, capacity: int, lea
     # A row for each size class of a group and of each part that fills a block.
     until = F.sum("all").over(Window.partitionBy(group).orderBy(F.col("own").asc_nulls_last(), "class"))
     places = classes.select(F.col(group).alias("_group"), F.col("own").alias("_own"), F.col("class").alias("_class"), "all", (until - F.col("all")).alias("before"))
-    # Copies of these few rows, so that no key of a join holds a large part of a group.
-    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    if parts is not None:
-        rows = rows.join(own.withColumn("salt", salts), [group, "part", "salt"], "left")
+    places = stored(places, "copies-places")
+    if places.count() <= FEW_PLACES:  # parts that fill a block are fewer still
+        own, places, salted, same = F.broadcast(own), F.broadcast(places), [], F.lit(True)
     else:
-        rows = rows.withColumn("own", F.lit(None).cast("long"))
-    places = places.withColumn("_salt", salts)
-    same = (rows[group] == F.col("_group")) & rows["own"].eqNullSafe(F.col("_own")) & (rows["class"] == F.col("_class")) & (rows["salt"] == F.col("_salt"))
+        # Copies of these rows, so that no key of a join holds a large part of a group.
+        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+        own, places, salted, same = own.withColumn("salt", salts), places.withColumn("_salt", salts), ["salt"], F.col("salt") == F.col("_salt")
+    rows = rows.join(own, [group, "part", *salted], "left") if parts is not None else rows.withColumn("own", F.lit(None).cast("long"))
+    same &= (F.col(group) == F.col("_group")) & F.col("own").eqNullSafe(F.col("_own")) & (F.col("class") == F.col("_class"))
     share = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(1 << 20)) / (1 << 20)
     block = F.floor((F.col("before") + F.col("all") * share) / capacity)
     return rows.join(places, same, "left").select(group, "node", "n", "part", F.coalesce(block, F.lit(0)).alias("block"))

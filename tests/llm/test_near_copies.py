@@ -69,8 +69,10 @@ def test_pairs_just_at_the_bound(spark, kind):
     assert kept(spark, texts) == want
 
 
-def test_blocks_of_a_large_family(spark):
+@pytest.mark.parametrize("few", [0, 1 << 15])
+def test_blocks_of_a_large_family(spark, monkeypatch, few):
     """Placed by size classes: blocks of about the capacity, of like sizes; small groups are one; a large part has its own."""
+    monkeypatch.setattr(simhash, "FEW_PLACES", few)
     rng = random.Random(9)
     rows = [("large", k, rng.randrange(1, 3000)) for k in range(20000)] + [("small", -k, 5) for k in range(1, 40)]
     members = spark.createDataFrame(rows, "family string, node long, n int")
