@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from plumbline.llm import simhash
 
@@ -69,35 +68,6 @@ def test_pairs_just_at_the_bound(spark, kind):
     assert kept(spark, texts) == want
 
 
-@pytest.mark.parametrize("few", [0, 1 << 15])
-def test_blocks_of_a_large_family(spark, monkeypatch, few):
-    """Placed by size classes: blocks of about the capacity, of like sizes; small groups are one; a large part has its own."""
-    monkeypatch.setattr(simhash, "FEW_PLACES", few)
-    rng = random.Random(9)
-    rows = [("large", k, rng.randrange(1, 3000)) for k in range(20000)] + [("small", -k, 5) for k in range(1, 40)]
-    members = spark.createDataFrame(rows, "family string, node long, n int")
-    got = simhash.in_blocks(members, "family", F.col("n"), 1 << 18, 0.8).collect()
-    assert sorted((r["family"], r["node"], r["n"]) for r in got) == sorted(rows)
-    assert {r["block"] for r in got if r["family"] == "small"} == {0}
-    blocks = {}
-    for r in got:
-        if r["family"] == "large":
-            blocks.setdefault(r["block"], []).append(r["n"])
-    whole = sum(n for f, _, n in rows if f == "large")
-    assert abs(len(blocks) - whole / (1 << 18)) <= 1
-    assert max(sum(b) for b in blocks.values()) < 1.5 * (1 << 18)
-    order = [blocks[k] for k in sorted(blocks)]
-    step = 0.8 ** (-1 / simhash.SIZE_CLASSES)
-    assert all(max(a) <= min(b) * step * (1 + 1e-9) for a, b in zip(order, order[1:], strict=False))
-
-    parts = spark.createDataFrame([(k, 7 if k < 9000 else 8) for k in range(9010)], "node long, part long")
-    got = simhash.in_blocks(members, "family", F.col("n"), 1 << 18, 0.8, parts).collect()
-    assert len(got) == len(rows)
-    of_part = {r["block"] for r in got if r["part"] == 7}
-    # Only the last block of a part that fills blocks may hold others.
-    assert len({r["block"] for r in got if r["part"] != 7 and r["family"] == "large"} & of_part) <= 1 < len(of_part)
-
-
 def test_a_family_of_common_passages(spark, monkeypatch):
     """Many texts that share a passage and little else, over many blocks: the same as all pairs."""
     monkeypatch.setattr(simhash, "BLOCK_BYTES", 1 << 12)
