@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import materialised
 from ..plans import rules
+from .containment import holding
 from .history import outcome
 from .match import first_rows
 
@@ -123,7 +124,11 @@ def sheet_images(sheets: DataFrame, files: DataFrame, key: str = "project") -> D
     by_number = sheets.join(numbered, [key, "page_id"]).select(key, "page_id", "file", "modified", F.lit(0).alias("loose"))
     named = files.withColumn("_name", plain(F.regexp_extract("file", rules.SHEET_IMAGE, 1))).where("_name != ''").select(key, "file", "modified", "_name")
     own = sheets.withColumn("_own", plain(F.col("sheet_name"))).where("_own != ''")
-    same = own.join(named, [key]).where(F.contains("_own", F.col("_name")) | F.contains("_name", F.col("_own")))
+    best = first_rows(named, [key, "_name"], [F.desc("modified"), "file"])  # of files of one name only the first can be taken
+    names, asked = best.select(key, F.col("_name").alias("text")), own.select(key, F.col("_own").alias("text")).distinct()
+    within = holding(names.withColumnRenamed("text", "needle"), asked, [key]).select(key, F.col("text").alias("_own"), F.col("needle").alias("_name"))
+    around = holding(asked.withColumnRenamed("text", "needle"), names, [key]).select(key, F.col("needle").alias("_own"), F.col("text").alias("_name"))
+    same = own.select(key, "page_id", "_own").join(within.union(around).distinct(), [key, "_own"]).join(best, [key, "_name"])
     by_names = same.select(key, "page_id", "file", "modified", (F.col("_own") != F.col("_name")).cast("int").alias("loose"))
     return first_rows(by_number.unionByName(by_names), [key, "page_id"], [F.desc("modified"), "loose", "file"]).select(key, "page_id", "file")
 

@@ -58,3 +58,25 @@ def test_a_report_lists_the_first_pages(spark):
     got = lookup.linked_sheets(refs, catalog, in_run, ["p"], 5).orderBy("place").collect()
     assert [(r["page_id"], r["ref_from"], r["suggested_only"]) for r in got] == [(k, f"S{k}", False) for k in (1, 3, 4, 5, 6)]
     assert lookup.linked_sheets(refs, catalog, in_run, ["p"], 5, include=False).where("suggested_only").count() == 5
+
+
+def test_sheet_images_against_all_pairs(spark):
+    """Names within each other both ways, short ones, equal times, repeated and empty names, by brute force."""
+    from plumbline.operators import catalog
+
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("ab ") for _ in range(rng.randrange(0, 7))).strip()
+    sheets = [(k % 3, k, name() if k % 9 else None) for k in range(150)]
+    files = [(k % 3, f"001_{name()}.png", rng.randrange(4)) for k in range(60)]
+    got = catalog.sheet_images(spark.createDataFrame(sheets, "project int, page_id long, sheet_name string"), spark.createDataFrame(files, "project int, file string, modified int")).collect()
+    plain = lambda t: " ".join((t or "").lower().split())
+    want = {}
+    for project, page, own in sheets:
+        hits = []
+        for p, file, modified in files:
+            held = plain(file[4:-4])
+            if p == project and held and plain(own) and (held in plain(own) or plain(own) in held):
+                hits.append((-modified, plain(own) != held, file))
+        if hits:
+            want[page] = min(hits)[2]
+    assert {r["page_id"]: r["file"] for r in got} == want and len(got) == len(want) > 50
