@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..plans import rules
+from .numeric import bound
 
 POINTS_PER_INCH = 72
 
@@ -62,8 +63,8 @@ def rescaled(raw: Column, feet_per_inch: Column, power: int) -> Column:
 def snapped(feet_per_inch: Column, ladder: Sequence[float] = rules.SCALE_LADDER, tolerance: float = rules.SCALE_TOLERANCE) -> Column:
     """The nearest usual scale within a relative tolerance, else null."""
     steps = F.array(*map(F.lit, ladder))
-    nearest = F.array_min(F.transform(steps, lambda c: F.struct((F.abs(feet_per_inch - c) / c).alias("off"), c.alias("scale"))))
-    return F.when(nearest["off"] <= tolerance, nearest["scale"])
+    nearest = lambda feet: F.array_min(F.transform(steps, lambda c: F.struct((F.abs(feet - c) / c).alias("off"), c.alias("scale"))))
+    return bound(feet_per_inch, lambda feet: bound(nearest(feet), lambda n: F.when(n["off"] <= tolerance, n["scale"])))
 
 
 def _length(text: Column, mark: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from itertools import chain
 
 from pyspark.sql import Column
@@ -15,6 +15,11 @@ def literal_map(pairs: Mapping) -> Column:
     return F.create_map(*(F.lit(x) for x in chain.from_iterable(pairs.items())))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once a row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _parts(text: Column, pattern: str, roles: tuple[str, ...]) -> Column:
     """The value of a form's parts: feet in inches, inches and wholes as they are, one part over another."""
     part = {role: F.replace(F.regexp_extract(text, pattern, k), F.lit(","), F.lit("")).cast("double") for k, role in enumerate(roles, 1)}
