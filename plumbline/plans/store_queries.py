@@ -118,10 +118,11 @@ def repaired_records(spark, sf_dir):
     """Every odd record breaks off within its last component, and keeps those before it"""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("lines"))
     parts = F.transform("lines", lambda x: F.struct(F.struct(F.lit('a "[{,').alias("b")).alias("extra"), x["l_partkey"].cast("string").alias("name")))
-    text = F.to_json(F.struct(F.concat(F.lit("S"), "l_orderkey").alias("sheet"), parts.alias("components")))
+    records = lines.select("l_orderkey", F.to_json(F.struct(F.concat(F.lit("S"), "l_orderkey").alias("sheet"), parts.alias("components"))).alias("text"))
+    text = F.col("text")
     # The last component begins with its bracket; all that is left of it is part of its first field.
     last = F.length(F.substring_index(text, '{"extra"', -1))
     cut = F.when(F.col("l_orderkey") % 2 == 0, text).otherwise(F.substring(text, F.lit(1), F.length(text) - last + 9))
-    rows = extraction.parsed(lines.select(F.col("l_orderkey"), cut.alias("value")), "value", ["l_orderkey"])
+    rows = extraction.parsed(records.select("l_orderkey", cut.alias("value")), "value", ["l_orderkey"])
     known = F.filter("components", lambda c: c["name"].isNotNull())
     return rows.where("NOT has_error").select("l_orderkey", F.size(known).alias("n"), F.nullif(F.array_join(F.transform(known, lambda c: c["name"]), ","), F.lit("")).alias("parts"))

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import bound
+
 #: The typed part of each array's elements.
 ARRAYS = {
     "measurements": "description string, value string, unit string, approximate boolean, location string, raw_text string",
@@ -32,24 +34,31 @@ def _objects(raw: Column, schema: str) -> Column:
     return F.transform(objects, lambda e: F.from_json(e, schema))
 
 
+#: What stands between brackets and commas: a whole string, an escaped character, or any other.
+_BETWEEN = r'(?:[^{}\[\],"\\]++|\\.|"(?:[^"\\]++|\\.)*+")*+'
+#: A text up to its last closing bracket or comma.  Every loop is possessive, so none recurses, however long the text is.
+_WHOLE = rf"(?s)\A(?:(?:{_BETWEEN}[{{\[])*+{_BETWEEN}[}}\],])*+"
+#: All but brackets.
+_NO_BRACKETS = r'(?s)(?:[^{}\[\]"\\]++|\\.|"(?:[^"\\]++|\\.)*+")++'
+#: How deep the pairs of brackets are that patterns take out; what is nested deeper is walked through.
+_NESTED = 4
+
+
 def repaired(text: Column) -> Column:
     """A JSON text that breaks off, cut after its last whole value and closed: whole elements and fields stay.
 
-    One walk over brackets, commas and quotes; what else there is counts by its length only.
+    One pattern finds the cut; brackets that are closed before it go, and those left are closed from the last to the first.
     """
-    tokens = F.regexp_extract_all(text, F.lit(r'(?s)[{}\[\],"]|\\.|[^{}\[\],"\\]+|\\'), F.lit(0))
-    state = lambda open_, quoted, at, cut, ends: F.struct(open_.alias("open"), quoted.alias("quoted"), at.alias("at"), cut.alias("cut"), ends.alias("ends"))
-    start = state(F.lit(""), F.lit(False), F.lit(0), F.lit(0), F.lit(""))
+    cut = F.regexp_replace(F.regexp_extract(text, _WHOLE, 0), r",\z", "")
 
-    def step(s, token):
-        quoted, after = s["quoted"], s["at"] + F.length(token)
-        opened = F.when(~quoted & (token == "{"), F.concat(F.lit("}"), s["open"])).when(~quoted & (token == "["), F.concat(F.lit("]"), s["open"]))
-        closes, comma = ~quoted & token.isin("}", "]"), ~quoted & (token == ",")
-        still = F.coalesce(opened, F.when(closes, F.substring(s["open"], 2, 1 << 20)).otherwise(s["open"]))
-        cut = F.when(closes, after).when(comma, s["at"]).otherwise(s["cut"])
-        return state(still, F.when(token == '"', ~quoted).otherwise(quoted), after, cut, F.when(closes | comma, still).otherwise(s["ends"]))
+    def closing(whole):
+        open_ = F.regexp_replace(whole, _NO_BRACKETS, "")
+        for _ in range(_NESTED):
+            open_ = F.regexp_replace(open_, r"[{\[][}\]]", "")
+        closer = lambda c: F.translate(c, "{[", "}]")
+        return F.aggregate(F.filter(F.split(open_, ""), lambda c: c != ""), F.lit(""), lambda ends, c: F.when(c.isin("{", "["), F.concat(closer(c), ends)).otherwise(F.substring(ends, 2, 1 << 20)))
 
-    return F.aggregate(tokens, start, step, lambda s: F.concat(F.substring(text, F.lit(1), s["cut"]), s["ends"]))
+    return bound(cut, lambda whole: F.concat(whole, closing(whole)))
 
 
 def parsed(rows: DataFrame, column: str = "value", keep: Sequence[str] = (), repair: bool = True) -> DataFrame:
@@ -62,7 +71,8 @@ def parsed(rows: DataFrame, column: str = "value", keep: Sequence[str] = (), rep
     out = rows.select(*keep, bare.alias("text"))
     if repair:
         broken = F.json_object_keys("text").isNull() & F.startswith("text", F.lit("{"))
-        out = out.withColumn("text", F.when(broken, repaired(F.col("text"))).otherwise(F.col("text")))
+        # Generated and not projected, so that no filter on what follows repairs the text a second time.
+        out = out.select(*keep, F.explode(F.array(F.when(broken, repaired(F.col("text"))).otherwise(F.col("text")))).alias("text"))
     out = out.withColumn("j", F.from_json("text", loose)).withColumn("keys", F.json_object_keys("text"))
     error = F.col("keys").isNull() | F.array_contains("keys", "error")
     return out.select(*keep, *(F.col(f"j.{k}").alias(k) for k in SCALARS), *(_objects(F.col(f"j.{k}"), t).alias(k) for k, t in ARRAYS.items()), F.coalesce(error, F.lit(True)).alias("has_error"))
