@@ -52,9 +52,9 @@ def order_sheets(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
     needed = {"measurements": ("l_linestatus", "l_tax", "p_name"), "components": ("l_returnflag", "l_discount", "p_type"), "materials": ("p_type", "p_brand"), "schedules": ("l_returnflag",)}
     gathered = tuple(dict.fromkeys(c for name, columns in needed.items() if not wanted or name in wanted for c in columns))
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    lines = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*order, *gathered))).alias("lines"))
+    lines = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*order, *gathered))).alias("lines"))
     sheets = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    of = lambda name: F.transform("lines", parts[name]).cast(f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in extraction.ARRAYS[name].split(', '))}>>")
+    of = lambda name: F.transform("lines", parts[name])
     printed = lambda x: F.create_map(F.lit("ITEM"), item(x), F.lit("QTY"), q(x), F.lit("TAG"), x["l_linenumber"].cast("string"))
     purpose = F.when(F.col("o_orderpriority") == "1-URGENT", "specification_reference").when(F.col("o_orderpriority") == "2-HIGH", "takeoff_legend")
     schedule = lambda: s(name=F.col("o_orderpriority"), table_purpose=purpose, use_for_takeoff=F.lit(None).cast("boolean"), lookup_key=F.lit(None).cast("string"), rows=F.transform(F.filter("lines", lambda x: x["l_returnflag"] == "A"), printed), type=F.lit(None).cast("string"), schedule_type=F.lit("lines"), header_info=F.lit(""), totals=F.lit(None).cast("string"))

@@ -24,3 +24,10 @@ def test_a_quantity_is_trimmed_once(spark):
     rows = spark.createDataFrame([(" 12 ",), ("1,250",), ("007",), ("3' - 6\"",), ("50%",), (None,)], "t string").select(parse_numeric(F.col("t")).alias("v"))
     assert [r["v"] for r in rows.collect()] == [12.0, 1250.0, 7.0, 42.0, None, None]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_lines_are_sorted_without_a_comparator(spark):
+    plan = order_sheets(spark, SF, "sheet", "components")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan
+    assert "cast(transform(" not in plan
