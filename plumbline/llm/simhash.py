@@ -182,14 +182,18 @@ def _verified(nodes: np.ndarray, words: np.ndarray, starts: np.ndarray, limits:
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=EDGES)
 
 
+def fingerprint_links(fps: DataFrame, max_bits: int) -> DataFrame:
+    """Distinct fingerprints fp to links (u, v) that connect all those of at most max_bits differing bits."""
+    # As few segments as leave one with at most one differing bit.
+    masks = deletion_masks(max_bits // 2 + 1)
+    return links(fps.select(F.col("fp").alias("node"), variants("fp", masks)), ("node",), (max_bits,))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, max_bits: int = 4) -> DataFrame:
     """(doc_id, text_hash, fp, component_id) for every row of docs (doc_id, text)."""
     rows = stored(fingerprints(docs, size), "simhash-fingerprints")
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows")), "simhash-distinct")
-    # As few segments as leave one with at most one differing bit.
-    masks = deletion_masks(max_bits // 2 + 1)
-    index = fps.select(F.col("fp").alias("node"), variants("fp", masks))
-    nodes = stored(connected_components(links(index, ("node",), (max_bits,)), "simhash-components"), "simhash-nodes")
+    nodes = stored(connected_components(fingerprint_links(fps, max_bits), "simhash-components"), "simhash-nodes")
     linked = nodes.join(fps, F.col("node") == F.col("fp"))
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("component"))
     of_linked = linked.join(smallest, "root").select("fp", "component")
@@ -198,8 +202,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, max_bits: int = 4) -> DataFr
     return joined_by_key(rows, of_fp, "fp", "n_rows").select("doc_id", "text_hash", "fp", "component_id")
 
 
-# Near copies at a Jaccard similarity over five-word shingle sets, exactly.  Fingerprints of 64 bits can't give
-# this (README): so candidates come from shingles.  Shingles have one order over the whole corpus, common
+# Near copies at a Jaccard similarity over five-word shingle sets, exactly.  First candidates are the pairs that op2's
+# fingerprints link; those of 64 bits can't find all (README), so further ones come from shingles.  Shingles have one order over the whole corpus, common
 # ones (by a sample) last; two sets of the similarity share a shingle among their first
 # n - ceil(similarity * n) + 1, their prefix.  Prefixes are equality-joined: the texts of a short run of equal shingles
 # meet pair by pair, those of longer runs form families.  A parity bitmap of about a bit a shingle then bounds from
@@ -548,13 +552,28 @@ def similar_in_groups(members: DataFrame, parts: DataFrame | None, least: float,
     return sets.join(dealt, ["root", "block"]).groupBy("root", "i", "j").applyInArrow(compare, spark_schema(EDGES))
 
 
+def fingerprint_pairs(texts: DataFrame, size: int, max_bits: int = 4) -> DataFrame:
+    """(node, text) to pairs (u, v) that connect all texts whose fingerprints op2 links: equal ones, and those of few differing bits."""
+    marked = fingerprints(texts.select(F.lit(None).cast("long").alias("doc_id"), "text"), size)
+    rows = stored(marked.select(F.col("text_hash").alias("node"), "fp").distinct(), "copies-fingerprints")
+    firsts = stored(rows.groupBy("fp").agg(F.min("node").alias("first")), "copies-fingerprints")
+    near = fingerprint_links(firsts, max_bits).toDF("fu", "fv")
+    of = lambda fp, node: firsts.select(F.col("fp").alias(fp), F.col("first").alias(node))
+    same = rows.join(firsts, "fp").where("node != first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    return near.join(of("fu", "u"), "fu").join(of("fv", "v"), "fv").select("u", "v").union(same)
+
+
 def copy_links(texts: DataFrame, size: int, least: float) -> DataFrame:
-    """(node, text) to links (u, v) that connect exactly what the links of all similar pairs connect."""
+    """(node, text) to links (u, v) that connect exactly what the links of all similar pairs connect.
+
+    Candidates come from fingerprints, and from prefixes of the sets for what fingerprints miss; both are verified alike.
+    """
+    marked = stored(fingerprint_pairs(texts, size), "copies-marked")
     profiled = stored(profiles(texts, size, least), "copies-profiles")
     met = stored(meetings(profiled, least), "copies-meetings")
     bitmaps = profiled.select("node", "n", "bits").dropDuplicates(["node"])
     with arrow_rows(texts.sparkSession, PAIR_ROWS):
-        loose = stored(loose_pairs(met.where(F.col("kind") == PAIR).select("u", "v"), bitmaps, least), "copies-loose")
+        loose = stored(loose_pairs(met.where(F.col("kind") == PAIR).select("u", "v").union(marked).distinct(), bitmaps, least), "copies-loose")
     heads = met.where(F.col("kind") == HEAD).select(F.col("u").alias("gram"), "v")
     wide = met.where(F.col("kind") == WIDE).select("u", "v").union(heads.join(heads.groupBy("gram").agg(F.min("v").alias("u")), "gram").select("u", "v"))
     if not wide.isEmpty():

@@ -96,3 +96,27 @@ def test_a_family_of_common_passages(spark, monkeypatch):
                 moved |= least[a] != low or least[b] != low
                 least[a] = least[b] = low
     assert kept(spark, [" ".join(texts[k]) for k in order]) == sorted(set(least))
+
+
+def test_fingerprints_give_candidates(spark):
+    """Texts whose fingerprints op2 links are candidates of the stage; which of them are copies the sets decide."""
+    rng = random.Random(3)
+    texts = []
+    for k in range(40):
+        a = words(rng, 400, f"f{k}")
+        texts += [" ".join(a), " ".join(a[:-1])]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    nodes = docs.select("doc_id", simhash._text_hash().alias("node"), "text")
+    of = {r["node"]: r["doc_id"] for r in nodes.collect()}
+    pairs = {tuple(sorted((of[r["u"]], of[r["v"]]))) for r in simhash.fingerprint_pairs(nodes.select("node", "text"), 5).collect()}
+    prints = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 4}
+    assert pairs == want and len(want) >= 30
+    assert kept(spark, texts) == list(range(0, 80, 2))
+
+
+def test_the_stage_reads_fingerprints(spark, monkeypatch):
+    seen = []
+    real = simhash.fingerprint_pairs
+    monkeypatch.setattr(simhash, "fingerprint_pairs", lambda *a: seen.append(a) or real(*a))
+    assert kept(spark, ["a b c d e f", "a b c d e f", "x y"]) == [0, 2] and seen
