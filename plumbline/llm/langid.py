@@ -12,7 +12,7 @@ many languages that `SAMPLE_ALL` would be exceeded, one at least), those of smal
 For filtering, the network learns one class more: texts of no learned language, made out of the
 sample by shuffling its letters, exchanging them by a random alphabet, moving them to another
 script or drawing them anew.  A text is rejected if that class's share is above a bar that is
-calibrated on labelled documents held out from training: at most one in a thousand of them lies above it.
+calibrated on all labelled documents held out from training, by their whole texts: at most one in a thousand of them lies above it.
 
 Defined results: null text, or one without a letter, is ``und`` with score 0 and rejected by `spoken`;
 a text of fewer than `JUDGED` bytes with a letter is never rejected, it shows too little; a null doc_id is not held out
@@ -36,6 +36,8 @@ WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 16, 8
 SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_ALL = 600, 4, 1 << 17
 #: Bytes that a text must have to be rejected; the least bar, and the share of labelled documents that may lie above the bar.
 JUDGED, LEAST_BAR, FALSE_REJECTS = 120, 0.97, 0.001
+#: Steps of the bar.
+GRAIN = 1 << 20
 #: Where other scripts' letters begin, and how far apart those taken are (Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, Hangul, Han).
 SCRIPTS = ((0x3B1, 1), (0x430, 1), (0x5D0, 1), (0x627, 1), (0x905, 1), (0xE01, 1), (0xAC00, 28), (0x4E00, 97))
 #: Windows that go through the network at once.
@@ -195,11 +197,29 @@ def learn(docs: DataFrame, others: bool = False) -> ByteConvNet | None:
 
 
 def rejection_bar(docs: DataFrame, net: ByteConvNet | None) -> float:
-    """The share of the class of no language that at most FALSE_REJECTS of the held-out labelled documents exceed."""
-    _, sample = labelled_sample(docs, held_out(F.col("doc_id")))
-    texts = [" ".join(parts) for _, parts in sample]
-    shares = [mean[-1] for text, mean in zip(texts, means(net, texts), strict=True) if mean is not None and len(text.encode()) >= JUDGED]
-    return max(LEAST_BAR, float(np.quantile(shares, 1 - FALSE_REJECTS, method="higher"))) if shares else 1.0
+    """The least bar, rounded up to a GRAIN-th, that at most FALSE_REJECTS of all held-out labelled documents exceed with their whole texts.
+
+    Tasks count the shares above LEAST_BAR; a row for each GRAIN-th above it comes to the driver at most.
+    """
+    if net is None:
+        return 1.0
+
+    def run(batches):
+        for batch in portions(batches):
+            texts = batch.column("text").to_pylist()
+            shares = [float(mean[-1]) for text, mean in zip(texts, means(net, texts), strict=True) if mean is not None and len(text.encode()) >= JUDGED]
+            yield pa.RecordBatch.from_arrays([pa.array(shares, pa.float64())], names=["share"])
+
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & held_out(F.col("doc_id")))
+    shares = labelled.select("text").mapInArrow(run, "share double")
+    step = F.when(F.col("share") > LEAST_BAR, F.ceil(F.col("share") * GRAIN))
+    counts = {r["step"]: r["count"] for r in shares.groupBy(step.alias("step")).count().collect()}
+    left, bar = int(sum(counts.values()) * FALSE_REJECTS), LEAST_BAR if counts else 1.0
+    for step in sorted((k for k in counts if k is not None), reverse=True):
+        left -= counts[step]
+        if left < 0:
+            return step / GRAIN
+    return bar
 
 
 PREDICTED = arrow_schema(doc_id=pa.int64(), held_out=pa.bool_(), lang_pred=pa.string(), score=pa.float64())
