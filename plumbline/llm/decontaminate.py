@@ -39,6 +39,8 @@ PATTERNS = (*MASKS, *("1" * n for n in range(1, min(map(len, MASKS)))))
 LEAST = 10
 #: Characters whose words are hashed at once, and texts that a task remembers.
 BLOCK = 1 << 18
+#: Bytes of texts (or one longer text) whose words are hashed in one row, and the places of it that a mask is laid on at once.
+TEXT_BYTES, WORDS = 1 << 20, 1 << 14
 #: Places of the items that a text is read with in each round, of those it shares most seeds with.
 ROUNDS = ((0, 1), (1, 8), (8, None))
 #: Pairs of places beyond which a pair's diagonals are found by shifted bit sets.
@@ -117,6 +119,27 @@ def benchmark_seeds(items: DataFrame) -> DataFrame:
 HITS = arrow_schema(text_hash=pa.int64(), text=pa.string(), hits=pa.list_(pa.struct({"pattern": pa.int32(), "hash": pa.int64()})))
 
 
+def found_seeds(texts: list[str | None], packed: np.ndarray, used: list[int]) -> dict[int, list[dict]]:
+    """The distinct hashes of each text, by its place, that pass the filter; texts without any are left out.
+
+    The words of all texts are hashed in one row; a mask that reaches beyond its text's last word counts for nothing.
+    """
+    parts = [word_hashes(text) for text in texts]
+    words, edges = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+    found: dict[int, list[dict]] = {}
+    for k in used:
+        width = len(PATTERNS[k])
+        for at in range(0, len(words), WORDS):
+            seeds = seed_hashes(words[at : at + WORDS + width - 1], PATTERNS[k])
+            some = np.flatnonzero(passes(packed, seeds))
+            of = np.searchsorted(edges, at + some, side="right") - 1
+            inside = at + some + width <= edges[of + 1]
+            some, of = some[inside], of[inside]
+            for text, h in zip(of.tolist(), seeds[some].view(np.int64).tolist(), strict=True):
+                found.setdefault(text, []).append((k, h))
+    return {text: [{"pattern": k, "hash": h} for k, h in sorted(set(held))] for text, held in sorted(found.items())}
+
+
 def hits(texts: DataFrame, packed: np.ndarray, used: list[int]) -> DataFrame:
     """(text_hash, text) to the texts that have hashes under the used patterns that pass the filter, once a text and task, with those hashes."""
     broadcast = texts.sparkSession.sparkContext.broadcast(packed)
@@ -125,18 +148,15 @@ def hits(texts: DataFrame, packed: np.ndarray, used: list[int]) -> DataFrame:
         bits, seen = broadcast.value, set()
 
         def rows():
-            for batch in portions(batches):
-                for name, text in zip(batch.column("text_hash").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    if name in seen:
+            for batch in portions(batches, most=TEXT_BYTES):
+                names, said = batch.column("text_hash").to_pylist(), batch.column("text").to_pylist()
+                new = [k for k, name in enumerate(names) if name not in seen]
+                for k, found in found_seeds([said[k] for k in new], bits, used).items() if new else ():
+                    if names[new[k]] in seen:
                         continue
-                    words, found = word_hashes(text), []
-                    for k in used:
-                        seeds = seed_hashes(words, PATTERNS[k])
-                        found += [{"pattern": k, "hash": h} for h in np.unique(seeds[passes(bits, seeds)]).view(np.int64).tolist()]
-                    if found:
-                        if len(seen) < BLOCK:
-                            seen.add(name)
-                        yield name, text, found
+                    if len(seen) < BLOCK:
+                        seen.add(names[new[k]])
+                    yield names[new[k]], said[new[k]], found
 
         yield from record_batches(rows(), HITS, 256)
 

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, portions, spark_schema
 
+#: A power of two, and widths of two to four bytes, the least first: responses are looked up by two bytes at once.
 WINDOW = 256
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 16, 8
 SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_ALL = 600, 4, 1 << 17
@@ -54,7 +55,7 @@ class ByteConvNet:
 
     def __init__(self, languages: list[str], seed: int = 11):
         rng, longest, total = np.random.default_rng(seed), max(WIDTHS), len(WIDTHS) * FILTERS
-        self.languages = languages
+        self.languages, self.tables = languages, None
         self.embedding = rng.normal(0, 0.5, (256, EMBEDDING)).astype(np.float32)
         self.embedding[0] = 0
         self.filters = rng.normal(0, 0.2, (longest * EMBEDDING, total)).astype(np.float32)
@@ -77,16 +78,33 @@ class ByteConvNet:
         n, positions, width = patches.shape
         return (patches.reshape(-1, width) @ self.filters).reshape(n, positions, -1)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": None}
+
+    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """What two bytes add to every filter's response as its first and second, and to longer filters' as their third and fourth."""
+        if self.tables is None:
+            a, b, c, d = (self.embedding @ part for part in self.filters.reshape(4, EMBEDDING, -1))
+            self.tables = (a[:, None] + b).reshape(1 << 16, -1), (c[:, None, FILTERS:] + d[:, FILTERS:]).reshape(1 << 16, -1)
+        return self.tables
+
     def probabilities(self, windows: np.ndarray) -> np.ndarray:
-        out = [np.zeros((0, len(self.languages)), np.float32)]
+        """Embedding and filters are linear, so that responses are sums of the tables' rows."""
+        (first, second), out = self._tables(), [np.zeros((0, len(self.languages)), np.float32)]
         for at in range(0, len(windows), BLOCK):
-            peak = self._pooled(self._patches(windows[at : at + BLOCK])).max(1)
-            out.append(_softmax(np.maximum(peak + self.bias, 0) @ self.dense + self.out_bias))
+            padded = np.pad(windows[at : at + BLOCK], ((0, 0), (0, 3))).astype(np.intp)
+            pairs = padded[:, :-1] << 8 | padded[:, 1:]
+            peak = first.take(pairs[:, :WINDOW], axis=0, mode="clip")
+            peak[..., FILTERS:] += second.take(pairs[:, 2:], axis=0, mode="clip")
+            while peak.shape[1] > 1:  # halves against each other, as long as there are several places
+                half = peak.shape[1] // 2
+                peak = np.maximum(peak[:, :half], peak[:, half:])
+            out.append(_softmax(np.maximum(peak[:, 0] + self.bias, 0) @ self.dense + self.out_bias))
         return np.concatenate(out)
 
     def train(self, windows: np.ndarray, targets: np.ndarray, epochs: int = 6, least_steps: int = 600, rate: float = 0.01, seed: int = 5) -> None:
         """Adam on the cross-entropy with a falling rate; half the windows of each step are cut short, as texts are."""
-        rng = np.random.default_rng(seed)
+        rng, self.tables = np.random.default_rng(seed), None
         steps = max(1, len(windows) // BLOCK)
         epochs = max(epochs, -(-least_steps // steps))
         names = ("embedding", "filters", "bias", "dense", "out_bias")

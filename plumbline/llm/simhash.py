@@ -20,46 +20,24 @@ repeated rows stay repeated; further columns are ignored; an empty table gives a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import partial
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, arrow_schema, bloom, joined_by_key, passes, portions, spark_schema, stored
 from .components import connected_components
+from .shingle_hashes import majority_bits, shingle_hashes
 
 SEED = 42
-#: Shingle hashes counted at once: bounds memory for texts of any length.
-BLOCK = 1 << 15
-
-
-def shingles(words: list[bytes], size: int) -> Iterator[bytes]:
-    """Runs of `size` words, space-joined, repeats included; all words if there are fewer; none of none."""
-    if not words:
-        return iter(())
-    if len(words) < size:
-        return iter((b" ".join(words),))
-    return map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
+#: Nodes that a task remembers, and bytes of texts (or one longer text) whose shingles are hashed at once.
+BLOCK, TEXT_BYTES = 1 << 15, 1 << 20
 
 
 def fingerprint(text: bytes | None, size: int, seed: int = SEED) -> int:
-    """A bit is 1 if it is set in over half the shingles' XXH64 hashes.
-
-    bytes.lower and bytes.split touch exactly A-Z and the six ASCII white-space bytes.
-    """
-    grams = shingles(text.lower().split() if text else [], size)
-    digest = partial(xxhash.xxh64_intdigest, seed=seed)
-    ones, n = np.zeros(64, np.int64), 0
-    while block := list(map(digest, islice(grams, BLOCK))):
-        hashes = np.array(block, dtype="<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(hashes, axis=1, bitorder="little").sum(0, dtype=np.int64)
-        n += len(block)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    """A bit is 1 if it is set in over half the shingles' XXH64 hashes."""
+    return int(majority_bits(*shingle_hashes([text], size, seed))[0])
 
 
 FINGERPRINTS = arrow_schema(doc_id=pa.int64(), text_hash=pa.int64(), fp=pa.int64())
@@ -69,10 +47,9 @@ def fingerprints(docs: DataFrame, size: int = 5) -> DataFrame:
     """(doc_id, text) to (doc_id, text_hash, fp): the fingerprint's 64 bits as a signed long; no shuffle."""
 
     def compute(batches):
-        for batch in portions(batches):
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            fps = np.array([fingerprint(t, size) for t in texts], dtype=np.uint64).view(np.int64)
-            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(fps)]
+        for batch in portions(batches, most=TEXT_BYTES):
+            fps = majority_bits(*shingle_hashes(batch.column("text").cast(pa.binary()).to_pylist(), size, SEED))
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(fps.view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, schema=FINGERPRINTS)
 
     return docs.select(F.col("doc_id").cast("long"), _text_hash().alias("text_hash"), "text").mapInArrow(compute, spark_schema(FINGERPRINTS))
@@ -233,16 +210,16 @@ def _text_hash() -> Column:
 
 
 SHINGLE_SETS = arrow_schema(node=pa.int64(), grams=pa.binary())
-PROFILES = arrow_schema(node=pa.int64(), n=pa.int32(), salted=pa.list_(pa.bool_()), grams=pa.list_(pa.int64()), bits=pa.binary())
+PROFILES = arrow_schema(node=pa.int64(), n=pa.int32(), fp=pa.int64(), salted=pa.list_(pa.bool_()), grams=pa.list_(pa.int64()), bits=pa.binary())
 MEETINGS = arrow_schema(u=pa.int64(), v=pa.int64(), kind=pa.int32())
 #: Kinds of meetings: a pair of a short run; a text of a longer run with the run's first; a salted shingle with the first of one of its runs.
 PAIR, WIDE, HEAD = 0, 1, 2
 
 
-def shingle_set(text: bytes | None, size: int) -> np.ndarray:
-    """The sorted distinct hashes of the shingles."""
-    grams = shingles(text.lower().split() if text else [], size)
-    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), grams), np.uint64))
+def hash_runs(texts: list[bytes | None], size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each text's shingle hashes, sorted and distinct, and each text's fingerprint."""
+    hashes, edges = shingle_hashes(texts, size, SEED)
+    return [np.unique(run) for run in np.split(hashes, edges[1:-1])] if texts else [], majority_bits(hashes, edges)
 
 
 def shingle_sets(texts: DataFrame, size: int, packed: np.ndarray | None = None) -> DataFrame:
@@ -251,13 +228,13 @@ def shingle_sets(texts: DataFrame, size: int, packed: np.ndarray | None = None)
 
     def run(batches):
         bits, seen = broadcast.value, set()
-        for part in portions(batches):
+        for part in portions(batches, most=TEXT_BYTES):
             nodes = part.column("node").to_numpy()
             chosen = [k for k in (np.flatnonzero(passes(bits, nodes)) if bits is not None else range(len(nodes))) if nodes[k] not in seen]
             if len(seen) < BLOCK:
                 seen.update(nodes[chosen].tolist())
             part = part.take(pa.array(chosen, pa.int64()))
-            sets = [shingle_set(t, size).tobytes() for t in part.column("text").cast(pa.binary()).to_pylist()]
+            sets = [grams.tobytes() for grams in hash_runs(part.column("text").cast(pa.binary()).to_pylist(), size)[0]]
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], schema=SHINGLE_SETS)
 
     return texts.select("node", "text").mapInArrow(run, spark_schema(SHINGLE_SETS))
@@ -295,7 +272,7 @@ def parity_bits(grams: np.ndarray) -> bytes:
 
 
 def profiles(texts: DataFrame, size: int, least: float) -> DataFrame:
-    """(node, text) to its number of shingles, prefix and bitmap, once a node and task.
+    """(node, text) to its number of shingles, fingerprint, prefix and bitmap, once a node and task.
 
     A text without shingles has the shingle 0.  salted marks shingles that are known to be in very many texts.
     """
@@ -304,14 +281,16 @@ def profiles(texts: DataFrame, size: int, least: float) -> DataFrame:
     def run(batches):
         common, counts = broadcast.value
         seen: set[int] = set()
-        for batch in portions(batches):
-            rows = []
-            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                if node in seen:
-                    continue
-                if len(seen) < BLOCK:
-                    seen.add(node)
-                grams = shingle_set(text, size)
+        for batch in portions(batches, most=TEXT_BYTES):
+            rows, nodes, chosen, here = [], batch.column("node").to_pylist(), [], set()
+            for k, node in enumerate(nodes):
+                if node not in seen and node not in here:
+                    here.add(node)
+                    chosen.append(k)
+            if len(seen) < BLOCK:
+                seen |= here
+            sets, fps = hash_runs(batch.column("text").take(pa.array(chosen, pa.int64())).cast(pa.binary()).to_pylist(), size)
+            for place, grams, fp in zip(chosen, sets, fps.view(np.int64).tolist(), strict=True):
                 n, bits, often = grams.size, parity_bits(grams), np.zeros(grams.size, np.int64)
                 if n and common.size:
                     at = np.minimum(np.searchsorted(common, grams), common.size - 1)
@@ -320,7 +299,7 @@ def profiles(texts: DataFrame, size: int, least: float) -> DataFrame:
                     grams, often = grams[order], often[order]
                 k = prefix_length(n, least)
                 prefix, hot = (grams[:k].view(np.int64), often[:k] >= HOT_COUNT) if n else (np.zeros(1, np.int64), np.ones(1, bool))
-                rows.append((node, n, hot, prefix, bits))
+                rows.append((nodes[place], n, fp, hot, prefix, bits))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), PROFILES, strict=True)], schema=PROFILES)
 
@@ -553,13 +532,17 @@ def similar_in_groups(members: DataFrame, parts: DataFrame | None, least: float,
 
 
 def fingerprint_pairs(texts: DataFrame, size: int, max_bits: int = 4) -> DataFrame:
-    """(node, text) to pairs (u, v) that connect all texts whose fingerprints op2 links: equal ones, and those of few differing bits."""
-    marked = fingerprints(texts.select(F.lit(None).cast("long").alias("doc_id"), "text"), size)
-    rows = stored(marked.select(F.col("text_hash").alias("node"), "fp").distinct(), "copies-fingerprints")
-    firsts = stored(rows.groupBy("fp").agg(F.min("node").alias("first")), "copies-fingerprints")
+    """(node, text) to pairs (u, v) that connect all texts whose fingerprints op2 links: equal ones, and those of few differing bits.
+
+    Who has the texts' fingerprints gives (node, fp) instead.
+    """
+    if "fp" not in texts.columns:
+        marked = fingerprints(texts.select(F.lit(None).cast("long").alias("doc_id"), "text"), size)
+        texts = stored(marked.select(F.col("text_hash").alias("node"), "fp").distinct(), "copies-fingerprints")
+    firsts = stored(texts.groupBy("fp").agg(F.min("node").alias("first")), "copies-fingerprints")
     near = fingerprint_links(firsts, max_bits).toDF("fu", "fv")
     of = lambda fp, node: firsts.select(F.col("fp").alias(fp), F.col("first").alias(node))
-    same = rows.join(firsts, "fp").where("node != first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    same = texts.join(firsts, "fp").where("node != first").select(F.col("first").alias("u"), F.col("node").alias("v"))
     return near.join(of("fu", "u"), "fu").join(of("fv", "v"), "fv").select("u", "v").union(same)
 
 
@@ -568,8 +551,9 @@ def copy_links(texts: DataFrame, size: int, least: float) -> DataFrame:
 
     Candidates come from fingerprints, and from prefixes of the sets for what fingerprints miss; both are verified alike.
     """
-    marked = stored(fingerprint_pairs(texts, size), "copies-marked")
     profiled = stored(profiles(texts, size, least), "copies-profiles")
+    prints = stored(profiled.select("node", "fp").distinct(), "copies-fingerprints")
+    marked = stored(fingerprint_pairs(prints, size), "copies-marked")
     met = stored(meetings(profiled, least), "copies-meetings")
     bitmaps = profiled.select("node", "n", "bits").dropDuplicates(["node"])
     with arrow_rows(texts.sparkSession, PAIR_ROWS):
